@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossparse, curriculum, exact_dedup, licenses, secrets, simhash
+from . import crossparse, curriculum, exact_dedup, idstore, licenses, secrets, simhash
 from .shared import table
 
 
@@ -17,6 +17,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossparse.identify(table(spark, sf_dir, "documents"))
 
