@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossparse, curriculum, exact_dedup, idstore, licenses, secrets, simhash, viterbi
+from . import crossparse, curriculum, exact_dedup, idstore, kmtree, licenses, secrets, simhash, viterbi
 from .shared import table
 
 
@@ -29,6 +29,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossparse.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
