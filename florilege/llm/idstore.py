@@ -41,39 +41,56 @@ from .shared import scratch_root
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Where these do not occur, the pattern below cuts a text as the tokenizer does.
-UNUSUAL = re.compile("[^\x00-ɏ]|[\x1c-\x1f\x85]")
-NUMBER = "0-9²³¹¼½¾"
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W_{NUMBER}]+| ?[{NUMBER}]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Distinct words whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 700_000, 64
+#: Where this does not occur and words have no white space at their ends, no token crosses the start of a blank.
+UNUSUAL = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85]")
+
+
+def apart(word: str) -> bool:
+    return 0 < len(word) <= LONGEST and not word[0].isspace() and not word[-1].isspace() and not UNUSUAL.search(word)
 
 
 class Encoder:
-    """The tokenizers library over a memory of pieces: each distinct piece is encoded once."""
+    """The tokenizers library over a memory of words: each distinct word after a blank is encoded once."""
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.wide = "<u2" if size <= 1 << 16 else "<u4"
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.wide)
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = self._encode(" " + " ".join(part))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):
+                raise AssertionError("a word does not start with a blank's token")
+            raw, ends = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(ends, ends[1:]))))
 
     def ids(self, text: str) -> np.ndarray:
-        if UNUSUAL.search(text):
-            return np.frombuffer(self._encode([text])[0], self.wide)
-        pieces = PIECES.findall(text)
-        new = list(set(pieces).difference(self.known))
+        head, _, rest = text.partition(" ")
+        words = rest.split(" ") if rest else []
+        new = set(words).difference(self.known)
+        # words that are known have been found to stand apart
+        if not rest or not head or head[-1].isspace() or UNUSUAL.search(head) or not all(map(apart, new)):
+            return self._encode(text)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(pieces))
-            self.known.update(zip(new, self._encode(new)))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.wide)
+                new = set(words)
+            self._learn(list(new))
+        return np.frombuffer(self._encode(head).tobytes() + b"".join(map(self.known.__getitem__, words)), self.wide)
 
 
 @cache

@@ -22,7 +22,7 @@ def tokenizer():
 
 def texts():
     rng = random.Random(6)
-    bits = ["the ", "quick", " it's", "  ", "\n", "\t", "é", "ß²", "12", "½", "__a", "#$%", "\xa0", " ", "日本", "😀", "\x85", "\x1c", "<|endoftext|>", "'ll", "ª", "ŉ", "ǅ"]
+    bits = ["the ", "quick", " word", " and", " it's", "  ", "\n", "\t", "é", "ß²", "12", "½", "__a", "#$%", "\xa0", " ", "日本", "😀", "\x85", "\x1c", "<|endoftext|>", "'ll", "ª", "ŉ", "ǅ"]
     shared = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(3000))
     out = [None, "", " ", "a", shared, "x " + shared, shared + " y", "z" * 20000, "w " * 40000]
     return out + ["".join(rng.choices(bits, k=rng.randrange(1, 80))) for _ in range(200)]
