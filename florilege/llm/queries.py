@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossparse, curriculum, exact_dedup, idstore, kmtree, licenses, secrets, simhash, viterbi
+from . import crossparse, curriculum, exact_dedup, idstore, kmtree, licenses, secrets, simhash, sitetree, viterbi
 from .shared import table
 
 
@@ -21,6 +21,10 @@ def op3_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.encode(table(spark, sf_dir, "documents"))
 
