@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -186,6 +187,16 @@ def parser_of(samples: dict[str, str]) -> CrossParser:
 BATCH_CHARS = 4_000_000
 
 
+def lots(batch: pa.RecordBatch, text_column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about BATCH_CHARS characters each."""
+    at = size = 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(text_column)), 0).to_pylist(), 1):
+        size += n
+        if size >= BATCH_CHARS or i == batch.num_rows:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+
+
 def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     samples = training_samples(docs) if samples is None else samples
@@ -194,21 +205,26 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(shared.value)
         for b in batches:
-            at, size, n = 0, 0, b.num_rows
-            for i in range(n):
-                size += len(b.column(2)[i].as_py() or "") if b.column(2)[i].is_valid else 0
-                if size >= BATCH_CHARS or i == n - 1:
-                    part = b.slice(at, i + 1 - at)
-                    langs, scores = parser.predict(part.column(2).to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
-                    at, size = i + 1, 0
+            for part in lots(b, 2):
+                langs, scores = parser.predict(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def known(lang: Column) -> Column:
-    return lang != "und"
+def keep_known(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
+    """The documents, with all their columns, whose language is told; `und` goes. Nothing is shuffled."""
+    samples = training_samples(docs) if samples is None else samples
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = parser_of(shared.value)
+        for b in batches:
+            for part in lots(b, at):
+                langs, _ = parser.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([x != "und" for x in langs]))
 
+    return docs.mapInArrow(run, docs.schema)
