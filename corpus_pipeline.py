@@ -1,8 +1,63 @@
-"""The corpus pipeline over `documents`: every stage reads the table that its predecessor wrote."""
+"""The corpus pipeline over `documents`: every stage reads the table that its predecessor wrote.
 
+Language ID drops documents without a told language; exact dedup keeps the row of largest doc_id of equal texts; SimHash
+near-dedup keeps the smallest doc_id of each component; mixing repeats and drops documents to meet the sources' targets and
+puts them in training order (a pass that takes under half of a document's words is left out, any other has the whole
+text); the last stage encodes what is left. Nulls, empty texts, ties and empty tables follow the operators' docstrings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from florilege.llm import crossparse, curriculum, exact_dedup, simhash, viterbi
+from florilege.llm.shared import materialize, table
+
+#: The stages pick representatives by fingerprint components and encode with a tokenizer: not for SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` less the rows of these doc_ids. Written first, so their size is known when the join is planned."""
+    return docs.join(materialize(dropped.select("doc_id"), "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return crossparse.keep_known(docs)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+
+
+def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = curriculum.placed(docs)
+    passes = [F.struct(F.lit(p).alias("pass"), curriculum.words_of_pass(p).alias("words"), curriculum.position_of_pass(p).alias("position")) for p in range(curriculum.MAX_EPOCHS)]
+    rows = rows.select("doc_id", "size", F.inline(F.array(*passes))).filter("words > 0 AND 2 * words >= size")
+    plan = materialize(rows.select("doc_id", "pass", "position"), "plan")
+    return docs.join(plan, "doc_id").orderBy("position", "doc_id", "pass").select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return viterbi.encode(docs)
+
+
+STAGES = [
+    ("language ID", told_language),
+    ("exact dedup", distinct_texts),
+    ("SimHash near-dedup", distinct_fingerprints),
+    ("mixing sources", mixed),
+    ("SentencePiece encoding", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
