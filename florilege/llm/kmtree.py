@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, salt, salt_mask, salted
 
 K, EVERY = 20, 20
-SAMPLE, CALIBRATE, RECALL = 20_000, 200, 0.97
+SAMPLE, CALIBRATE, RECALL = 20_000, 200, 0.94
 BRANCH, LEAF, LEAST_SAMPLES, ROUNDS = 16, 200, 8, 8
 BLOCK, QUERIES = 4096, 512
 
@@ -119,36 +119,60 @@ def valid(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids, and of those so near that rounding may hide them."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least - 1e-9 * abs(least))
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))]
-
-
-def tops(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """(query, vector, score) of each query's k best, scores as correctly rounded sums of products."""
-    out: tuple[list, list, list] = ([], [], [])
-    if not len(v_ids):
-        return out
-    scores = queries @ vectors.T
-    for i, row in enumerate(scores):
-        q = queries[i].tolist()
-        exact = sorted((-math.sumprod(q, vectors[j].tolist()), int(v_ids[j])) for j in best(row, v_ids, k)[: 4 * k])[:k]
-        out[0].extend([int(q_ids[i])] * len(exact))
-        out[1].extend(j for _, j in exact)
-        out[2].extend(-s for s, _ in exact)
-    return out
+def tops(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows (query, vector, score) of each query's k best, ties to smaller ids.
+
+    The product of the blocks only proposes; the score of a pair is one sum over its components in a fixed order."""
+    n = len(v_ids)
+    if not n:
+        return np.zeros(0, HITS)
+    rough = queries @ vectors.T
+    c = min(n, k + SLACK)
+    at = np.argpartition(-rough, c - 1, axis=1)[:, :c] if c < n else np.tile(np.arange(n), (len(q_ids), 1))
+    least = np.take_along_axis(rough, at, 1).min(1)
+    out = np.zeros(at.shape, HITS)
+    out["query"], out["vector"] = q_ids[:, None], v_ids[at]
+    out["score"] = np.einsum("qd,qcd->qc", queries, vectors[at])
+    if c < n:  # more are as good as the last: all of those take part
+        for i in np.flatnonzero((rough >= (least - 1e-9 * np.abs(least))[:, None]).sum(1) > c):
+            more = np.flatnonzero(rough[i] >= least[i] - 1e-9 * abs(least[i]))
+            row = np.zeros(len(more), HITS)
+            row["query"], row["vector"] = q_ids[i], v_ids[more]
+            row["score"] = np.einsum("d,cd->c", queries[i], vectors[more])
+            row = row[np.lexsort((row["vector"], -row["score"]))][:c]
+            out[i] = row
+    return best(out.ravel(), k)
+
+
+def best(hits: np.ndarray, k: int) -> np.ndarray:
+    """The k best rows of each query."""
+    hits = hits[np.lexsort((hits["vector"], -hits["score"], hits["query"]))]
+    first = np.flatnonzero(np.r_[True, hits["query"][1:] != hits["query"][:-1]]) if len(hits) else np.zeros(0, int)
+    nth = np.arange(len(hits)) - np.repeat(first, np.diff(np.r_[first, len(hits)]))
+    return hits[nth < k]
+
+
+HITS = np.dtype([("query", np.int64), ("vector", np.int64), ("score", np.float64)])
+#: Pairs proposed beyond the k best, for rounding; rows a task holds before it folds or passes them on.
+SLACK, HELD = 4, 400_000
+FOUND = "query long, vector long, score double"
 
 
-FOUND = "query long, vector long, score double"
+def found(hits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hits[c])) for c in HITS.names], list(HITS.names))
 
 
-def found(parts: tuple[list, list, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64())], ["query", "vector", "score"])
+def folded(each: Iterator[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
+    """What a task has found, with only the k best rows of a query passed on."""
+    held: list[np.ndarray] = []
+    for hits in each:
+        held.append(hits)
+        if sum(map(len, held)) > HELD:
+            held = [best(np.concatenate(held), k)]
+            if len(held[0]) > HELD // 2:
+                yield found(held.pop())
+    if held:
+        yield found(best(np.concatenate(held), k))
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:
@@ -162,9 +186,7 @@ def brute_force(groups: DataFrame, queries: np.ndarray, q_ids: np.ndarray, k: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, ids = shared.value
-        for b in batches:
-            if b.num_rows:
-                yield found(tops(qs, ids, matrix(b.column(1)), b.column(0).to_numpy(), k))
+        yield from folded((tops(qs, ids, matrix(b.column(1)), b.column(0).to_numpy(), k) for b in batches if b.num_rows), k)
 
     return top(groups.select("rep", "v").mapInArrow(run, FOUND), k)
 
@@ -244,11 +266,14 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPL
     asks = packed(asks.withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(max(1, n_asked // QUERIES))).cast("int")), ["leaf", "block", "lot"], "rep", QUERIES)
     met = stored.join(asks.select("leaf", "block", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), ["leaf", "block"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             for i in range(b.num_rows):
                 ids, m, q_ids, q_m = (np.frombuffer(b.column(j)[i].as_py(), t) for j, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
-                yield found(tops(q_m.reshape(len(q_ids), -1), q_ids, m.reshape(len(ids), -1), ids, k + 1))
+                yield tops(q_m.reshape(len(q_ids), -1), q_ids, m.reshape(len(ids), -1), ids, k + 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from folded(pairs(batches), k + 1)
 
     hits = top(met.select("ids", "m", "q_ids", "q_m").mapInArrow(score, FOUND), k + 1)
     members = groups.select(F.col("rep").alias("vector"), "ids")
