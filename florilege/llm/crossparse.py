@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import lean_batches
+
 LANE = 512
 SAMPLE_DOCS, SAMPLE_LETTERS = 200, 240_000
 #: Letters that own a column in the tables; the last column takes the rarer ones, column 0 the gap between words.
@@ -52,9 +54,9 @@ def alphabet(samples: dict[str, str]) -> dict[str, int]:
     return {" ": 0} | {c: i + 1 for i, c in enumerate(sorted(common))}
 
 
-def coded(text: str, columns: dict[str, int]) -> np.ndarray:
+def coded(text: str, columns: dict[str, int], other: int) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = np.full(0x3000, COLUMNS - 1, np.uint8)
+    table = np.full(0x3000, other, np.uint8)
     for c, i in columns.items():
         if ord(c) < len(table):
             table[ord(c)] = i
@@ -65,9 +67,9 @@ def coded(text: str, columns: dict[str, int]) -> np.ndarray:
     return out
 
 
-def suffix_automaton(code: list[int]) -> np.ndarray:
-    """Next states, STATES x COLUMNS: where no match goes on, the state after a new phrase's letter, less 2 ** 31."""
-    width, nxt, link, length, last = COLUMNS, [{}], [-1], [0], 0
+def suffix_automaton(code: list[int], width: int = COLUMNS) -> np.ndarray:
+    """Next states, states x `width`: where no match goes on, the state after a new phrase's letter, less 2 ** 31."""
+    nxt, link, length, last = [{}], [-1], [0], 0
     for c in code:
         cur = len(nxt)
         nxt.append({})
@@ -127,11 +129,15 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
         self.columns = alphabet(samples)
-        self.tables = [suffix_automaton(coded(samples[k], self.columns).tolist()).ravel() for k in self.langs]
+        self.other = len(self.columns)
+        self.tables = [suffix_automaton(self.coded(samples[k]).tolist(), self.other + 1).ravel() for k in self.langs]
+
+    def coded(self, text: str) -> np.ndarray:
+        return coded(text, self.columns, self.other)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and letters read by text."""
-        codes = [coded(t, self.columns) for t in texts]
+        codes = [self.coded(t) for t in texts]
         letters = np.array([len(c) for c in codes], np.int64)
         lanes = -(-letters // LANE)
         total = int(lanes.sum())
@@ -146,10 +152,11 @@ class CrossParser:
         owner, length = owner[order], length[order]
         stream = np.concatenate(codes).astype(np.int32)
         alive = total - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1))
+        width = self.other + 1
         for k, table in enumerate(self.tables):
             state, found = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for step, n in enumerate(alive):
-                to = table[state[:n] * COLUMNS + stream[start[:n] + step]]
+                to = table[state[:n] * width + stream[start[:n] + step]]
                 found[:n] += to < 0
                 state[:n] = to & 0x7FFFFFFF
             np.add.at(counts[:, k], owner, found + 1)
@@ -184,7 +191,7 @@ def parser_of(samples: dict[str, str]) -> CrossParser:
 
 
 #: Characters parsed side by side, which bounds a worker's memory.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def lots(batch: pa.RecordBatch, text_column: int) -> Iterator[pa.RecordBatch]:
@@ -199,6 +206,7 @@ def lots(batch: pa.RecordBatch, text_column: int) -> Iterator[pa.RecordBatch]:
 
 def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
+    lean_batches(docs.sparkSession)
     samples = training_samples(docs) if samples is None else samples
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most SAMPLE_LETTERS letters
 
@@ -216,6 +224,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
 def keep_known(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
     """The documents, with all their columns, whose language is told; `und` goes. Nothing is shuffled."""
+    lean_batches(docs.sparkSession)
     samples = training_samples(docs) if samples is None else samples
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     at = docs.columns.index("text")

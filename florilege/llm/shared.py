@@ -47,6 +47,14 @@ def forget(*frames: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a few at a time, so that a worker's memory does not follow the texts' length."""
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(records)) <= 1000:
+        spark.conf.set(records, "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; the short way is for texts of one byte a character."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, salt, salt_mask, salted
+from .shared import lean_batches, materialize, salt, salt_mask, salted
 
 M, T, BITS = 8, 3, 8
 MAX_BUCKET = 512
@@ -56,6 +56,8 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
 
+    lean_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)

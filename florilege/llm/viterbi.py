@@ -30,10 +30,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLANK = "▁"
+from .shared import lean_batches
+
+#: U+2581 in the model; a plain blank here, so that units stay short in memory.
+MARK, BLANK = "▁", " "
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-REMEMBERED = 1_000_000
-PAIRS_REMEMBERED = 2_000_000
+REMEMBERED = 300_000
+PAIRS_REMEMBERED = 300_000
+#: Longest unit remembered.
+LONGEST = 48
 #: Score of a character without a piece in a unigram model.
 LOST = -1e6
 #: Characters of a text handed to the search at a time.
@@ -46,13 +51,16 @@ class Model:
         n = sp.vocab_size()
         special = lambda i: sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)
         self.kind, self.bytes = kind, {}
-        self.text = [sp.id_to_piece(i) for i in range(n)]
+        self.text = [sp.id_to_piece(i).replace(MARK, BLANK) for i in range(n)]
         self.score = [sp.get_score(i) for i in range(n)]
         self.id = {self.text[i]: i for i in range(n) if not special(i)}
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
-        self.hidden = {i for i in range(n) if sp.is_control(i)}
+        hidden = {i for i in range(n) if sp.is_control(i)}
+        self.wide = np.uint16 if n <= 1 << 16 else np.int32
+        #: what each id puts into a text
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in hidden else " ⁇ ".encode() if i == self.unknown else t.encode() for i, t in enumerate(self.text)]
         self.longest = max(map(len, self.id))
         self.lengths: dict[str, tuple[int, ...]] = {}
         tails: dict[str, set[int]] = {}
@@ -199,36 +207,29 @@ class Codec:
 
     def _unit(self, unit: str) -> bytes:
         search = StreamingViterbi(self.m)
-        return array("i", search.push(unit) + search.finish()).tobytes()
+        return array("H" if self.m.wide is np.uint16 else "i", search.push(unit) + search.finish()).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        out, known = [], self.known
+        out: list[bytes] = []
         carried = BLANK
         for at in range(0, len(text), PART):
-            carried += text[at : at + PART].replace(" ", BLANK)
-            units = self.m.units.findall(carried)
+            units = self.m.units.findall(carried + text[at : at + PART].replace(MARK, BLANK))
             # the last unit may go on in the next part
             carried = units.pop() if at + PART < len(text) else ""
-            for u in set(units).difference(known):
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[u] = self._unit(u)
-            for u in units:
-                if (ids := known.get(u)) is None:
-                    ids = known[u] = self._unit(u)
-                out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+            ids = list(map(self.known.get, units))
+            if None in ids:
+                new = {u: self._unit(u) for u in {u for u, x in zip(units, ids) if x is None}}
+                if len(self.known) + len(new) > REMEMBERED:
+                    self.known.clear()
+                self.known.update((u, x) for u, x in new.items() if len(u) <= LONGEST)
+                ids = [new[u] if x is None else x for u, x in zip(units, ids)]
+            out += ids
+        return np.frombuffer(b"".join(out), self.m.wide).astype(np.int32)
 
     def decode(self, ids) -> str:
-        m, raw = self.m, bytearray()
-        for i in ids:
-            if (b := m.byte_of.get(i)) is not None:
-                raw.append(b)
-            elif i not in m.hidden:
-                raw += (" ⁇ " if i == m.unknown else m.text[i]).encode()
-        text = raw.decode("utf-8", "replace").replace(BLANK, " ")
+        text = b"".join(map(self.m.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -240,6 +241,7 @@ def codec(file: str, kind: str = "bpe") -> Codec:
 def encode(docs: DataFrame, file: str | None = None, kind: str = "bpe") -> DataFrame:
     """doc_id, n_ids, ids, exact: the ids of every text, and whether decoding them gave the text back."""
     file = file or public_tokenizers.path("piece_bpe_32k.model")
+    lean_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(file, kind)
@@ -250,7 +252,7 @@ def encode(docs: DataFrame, file: str | None = None, kind: str = "bpe") -> DataF
                 ids = [c.encode(t) for t in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                exact = [c.decode(x.tolist()) == t.replace(BLANK, " ") for x, t in zip(ids, texts)]
+                exact = [c.decode(x.tolist()) == t.replace(MARK, BLANK) for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(exact)], ["doc_id", "n_ids", "ids", "exact"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
