@@ -24,7 +24,7 @@ SECTIONS = tuple((i, c, 2) for i, codes in ((1, (5, 6, 7, 8, 10)), (2, (5, 6)),
 
 CELL = (
     '<tr><td><font style="font-size: 10pt">{cls}</font></td></tr><tr><td><font>EMENTA: {abstract}</font><br>PROCESSO: <a href="relatorio.wsp?tmp.numprocesso={process}&amp;tmp.numacordao={decision}">'
-    "{process}</a><div>AC Nº 1{decision}/2026</div><div>RELATOR: DES. FULANO DE TAL</div></td></tr>"
+    "{process}</a><br><div>AC Nº 1{decision}/2026</div><div>RELATOR: DES. FULANO DE TAL</div></td></tr>"
 )
 
 
