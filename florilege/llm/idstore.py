@@ -22,6 +22,7 @@ not read; texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -37,24 +38,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import scratch_root
+from .shared import lean_batches, scratch_root
 
 END_ID = 2
-WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
+WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 256, 8192
 #: Distinct words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 700_000, 64
-#: Where this does not occur and words have no white space at their ends, no token crosses the start of a blank.
+REMEMBERED, LONGEST = 600_000, 64
+#: Where these do not occur and words have no white space at their ends, no token crosses the start of a blank.
 UNUSUAL = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85]")
+EDGES = re.compile(r"\s\s|\A\s|\s\Z")
 
 
-def apart(word: str) -> bool:
-    return 0 < len(word) <= LONGEST and not word[0].isspace() and not word[-1].isspace() and not UNUSUAL.search(word)
+def apart(words: set[str]) -> bool:
+    """Whether each of the words can be encoded without its neighbours."""
+    if "" in words or max(map(len, words), default=0) > LONGEST:
+        return False
+    joined = " ".join(words)
+    if UNUSUAL.search(joined):
+        return False
+    return not EDGES.search(joined) or not any(w[0].isspace() or w[-1].isspace() for w in words)
 
 
 class Encoder:
-    """The tokenizers library over a memory of words: each distinct word after a blank is encoded once."""
+    """The tokenizers library over a memory of words: a distinct word after a blank is encoded once, with a text's others."""
 
     def __init__(self, file: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -68,26 +77,23 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.wide)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = self._encode(" " + " ".join(part))
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):
-                raise AssertionError("a word does not start with a blank's token")
-            raw, ends = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(ends, ends[1:]))))
+        ids = self._encode(" " + " ".join(words))
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(words):
+            raise AssertionError("a word does not start with a blank's token")
+        raw, ends = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+        self.known.update(zip(words, [raw[a:b] for a, b in zip(ends, ends[1:])]))
 
     def ids(self, text: str) -> np.ndarray:
         head, _, rest = text.partition(" ")
         words = rest.split(" ") if rest else []
         new = set(words).difference(self.known)
         # words that are known have been found to stand apart
-        if not rest or not head or head[-1].isspace() or UNUSUAL.search(head) or not all(map(apart, new)):
+        if not rest or not head or head[-1].isspace() or UNUSUAL.search(head) or new and not apart(new):
             return self._encode(text)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
                 new = set(words)
             self._learn(list(new))
         return np.frombuffer(self._encode(head).tobytes() + b"".join(map(self.known.__getitem__, words)), self.wide)
@@ -142,6 +148,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of two kinds: recipes (doc_id, n, digests of 32 bytes each) and chunks (digest, n, payload), the latter once a task."""
+    lean_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     fields = [("is_chunk", pa.bool_()), ("doc_id", None), ("digests", pa.binary()), ("n", pa.int64()), ("payload", pa.binary())]
@@ -156,7 +163,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for b in batches:
             ready: list[tuple] = []
             held = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            doc_ids = b.column(0).to_pylist()
+            for doc_id, text in zip(doc_ids, b.column(1)):
                 ids = np.append(enc.ids(text.as_py() or ""), np.array([end_id], enc.wide))
                 names, at = [], 0
                 for end in cuts(ids):
@@ -278,23 +286,21 @@ def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; raises where they do not agree."""
 
-    @F.pandas_udf("long")
-    def verified(chunks: pd.Series, n_tokens: pd.Series, root: pd.Series) -> pd.Series:
-        out = []
-        for parts, n, top in zip(chunks, n_tokens, root):
-            parts = sorted((p if isinstance(p, dict) else p.asDict() for p in parts), key=lambda p: p["at"])
-            if sum(p["n"] for p in parts) != n or merkle([bytes(p["digest"]) for p in parts]) != bytes(top):
-                raise ValueError("a recipe does not match its chunks")
-            out.append(join_crcs([(p["crc"], 4 * p["n"]) for p in parts]))
-        return pd.Series(out, dtype="int64")
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            crcs = []
+            for n_tokens, digests, root, names, each, n in zip(*(c.to_pylist() for c in b.columns[2:])):
+                if b"".join(names or ()) != digests or sum(n) != n_tokens or merkle(names) != root:
+                    raise ValueError("a recipe does not match its chunks")
+                crcs.append(join_crcs([(c, 4 * k) for c, k in zip(each, n)]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     recipes = spark.read.parquet(f"{path}/recipes")
     at = F.sequence(F.lit(0), (F.length("digests") / 32).cast("int") - 1)
     named = recipes.select("start", F.explode(at).alias("at"), "digests").select("start", "at", F.expr("substring(digests, at * 32 + 1, 32)").alias("digest"))
-    found = named.join(chunk_sums(spark, path), "digest").groupBy("start").agg(F.collect_list(F.struct("at", "digest", "n", "crc")).alias("chunks"))
-    return recipes.select("doc_id", "start", "n_tokens", "root").join(found, "start", "left").select(
-        "doc_id", "start", "n_tokens", verified(F.coalesce("chunks", F.array()), "n_tokens", "root").alias("ids_crc32")
-    )
+    found = named.join(chunk_sums(spark, path), "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "digest", "crc", "n"))).alias("c"))
+    whole = recipes.join(found, "start", "left").select("doc_id", "start", "n_tokens", "digests", "root", F.col("c.digest").alias("names"), F.col("c.crc").alias("crc"), F.col("c.n").alias("n"))
+    return whole.mapInArrow(sums, f"doc_id {dict(recipes.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
