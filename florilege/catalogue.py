@@ -439,6 +439,54 @@ def quotation_labels(spark, sf_dir):
     return verify.verify(quotations, text, "id", "text", "quotation")
 
 
+OUTCOME_SQL = ORACLE["outcome_labels"]
+
+
+@q(
+    OUTCOME_SQL.rsplit("SELECT decision, CASE", 1)[0].rstrip()
+    + ", o AS (SELECT decision, coalesce(CASE WHEN len(l) = 1 THEN l[1] END, 'sem resultado identificável') AS outcome FROM f), r AS (SELECT d.*, outcome FROM decisions d JOIN o USING (decision)), "
+    "c AS (SELECT 'outcome' AS facet, outcome AS value, count(*) AS n FROM r GROUP BY outcome UNION ALL SELECT 'body', body, count(*) FROM r GROUP BY body UNION ALL SELECT 'class', class, count(*) FROM r GROUP BY class) "
+    "SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS k FROM c) WHERE k <= 6"
+)
+def panorama_outcomes(spark, sf_dir):
+    rows = fixtures.frame(spark, "decisions")
+    none = F.expr("cast(array() AS array<string>)")
+    return analytics.panorama(rows, [F.desc("issue"), F.desc("decision")], T.norm(F.col("abstract")), none, ["body", "class"])
+
+
+@q(
+    "WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey::VARCHAR AS ref FROM lineitem WHERE l_quantity > 25) SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT o FROM e WHERE ref = '11') AND o_orderstatus <> 'F'"
+)
+def cited_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey")
+    return search.citing_filter(rows, "o_orderkey", edges(spark, sf_dir), "part", "11/STJ")
+
+
+@q(
+    "WITH r AS (SELECT l_orderkey AS k, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey), d AS (SELECT c_custkey AS c, count(DISTINCT o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) "
+    "SELECT o_orderkey, coalesce(s, '') AS republished, coalesce(n, 0) AS cited, o_orderkey % 5 = 0 AS held FROM orders LEFT JOIN r ON k = o_orderkey LEFT JOIN d ON c = o_custkey"
+)
+def decorated_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("case"))
+    again = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("string").alias("issue"))
+    degree = graph.in_degree(orders.select(F.col("o_orderkey").alias("source"), F.lit("own").alias("kind"), F.col("case").alias("ref")))
+    out = analytics.decorated(orders, "o_orderkey", "case", again, degree, orders.filter("o_orderkey % 5 = 0"))
+    return out.select("o_orderkey", "republished", "cited", "held")
+
+
+@q()
+def field_search(spark, sf_dir):
+    parts = parsers.with_fields(fixtures.frame(spark, "decisions").select("decision", "issue", "abstract"), "abstract")
+    built = index.build_index(parts, parsers.SEARCHABLE)
+    asked = search.field_scoring(("tese", "questao"), parsers.FIELD_WEIGHTS, "cabecalho")
+    return search.scored(built, parse("dano recurso"), asked).select("decision", "coverage", F.round("score", 6).alias("score"))
+
+
+@q("SELECT doc_id, md5(CASE WHEN length(text) > 700 THEN substring(text, 1, 700) || '…' ELSE text END) AS digest FROM documents ORDER BY doc_id DESC LIMIT 30")
+def triage_page(spark, sf_dir):
+    return search.triage(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", [F.desc("doc_id")]).select("doc_id", F.md5("text").alias("digest"))
+
+
 # ---- text kernel -----------------------------------------------------------------------------------------------------------
 
 T1 = (

@@ -98,6 +98,29 @@ def norm_py(text: str) -> str:
     return t.strip()
 
 
+def norm_with_places(text: str) -> tuple[str, list[int]]:
+    """The comparison form, and for each of its characters the place in `text` that it came from."""
+    chars, places = [], []
+    for i, c in enumerate(text):
+        for x in fold_accents_py(unicodedata.normalize("NFKC", c)).lower():
+            chars.append(x)
+            places.append(i)
+    t = "".join(chars)
+    for pattern, to in NORM_RULES:
+        out, kept, at = [], [], 0
+        for m in re.finditer(pattern, t):
+            made = m.expand(to.replace("$1", r"\1"))
+            out += [t[at : m.start()], made]
+            # what a rule keeps stands at the start or the end of what it matched
+            same = next((k for k, (x, y) in enumerate(zip(made, m[0])) if x != y), min(len(made), len(m[0])))
+            kept += [*places[at : m.start() + same], *(places[max(m.end() - len(made) + k, m.start())] for k in range(same, len(made)))]
+            at = m.end()
+        t, places = "".join([*out, t[at:]]), kept + places[at:]
+    start = len(t) - len(t.lstrip())
+    t = t.strip()
+    return t, places[start : start + len(t)]
+
+
 def norm_body(text: Column) -> Column:
     """`norm` with feminine and masculine ordinals in words written as figures before the name of a court's body."""
     t = norm(text)

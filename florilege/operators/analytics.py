@@ -41,6 +41,33 @@ def facets(rows: DataFrame, columns: list[str], top: int = 6) -> DataFrame:
     return counts.withColumn("nth", nth).filter(F.col("nth") <= top).drop("nth")
 
 
+def panorama(rows: DataFrame, order: list[Column], norm: Column, anchors: Column, columns: list[str], most: int = TOP_ROWS, least: int = 5) -> DataFrame:
+    """facet, value, n over the `most` best rows by score alone: declared outcome, the given columns, precedents cited twice or more.
+
+    `norm` is the comparison form of a row's text, `anchors` the array of precedents in the raw text."""
+    best = rows.orderBy(*order).limit(most)
+    best = best.select(*columns, F.coalesce(outcome(norm), F.lit(OUTCOMES[-1])).alias("outcome"), F.array_distinct(anchors).alias("_anchors"))
+    pairs = F.concat(
+        F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in ["outcome", *columns])),
+        F.transform("_anchors", lambda a: F.struct(F.lit("anchor").alias("facet"), a.alias("value"))),
+    )
+    counts = best.select(F.inline(pairs)).groupBy("facet", "value").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    top = F.when(F.col("facet") == "anchor", 8).otherwise(6)
+    found = counts.filter((F.col("facet") != "anchor") | (F.col("n") >= 2)).withColumn("nth", nth).filter(F.col("nth") <= top).drop("nth")
+    enough = counts.filter("facet = 'outcome'").agg((F.sum("n") >= least).alias("enough"))
+    return found.join(F.broadcast(enough), F.col("enough")).drop("enough")  # one row
+
+
+def decorated(rows: DataFrame, key: str, process: str, republications: DataFrame, in_degree: DataFrame, receipts: DataFrame) -> DataFrame:
+    """`rows` with the issues that print a decision again, how often its case is cited, and whether its receipt is held."""
+    again = republications.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("republished"))
+    cited = in_degree.select(F.col("ref").alias(process), F.col("in_degree").alias("cited"))
+    held = receipts.select(key, F.lit(True).alias("_held")).distinct()
+    out = rows.join(again, key, "left").join(cited, process, "left").join(held, key, "left")
+    return out.withColumns({"republished": F.coalesce("republished", F.lit("")), "cited": F.coalesce("cited", F.lit(0)), "held": F.col("_held").isNotNull()}).drop("_held")
+
+
 def lift_terms(rows: DataFrame, words: Column, vocabulary: DataFrame, n_all: int, excluded: list[str] = (), most: int = MOST_HINTS) -> DataFrame:
     """term, df, lift: words much commoner in `rows` than in the collection. `words` is the array of a row's words."""
     n = rows.count()

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from florilege.plans.query import Parsed, Phrase, Unit
+from florilege.functions.text import base_ref
+from florilege.plans.query import TRIAGE_CHARS, TRIAGE_SIZE, Parsed, Phrase, Unit
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -112,6 +113,24 @@ def snippet(text: Column, norm: Column, terms: list[str], before: int = 200, siz
     return F.substring(text, F.greatest(F.coalesce(at, F.lit(1)) - before, F.lit(1)), F.lit(size))
 
 
+def triage(rows: DataFrame, text_col: str, order: list[Column], number: int = 1) -> DataFrame:
+    """A long page for a reader to rank: 30 rows, their texts cut."""
+    cut = F.when(F.length(text_col) > TRIAGE_CHARS, F.concat(F.substring(text_col, 1, TRIAGE_CHARS), F.lit("…"))).otherwise(F.col(text_col))
+    return page(rows, order, TRIAGE_SIZE, number).withColumn(text_col, cut)
+
+
+def field_scoring(asked: tuple[str, ...], weights: dict[str, float], header: str, header_weight: float = 0.5) -> Scoring:
+    """Weights under a restriction to fields: a header that is not asked for stays in with little weight, so texts without parts are found."""
+    return Scoring({f: w if f in asked else header_weight if f == header else 0.0 for f, w in weights.items()})
+
+
+def citing_filter(rows: DataFrame, id_col: str, edges: DataFrame, kind: str, ref: str) -> DataFrame:
+    """`rows` that cite a reference, under any court's name."""
+    base = ref.split("/")[0].strip()
+    sources = edges.filter((F.col("kind") == kind) & (base_ref(F.col("ref")) == base)).select(F.col("source").alias(id_col)).distinct()
+    return rows.join(sources, id_col, "left_semi")
+
+
 @dataclass(frozen=True)
 class Outcome:
     """What a search came to: `rows` of a page, `beyond` the last page, `empty`; refusals raise."""
@@ -138,6 +157,8 @@ def zero_diagnosis(index: DataFrame, query: Parsed, fields: tuple[str, ...], mos
 def search(index: DataFrame, query: Parsed, scoring: Scoring, id_col: str, newest: str, where: Column | None = None, order: str = "relevant", size: int = 10, number: int = 1) -> Outcome:
     if order not in ("relevant", "newest", "oldest"):
         raise ValueError(f"unknown order {order!r}")
+    if not query.units and order == "relevant":
+        order = "newest"  # without words there is no relevance
     rows = scored(index, query, scoring)
     kept = rows.filter(where) if where is not None else rows
     total = kept.count()

@@ -41,9 +41,13 @@ def decisions_of(pages: DataFrame) -> DataFrame:
     return parsers.section_rows(pages, ["issue", "code"])
 
 
-def tables(pages: DataFrame, known_codes: list[int], newest_first: bool = False) -> dict[str, DataFrame]:
-    """decisions, republications, fields, edges, rejects, sections. Of a decision in several issues, the first to arrive stays."""
+def tables(pages: DataFrame, known_codes: list[int], newest_first: bool = False, keep_incomplete: bool = False) -> dict[str, DataFrame]:
+    """decisions, republications, fields, edges, rejects, sections. Of a decision in several issues, the first to arrive stays.
+
+    An import (`keep_incomplete`) takes sections whose end is missing too; they stay reported among the rejects."""
     whole, rejects = sifted(pages, known_codes)
+    if keep_incomplete:
+        whole = whole.unionByName(rejects.filter("reason = 'incomplete'").drop("reason"))
     rows = decisions_of(whole).withColumn("parser", F.lit(PARSER_VERSION))
     order = [F.desc("issue") if newest_first else F.asc("issue"), "code"]
     decisions, republished = store.first_wins(rows, "decision", order)
@@ -57,6 +61,12 @@ def tables(pages: DataFrame, known_codes: list[int], newest_first: bool = False)
     }
 
 
+def save(made: dict[str, DataFrame], path: str) -> None:
+    """Each table as Parquet under `path`."""
+    for name, frame in made.items():
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def stale(decisions: DataFrame) -> DataFrame:
     """Decisions that another version of the parser made: their issues are to be parsed anew from the raw pages."""
     return decisions.filter(F.col("parser") != PARSER_VERSION).select("issue").distinct()

@@ -113,3 +113,8 @@ def test_query_options():
     assert Q.case_number("2026.6743") == "20266743"
     with pytest.raises(Q.Refused):
         Q.case_number("1234567890")
+
+
+def test_enriched():
+    groups = [["dano"], ["banco"]]
+    assert Q.enriched(groups, 0, ["Dano", "abalo", "ABALO"]) == [["dano", "abalo"], ["banco"]] and groups == [["dano"], ["banco"]]
