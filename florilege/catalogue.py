@@ -188,7 +188,7 @@ def zero_diagnosis(spark, sf_dir):
 
 @q(f"WITH {idx()} SELECT term, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM (SELECT doc_id, unnest(string_split_regex(trim(pad_text), ' +')) AS term FROM idx) WHERE term <> '' GROUP BY term")
 def vocab_df(spark, sf_dir):
-    return index.vocabulary(corpus(spark, sf_dir), ("text",), "doc_id")
+    return index.vocabulary(corpus(spark, sf_dir), ("text",))
 
 
 TERMS = ["heed", "with"]

@@ -32,9 +32,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Queries sent to all rows at a time.
+QUERY_BLOCK = 10_000
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """query_id, id, rank, cosine: exact, for a stated set of queries that is sent to all rows."""
-    asked = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")))
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks > 1:
+        part = F.pmod(F.xxhash64(id_col), F.lit(2 * blocks))
+        return reduce(DataFrame.unionByName, [dense_top(vectors, queries.filter(part == b), id_col, vector_col, k) for b in range(2 * blocks)])
+    asked = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")))  # QUERY_BLOCK rows at most
     pairs = vectors.join(asked, F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("id"), cosine(F.col("_q"), F.col(vector_col)).alias("cosine"))
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
     return pairs.withColumn("rank", nth).filter(F.col("rank") <= k)

@@ -80,7 +80,7 @@ def test_scores(built, rows, query, weights):
 
 
 def test_tokens_and_vocabulary(built, rows):
-    vocabulary = {r.term: (r.doc, r.cnt) for r in index.vocabulary(built, FIELDS, "id").collect()}
+    vocabulary = {r.term: (r.doc, r.cnt) for r in index.vocabulary(built, FIELDS).collect()}
     docs = [plain(r[1]) + plain(r[2]) for r in rows]
     assert vocabulary == {w: (sum(w in d for d in docs), sum(d.count(w) for d in docs)) for w in set().union(*docs)}
     assert {r.id: r.n_tokens for r in built.collect()} == {r[0]: len(d) for r, d in zip(rows, docs)}
