@@ -249,7 +249,7 @@ LIFT_QUERY = parse("avec dans")
 )
 def lift_terms(spark, sf_dir):
     words = F.regexp_extract_all("pad_text", F.lit("[a-z]{5,}"), F.lit(0))
-    docs = corpus(spark, sf_dir).select("doc_id", "pad_text", words.alias("words")).persist()
+    docs = corpus(spark, sf_dir).select("doc_id", "pad_text", words.alias("words"))
     general = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("doc"))
     found = docs.filter(search.matches(LIFT_QUERY, ("text",)))
     return analytics.lift_terms(found, F.col("words"), general, docs.count()).withColumn("lift", F.round("lift", 6))
@@ -546,10 +546,10 @@ def small_scalars(spark, sf_dir):
     "SELECT doc_id, item_id, strpos(t, u) AS at FROM d JOIN b ON contains(t, u)"
 )
 def quote_verify(spark, sf_dir):
-    form = lambda c: F.regexp_replace(T.fold_accents(F.lower(c)), "[^a-z0-9]+", " ")
+    form = lambda c: F.regexp_replace(T.fold_accents(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " ")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), form(F.col("text")), F.lit(" ")).alias("t"))
     # the quotations to check are a stated, small set that goes to every text
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(" "), F.trim(form(F.col("text"))), F.lit(" ")).alias("u"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(" "), F.trim(form(F.col("text"))), F.lit(" ")).alias("u")).filter("u <> '  '")
     return docs.join(F.broadcast(items), F.contains("t", "u")).select("doc_id", "item_id", F.instr("t", F.col("u")).cast("long").alias("at"))
 
 
