@@ -7,8 +7,8 @@ is calibrated: for `CALIBRATE` queries the true neighbours among all rows are fo
 until the mean share of true neighbours in visited leaves reaches `RECALL`.
 
 Equal vectors are folded first; only the k + 1 smallest ids of a vector can be in any result, so this loses nothing and
-no vector is hot. Leaves are cut into blocks of at most `BLOCK` vectors and queries into blocks of `QUERIES`, so a full
-leaf is many tasks, and what is joined are blocks, not pairs of rows.
+no vector is hot. Leaves stand on shelves of `BLOCK` vectors, a full leaf on one of its own in several blocks; queries come
+in lots of `QUERIES`, once to a shelf with the leaves that they visit there. What is joined are blocks, not pairs of rows.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null
 ids, nor vectors of another length than the commonest (of equals the longest); repeated rows count once; equal scores go
@@ -191,17 +191,43 @@ def brute_force(groups: DataFrame, queries: np.ndarray, q_ids: np.ndarray, k: in
     return top(groups.select("rep", "v").mapInArrow(run, FOUND), k)
 
 
-def packed(rows: DataFrame, by: list[str], id_col: str, most: int) -> DataFrame:
-    """Matrices of vectors by the columns `by`: ids and components as bytes, at most `most` vectors a row."""
+def packed(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Rows (rep, v, leaves) as matrices by the columns `by`, at most `most` vectors a row: ids, components, and each
+    vector's leaves as counts and numbers, in the order of the leaves and ids."""
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        pdf = pdf.assign(first=[x[0] for x in pdf.leaves]).sort_values(["first", "rep"])
         for at in range(0, len(pdf), most):
             part = pdf.iloc[at : at + most]
-            out.append((*key, part[id_col].to_numpy(np.int64).tobytes(), np.stack(part.v.to_list()).astype(np.float64).tobytes()))
-        return pd.DataFrame(out, columns=[*by, "ids", "m"])
+            counts, flat = np.fromiter(map(len, part.leaves), np.int32, len(part)), np.concatenate(part.leaves.to_list()).astype(np.int32)
+            out.append((*key, part.rep.to_numpy(np.int64).tobytes(), np.stack(part.v.to_list()).astype(np.float64).tobytes(), counts.tobytes(), flat.tobytes()))
+        return pd.DataFrame(out, columns=[*by, "ids", "m", "counts", "leaf"])
 
-    return rows.groupBy(*by).applyInPandas(pack, ", ".join(f"{c} int" for c in by) + ", ids binary, m binary")
+    return rows.groupBy(*by).applyInPandas(pack, ", ".join(f"{c} int" for c in by) + ", ids binary, m binary, counts binary, leaf binary")
+
+
+def shelved(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """By leaf: its shelf and the blocks of that shelf. Small leaves share a shelf up to BLOCK vectors, a full one has its own, in blocks."""
+    out, shelf, filled = {}, -1, BLOCK
+    for leaf, n in sorted(sizes.items()):
+        if filled + n > BLOCK:
+            shelf, filled = shelf + 1, 0
+        filled += n
+        out[leaf] = (shelf, -(-n // BLOCK))
+    return out
+
+
+def met_on_a_shelf(row: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """A block of vectors and a lot of queries: each leaf's vectors against the queries that visit it."""
+    ids, m, _, leaf, q_ids, q_m, q_counts, q_leaf = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.float64, np.int32, np.int32) * 2))
+    m, q_m = m.reshape(len(ids), -1), q_m.reshape(len(q_ids), -1)
+    visitor = np.repeat(np.arange(len(q_ids)), q_counts)
+    starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+    for at, end in zip(starts, [*starts[1:], len(leaf)]):
+        here = visitor[q_leaf == leaf[at]]
+        if len(here):
+            yield tops(q_m[here], q_ids[here], m[at:end], ids[at:end], k)
 
 
 def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, calibrate: int = CALIBRATE, recall: float = RECALL, leaf_size: int = LEAF) -> DataFrame:
@@ -233,7 +259,7 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPL
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.assign(lifted(matrix(b.column(1)), norm)))], ["rep", "v", "leaf"])
 
     indexed = materialize(groups.select("rep", "v").mapInArrow(index, "rep long, v array<double>, leaf int"), "leaves")
-    blocks = {r["leaf"]: -(-r["count"] // BLOCK) for r in indexed.groupBy("leaf").count().collect()}  # a row a leaf of the tree
+    shelves = shelved({r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()})  # a row a leaf of the tree
     # widen until the true neighbours of the calibration queries are in the visited leaves
     n_asked = groups.filter("mask IS NOT NULL").count()
     if not n_asked:
@@ -246,36 +272,37 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPL
         place = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, tree.leaves()))} for q, v in zip(q_ids.tolist(), unlifted(qs))}
         ranks = sorted(place[r["query"]][r["leaf"]] for r in true)
         visits = ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1
-    numbers = spark.sparkContext.broadcast(blocks)
+    numbers = spark.sparkContext.broadcast(shelves)
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tree, _), blocks = shared.value, numbers.value
+        (tree, _), shelves = shared.value, numbers.value
         for b in batches:
             for i, q in enumerate(unlifted(matrix(b.column(1)))):
-                at = [(leaf, k) for leaf in tree.visits(q, visits) for k in range(blocks.get(leaf, 0))]
-                one = b.slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
-                leaf, block = (pa.array([x[j] for x in at], pa.int32()) for j in (0, 1))
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), leaf, block], ["rep", "v", "leaf", "block"])
-
-    def block_of(leaf: Column) -> Column:
-        n = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in blocks.items() if v > 1) + "}"), "map<string,int>"), leaf.cast("string"))
-        return F.pmod(F.xxhash64("rep"), F.coalesce(n, F.lit(1))).cast("int")
-
-    stored = packed(indexed.withColumn("block", block_of(F.col("leaf"))), ["leaf", "block"], "rep", 2 * BLOCK)
-    asks = groups.filter("mask IS NOT NULL").select("rep", "v").mapInArrow(plan, "rep long, v array<double>, leaf int, block int")
-    asks = packed(asks.withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(max(1, n_asked // QUERIES))).cast("int")), ["leaf", "block", "lot"], "rep", QUERIES)
-    met = stored.join(asks.select("leaf", "block", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), ["leaf", "block"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, m, q_ids, q_m = (np.frombuffer(b.column(j)[i].as_py(), t) for j, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
-                yield tops(q_m.reshape(len(q_ids), -1), q_ids, m.reshape(len(ids), -1), ids, k + 1)
+                by_shelf: dict[tuple[int, int], list[int]] = {}
+                for leaf in tree.visits(q, visits):
+                    shelf, n = shelves.get(leaf, (0, 0))
+                    for block in range(n):
+                        by_shelf.setdefault((shelf, block), []).append(leaf)
+                one = b.slice(i, 1).take(pa.array(np.zeros(len(by_shelf), np.int64)))
+                shelf, block = (pa.array([x[j] for x in by_shelf], pa.int32()) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), shelf, block, pa.array(list(by_shelf.values()), pa.list_(pa.int32()))], ["rep", "v", "shelf", "block", "leaves"])
+
+    def of_leaf(which: int) -> Column:
+        by_node = [str(shelves.get(i, (0, 0))[which]) for i in range(len(tree.kids))]
+        return F.element_at(F.split(F.lit(",".join(by_node)), ",").cast("array<int>"), F.col("leaf") + 1)
+
+    blocks = indexed.select("rep", "v", F.array("leaf").alias("leaves"), of_leaf(0).alias("shelf"), F.pmod(F.xxhash64("rep"), of_leaf(1)).cast("int").alias("block"))
+    stored = packed(blocks, ["shelf", "block"], 2 * BLOCK)
+    asks = groups.filter("mask IS NOT NULL").select("rep", "v").mapInArrow(plan, "rep long, v array<double>, shelf int, block int, leaves array<int>")
+    asks = packed(asks.withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(max(1, n_asked // QUERIES))).cast("int")), ["shelf", "block", "lot"], QUERIES)
+    columns = ("ids", "m", "counts", "leaf")
+    met = stored.join(asks.select("shelf", "block", *(F.col(c).alias(f"q_{c}") for c in columns)), ["shelf", "block"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from folded(pairs(batches), k + 1)
+        rows = ([c[i].as_py() for c in b.columns] for b in batches for i in range(b.num_rows))
+        yield from folded((hits for row in rows for hits in met_on_a_shelf(row, k + 1)), k + 1)
 
-    hits = top(met.select("ids", "m", "q_ids", "q_m").mapInArrow(score, FOUND), k + 1)
+    hits = top(met.select(*columns, *(f"q_{c}" for c in columns)).mapInArrow(score, FOUND), k + 1)
     members = groups.select(F.col("rep").alias("vector"), "ids")
     one = F.struct((-F.col("score")).alias("far"), F.col("id").alias("id"))
     lists = hits.join(members, "vector").select("query", "score", F.explode("ids").alias("id")).groupBy("query").agg(F.slice(F.sort_array(F.collect_list(one)), 1, k + 1).alias("near"))
