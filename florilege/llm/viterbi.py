@@ -35,8 +35,10 @@ from .shared import lean_batches
 #: U+2581 in the model; a plain blank here, so that units stay short in memory.
 MARK, BLANK = "▁", " "
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-REMEMBERED = 300_000
-PAIRS_REMEMBERED = 300_000
+REMEMBERED = 450_000
+PAIRS_REMEMBERED = 450_000
+#: Lengths to try where no longer piece may end.
+SHORT = (2, 1)
 #: Longest unit remembered.
 LONGEST = 48
 #: Score of a character without a piece in a unigram model.
@@ -62,16 +64,13 @@ class Model:
         #: what each id puts into a text
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in hidden else " ⁇ ".encode() if i == self.unknown else t.encode() for i, t in enumerate(self.text)]
         self.longest = max(map(len, self.id))
-        self.lengths: dict[str, tuple[int, ...]] = {}
         tails: dict[str, set[int]] = {}
         for p in self.id:
-            tails.setdefault(p[-2:], set()).add(len(p))
-        # the lengths of pieces by their last two characters; longest first
+            if len(p) > 2:
+                tails.setdefault(p[-3:], {n for n in (1, 2) if p[-n:] in self.id}).add(len(p))
+        #: by last three characters: the lengths of the pieces that may end there, longest first
         self.lengths = {t: tuple(sorted(k, reverse=True)) for t, k in tails.items()}
         self.pairs: dict[int, bool] = {}
-        self.none: tuple[int, ...] = ()
-        #: by last two characters: the lengths to try, those of one-character tails included
-        self.tries = {t: k + self.lengths.get(t[-1], ()) if len(t) > 1 else k for t, k in self.lengths.items()}
         inner = any(BLANK in p.lstrip(BLANK) for p in self.id)
         joined = any(re.search(f"[{LETTERS}][^{LETTERS}{BLANK}]", p) for p in self.id)
         # a unit is text that no piece leaves: blanks, other signs, letters
@@ -137,14 +136,12 @@ class StreamingViterbi:
     def _grow_bpe(self, text: str) -> None:
         """Give each new boundary the one arc that keeps the path the model's own encoding."""
         m, node, done = self.m, self.node, self.done
-        tries, ids, pairs, fits = m.tries, m.id, m.pairs, m.fits
+        lengths, ids, pairs, fits = m.lengths, m.id, m.pairs, m.fits
         end = len(self.window)
         window = self.window = self.window + text
         while end < len(window):
             end += 1
-            single = window[end - 1]
-            lengths = tries.get(window[end - 2 : end]) if end > 1 else None
-            for n in lengths or m.lengths.get(single, m.none):
+            for n in lengths.get(window[end - 3 : end], SHORT) if end > 2 else SHORT:
                 start = end - n
                 if start < done:
                     continue
@@ -165,9 +162,8 @@ class StreamingViterbi:
         window = self.window = self.window + text
         while end < len(window):
             end += 1
-            single = window[end - 1]
             best = (node[end - 1][0] + LOST, end - 1, -1)
-            for n in m.tries.get(window[end - 2 : end] if end > 1 else single) or m.lengths.get(single, m.none):
+            for n in m.lengths.get(window[end - 3 : end], SHORT) if end > 2 else SHORT:
                 start = end - n
                 if start >= self.done and (piece := m.id.get(window[start:end])) is not None and (total := node[start][0] + m.score[piece]) > best[0]:
                     best = (total, start, piece)
