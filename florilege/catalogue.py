@@ -542,15 +542,11 @@ def small_scalars(spark, sf_dir):
 
 
 @q(
-    "WITH d AS (SELECT doc_id, ' ' || regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS u FROM benchmark) "
+    "WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS u FROM benchmark) "
     "SELECT doc_id, item_id, strpos(t, u) AS at FROM d JOIN b ON contains(t, u)"
 )
 def quote_verify(spark, sf_dir):
-    form = lambda c: F.regexp_replace(T.fold_accents(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), form(F.col("text")), F.lit(" ")).alias("t"))
-    # the quotations to check are a stated, small set that goes to every text
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(" "), F.trim(form(F.col("text"))), F.lit(" ")).alias("u")).filter("u <> '  '")
-    return docs.join(F.broadcast(items), F.contains("t", "u")).select("doc_id", "item_id", F.instr("t", F.col("u")).cast("long").alias("at"))
+    return verify.containments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 # ---- requests over time --------------------------------------------------------------------------------------------------------

@@ -41,8 +41,10 @@ def fold_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def fold_accents(text: Column) -> Column:
-    return F.translate(text, *fold_table())
+def fold_accents(text: Column, source: str = "", target: str = "") -> Column:
+    """Letters without their accents, and `source` as `target`."""
+    letters, bases = fold_table()
+    return F.translate(text, letters + source, bases + target)
 
 
 def fold_accents_py(text: str) -> str:
@@ -85,7 +87,7 @@ NORM_RULES = (
 
 def norm(text: Column) -> Column:
     """Comparison form: no accents, lower case, one kind of quote and dash, no blanks before stops, single blanks."""
-    t = F.lower(fold_accents(F.translate(text, "ºª", "oa")))
+    t = F.lower(fold_accents(text, "ºª", "oa"))
     for pattern, to in NORM_RULES:
         t = F.regexp_replace(t, pattern, to)
     return F.trim(t)

@@ -70,7 +70,8 @@ def decorated(rows: DataFrame, key: str, process: str, republications: DataFrame
 
 def lift_terms(rows: DataFrame, words: Column, vocabulary: DataFrame, n_all: int, excluded: list[str] = (), most: int = MOST_HINTS) -> DataFrame:
     """term, df, lift: words much commoner in `rows` than in the collection. `words` is the array of a row's words."""
-    n = rows.count()
+    rows = rows.select(words.alias("_words")).persist()  # of the rows found, their words alone
+    words, n = F.col("_words"), rows.count()
     if n < LEAST_ROWS:
         return rows.sparkSession.createDataFrame([], "term string, df long, lift double")
     df = rows.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))

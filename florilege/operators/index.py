@@ -12,7 +12,7 @@ from florilege.functions.text import TOKEN, fold_accents
 
 
 def padded(text: Column) -> Column:
-    words = F.trim(F.regexp_replace(fold_accents(F.lower(F.coalesce(text, F.lit("")))), TOKEN, "  "))
+    words = F.trim(F.regexp_replace(F.lower(fold_accents(F.coalesce(text, F.lit("")))), TOKEN, "  "))
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
