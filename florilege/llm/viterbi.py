@@ -35,8 +35,8 @@ from .shared import lean_batches
 #: U+2581 in the model; a plain blank here, so that units stay short in memory.
 MARK, BLANK = "▁", " "
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-REMEMBERED = 450_000
-PAIRS_REMEMBERED = 450_000
+REMEMBERED = 350_000
+PAIRS_REMEMBERED = 350_000
 #: Lengths to try where no longer piece may end.
 SHORT = (2, 1)
 #: Longest unit remembered.
