@@ -11,7 +11,8 @@ A node that says it is the article is not removed for repeating (copies of one p
 within it are. Where a page has such a node, what lies outside is not part of the article.
 
 Two passes over the pages. What passes between them is a table of low nodes (host, path), not of pages; it is broadcast
-up to `BROADCAST_NODES` rows and joined by host, with hot hosts dealt over parts, beyond that.
+up to `BROADCAST_NODES` rows. Beyond that, the nodes of a host are joined by host, with hot hosts dealt over parts, and those of
+all hosts by path to the nodes of the pages that go by them, folded by page; that takes a third pass, over these pages.
 
 Defined results: null or empty html gives an empty text; a null url belongs to the host ''; a page that would lose all
 its text keeps what the roles alone leave; repeated rows give a row each; unclosed, misnested and deeply nested elements
@@ -318,7 +319,6 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
     def out(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    general = nodes.filter("host = -1").limit(broadcast_nodes).collect()
     if nodes.count() <= broadcast_nodes:
         by_host: dict[int, set[int]] = {}
         for r in nodes.collect():
@@ -335,24 +335,49 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
                 yield out(b, texts)
 
         return rows.mapInArrow(run, schema)
-    shared = spark.sparkContext.broadcast({r["path"] for r in general})
     host = F.coalesce(F.lower(F.regexp_extract("url", HOST.pattern, 1)), F.lit(""))
     # the seedless hash of the host's name, as the first pass has it
     keyed = hashed_hosts(rows.withColumn("name", host), kind).withColumn("part", salt(F.col("page_id"), F.col("url")))
+    keyed = keyed.withColumn("digest", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)))
     masks = keyed.groupBy("host").agg(salt_mask(F.col("part")).alias("mask"))
     lists = nodes.filter("host <> -1").groupBy("host").agg(F.collect_list("path").alias("paths"))
-    joined = keyed.join(salted(lists.join(masks, "host"), "mask", "part"), ["host", "part"], "left").select("page_id", "url", "html", "paths")
+    own = salted(lists.join(masks, "host"), "mask", "part")
+    general = general_lists(keyed.join(own.select("host", "part"), ["host", "part"], "left_anti"), nodes.filter("host = -1").select("path"))
+    joined = keyed.join(own, ["host", "part"], "left").join(general, ["digest", "part"], "left")
+    joined = joined.select("page_id", "url", "html", F.coalesce("paths", "general").alias("paths"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for text, paths in zip(b.column(2), b.column(3)):
-                texts.append(main_text(parse(text.as_py() or ""), Low(set(paths.as_py()) if paths.is_valid else shared.value)))
+                texts.append(main_text(parse(text.as_py() or ""), Low(set(paths.as_py() or ()))))
             yield out(b, texts)
 
     return joined.mapInArrow(run_joined, schema)
 
 
+def general_lists(pages: DataFrame, low_paths: DataFrame) -> DataFrame:
+    """(digest, part, general): the nodes of `low_paths` that the html of this digest has, for each part with such pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, paths = [], []
+            for i, text in enumerate(b.column(2)):
+                found = {path >> 1 for path in features(parse(text.as_py() or ""))}
+                at += [i] * len(found)
+                paths += found
+            held = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(paths, pa.int64())], ["digest", "mask", "path"])
+
+    once = pages.groupBy("digest").agg(salt_mask(F.col("part")).alias("mask"), F.first("html").alias("html"))
+    held = once.select("digest", "mask", "html").mapInArrow(run, "digest binary, mask long, path long")
+    # a path that all pages have is dealt over parts, as a page that has many copies is
+    held = materialize(held.withColumn("deal", salt(F.col("digest"))), "held")
+    deals = held.groupBy("path").agg(salt_mask(F.col("deal")).alias("deals"))
+    found = held.join(salted(low_paths.join(deals, "path"), "deals", "deal"), ["path", "deal"])
+    return salted(found.groupBy("digest", "mask").agg(F.collect_list("path").alias("general")), "mask", "part")
+
+
 class Low:
     """Paths by their upper 63 bits, as the tables have them."""
 

@@ -66,6 +66,25 @@ def test_repeating_branches_go_by_entropy_alone(spark):
     assert sitetree.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_small_hosts_go_by_the_tree_of_all_hosts_whatever_its_size(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    frames = [line(8) for _ in range(6)]
+    rows, want = [], {}
+    for i in range(90):
+        body = line(30)
+        frame = "".join(f"<div class=x{'abcdef'[k]}>{f}</div>" for k, f in enumerate(frames))
+        # 10 hosts of 3 pages with nothing low of their own, and one of 60
+        rows.append((i, f"https://h{i % 10 if i < 30 else 'ot'}.example/{i}", f"{frame}<div class=body><p>{body}</p></div>", "q", 1, 2))
+        want[i] = body
+    rows += [(None, "https://h1.example/null", rows[0][2], "q", 1, 2)] + rows[:1] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(str, sitetree.extract(df).collect()))
+    got = sitetree.extract(df, broadcast_nodes=3).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got if r.page_id is not None} == want
+    assert sorted(map(str, got)) == whole
+
+
 def test_pages_of_the_test_data(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in sitetree.extract(df).collect()}
