@@ -4,6 +4,10 @@ Language ID drops documents without a told language; exact dedup keeps the row o
 near-dedup keeps the smallest doc_id of each component; mixing repeats and drops documents to meet the sources' targets and
 puts them in training order (a pass that takes under half of a document's words is left out, any other has the whole
 text); the last stage encodes what is left. Nulls, empty texts, ties and empty tables follow the operators' docstrings.
+
+Stages 2 to 4 decide by row: each writes its input with a number a row, and keeps or places rows by that. A doc_id is only
+a rank, null after all others: of rows that repeat one, and of rows without one, a group of copies keeps a single row (the
+exact one that of the largest row number, the near one that of the smallest), and each row is mixed by itself.
 """
 
 from __future__ import annotations
@@ -18,9 +22,17 @@ from florilege.llm.shared import materialize, table
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` less the rows of these doc_ids. Written first, so their size is known when the join is planned."""
-    return docs.join(materialize(dropped.select("doc_id"), "dropped"), "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """`docs` with a number a row, and its column. Written, so that each later reading sees the same numbers."""
+    row = "row_number"
+    while row in docs.columns:
+        row += "_"
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
+
+
+def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """`docs` less the rows of these numbers. Written first, so their size is known when the join is planned."""
+    return docs.join(materialize(dropped.select(row), "dropped"), row, "left_anti").drop(row)
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +40,27 @@ def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+    docs, row = numbered(docs, "rows")
+    keyed = docs.select("text", F.struct("doc_id", row).alias("key"))
+    return without(docs, exact_dedup.exact_dedup(keyed, "key").filter("NOT kept").select(f"doc_id.{row}"), row)
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
+    docs, row = numbered(docs, "rows")
+    found = simhash.near_duplicates(docs, row).select(F.col("doc_id").alias(row), "component_id")
+    found = materialize(found.join(docs.select(row, "doc_id"), row), "components")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best"))
+    return without(docs, found.join(best.select(F.col(f"best.{row}").alias(row)), row, "left_anti"), row)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = curriculum.placed(docs)
+    columns = docs.columns
+    docs, row = numbered(docs, "rows")
+    rows = curriculum.placed(docs, row=row)
     passes = [F.struct(F.lit(p).alias("pass"), curriculum.words_of_pass(p).alias("words"), curriculum.position_of_pass(p).alias("position")) for p in range(curriculum.MAX_EPOCHS)]
-    rows = rows.select("doc_id", "size", F.inline(F.array(*passes))).filter("words > 0 AND 2 * words >= size")
-    plan = materialize(rows.select("doc_id", "pass", "position"), "plan")
-    return docs.join(plan, "doc_id").orderBy("position", "doc_id", "pass").select(docs.columns)
+    rows = rows.select(row, "size", F.inline(F.array(*passes))).filter("words > 0 AND 2 * words >= size")
+    plan = materialize(rows.select(row, "pass", "position"), "plan")
+    return docs.join(plan, row).orderBy("position", "doc_id", "pass", row).select(columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

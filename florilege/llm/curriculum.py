@@ -28,13 +28,14 @@ TILTS = (-0.5, 0.0, 0.5)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def sized(docs: DataFrame, seed: str = SEED, row: str | None = None) -> DataFrame:
     source = F.col("source").cast("string")
     return docs.select(
         "doc_id",
         F.concat(F.when(source.isNull(), "1").otherwise("0"), F.coalesce(source, F.lit(""))).alias("src"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("ord"),
+        *([row] if row else []),
     ).withColumn("bucket", F.substring("ord", 1, 3))
 
 
@@ -66,19 +67,21 @@ def invert(y: Column, tilt: Column) -> Column:
     return 2.0 * y / (b + F.sqrt(b * b + 4.0 * tilt * y))
 
 
-def placed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, tilts=TILTS, seed: str = SEED) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, quota (its source's words taken), at (words of its source before it), tilt."""
-    rows = materialize(sized(docs, seed), "sizes")
+def placed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, tilts=TILTS, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, quota (its source's words taken), at (words of its source before it), tilt; `row`, a
+    column that numbers the rows, if named."""
+    rows = materialize(sized(docs, seed, row), "sizes")
+    numbers = [row] if row else []
     buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     totals = targets(buckets.groupBy("src").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     ahead = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = buckets.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words").join(totals, "src")
-    within = W.partitionBy("src", "bucket").orderBy("ord", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("src", "bucket").orderBy("ord", "size", *numbers).rowsBetween(W.unboundedPreceding, -1)
     tilt = F.element_at(F.array(*map(F.lit, tilts)), F.col("weight"))
     return (
         rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(buckets, ["src", "bucket"])
-        .select("doc_id", "size", "source_size", "target", F.floor(F.col("target") + 0.5).alias("quota"), (F.col("ahead") + F.col("inside")).alias("at"), tilt.alias("tilt"))
+        .select("doc_id", "size", "source_size", "target", F.floor(F.col("target") + 0.5).alias("quota"), (F.col("ahead") + F.col("inside")).alias("at"), tilt.alias("tilt"), *numbers)
     )
 
 

@@ -72,6 +72,40 @@ def test_stages_against_brute_force(spark):
     assert all(list(r.ids) == sp.encode(text[r.doc_id]) and r.exact for r in encoded)
 
 
+def test_null_and_repeated_doc_ids(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choices("the and ing tion er".split(), k=3)) for _ in range(40))
+    a, b, c, d, e, f, g, near = (line() for _ in range(8))
+    close = "\t" + near.replace(" ", "  ")  # another text with the same words
+    ids = [(None, a), (None, a.upper()), (None, b), (7, c), (7, c), (8, d), (8, e), (9, e), (None, e), (5, f), (5, g), (6, near), (6, close), (None, near + "\n"), (8, close + " ")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", n) for n, (i, t) in enumerate(ids)] + [(100 + n, line(), "aa", "s", 100 + n) for n in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    step = dict(corpus_pipeline.STAGES)
+    known = step["language ID"](spark, docs, "")
+    assert known.count() == docs.count()
+
+    def told(df):
+        return sorted(((r.doc_id, r.text.lower()) for r in df.collect() if r.n_chars < 100), key=str)
+
+    low = lambda rows: sorted(((i, t.lower()) for i, t in rows), key=str)
+    unique = step["exact dedup"](spark, known, "")
+    left = [(None, a), (None, b), (7, c), (8, d), (9, e), (5, f), (5, g)]
+    assert told(unique) == low([*left, (6, near), (6, close), (None, near + "\n"), (8, close + " ")])
+    apart = step["SimHash near-dedup"](spark, unique, "")
+    assert [x for x in told(apart) if x[0] != 6] == low(left) and sum(x[0] == 6 for x in told(apart)) == 1
+    plain = apart.collect()
+    mixed = step["mixing sources"](spark, apart, "")
+    # one source of 40-word texts: its target is its size, and every row is there once
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, plain))
+    # the same rows at every id null, and at one id
+    for same in ("cast(null AS long)", "cast(1 AS long)"):
+        alike = known.selectExpr(f"{same} AS doc_id", "text", "lang", "source", "n_chars")
+        for name in ("exact dedup", "SimHash near-dedup", "mixing sources"):
+            alike = step[name](spark, alike, "")
+        assert sorted(set(r.text.lower().strip() for r in alike.collect()) - {near.lower(), close.strip().lower()}) == sorted(set(r.text.lower().strip() for r in plain) - {near.lower(), close.strip().lower()})
+        assert alike.count() == len(plain)
+    assert step["SentencePiece encoding"](spark, mixed, "").count() == len(plain)
+
+
 def test_empty_pipeline(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
