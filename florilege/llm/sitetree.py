@@ -194,13 +194,7 @@ def features(root: Node) -> dict[int, tuple[int, int]]:
     for what, opening in in_order(root):
         if isinstance(what, str):
             if words := what.split():
-                raw = " ".join(words).encode("utf-8", "surrogatepass")
-                if len(open_) <= 64:  # a text counts for the nodes around it; deeper ones pass theirs to the nearest 64
-                    for path in open_:
-                        content[path].update(raw)
-                else:
-                    for path in open_[-64:]:
-                        content[path].update(raw)
+                content[open_[-1]].update(" ".join(words).encode("utf-8", "surrogatepass"))
         elif what.tag in BLOCK and what.tag not in VOID or what.parent is None:
             if opening:
                 if open_:
@@ -209,7 +203,9 @@ def features(root: Node) -> dict[int, tuple[int, int]]:
                     style[what.path], content[what.path] = xxhash.xxh64(), xxhash.xxh64()
                 open_.append(what.path)
             else:
-                open_.pop()
+                path = open_.pop()
+                if open_ and what.total:  # its text counts for the block around it too, at any depth
+                    content[open_[-1]].update(content[path].digest())
     return {p: (s.intdigest() >> 1, content[p].intdigest() >> 1) for p, s in style.items()}
 
 

@@ -66,6 +66,16 @@ def test_repeating_branches_go_by_entropy_alone(spark):
     assert sitetree.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_deep_pages_go_by_entropy_too(spark):
+    rng = random.Random(7)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    frame, rows, want = line(10), [], {}
+    for i in range(30):
+        want[i] = line(30)
+        rows.append((i, "https://deep.example/", f"<div class=xa>{frame}</div><div class=xb>" + "<div>" * 100 + want[i] + "</div>" * 101, "q", 1, 2))
+    assert {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def test_small_hosts_go_by_the_tree_of_all_hosts_whatever_its_size(spark):
     rng = random.Random(5)
     line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
