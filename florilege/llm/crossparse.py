@@ -4,7 +4,8 @@ For every language a suffix automaton is built over a bounded sample of its labe
 into the longest matches that occur in the sample; a phrase ends at the first letter that does not continue one. The
 number of phrases over the number of letters read is the cross-parsing entropy; the smallest wins, ties by code point.
 
-The automata are tables of next states (one row a state, one column a letter), so the texts of an Arrow batch are parsed
+The automata are tables of next states (one row a state, one column a letter; where a sample has more than `COLUMNS`
+letters, the steps by its rarer ones are a sorted list instead), so the texts of an Arrow batch are parsed
 side by side: each is cut into lanes of `LANE` letters and all lanes advance together, one array step a letter. A
 phrase ends at a lane's end. All letters of a text are read; none decides alone.
 
@@ -33,7 +34,7 @@ from .shared import lean_batches
 
 LANE = 512
 SAMPLE_DOCS, SAMPLE_LETTERS = 200, 240_000
-#: Letters that own a column in the tables; the last column takes the rarer ones, column 0 the gap between words.
+#: Columns of a language's table: its most frequent letters, and a last one for all that its sample does not have.
 COLUMNS = 64
 LETTER = re.compile(r"[^\W\d_]+")
 
@@ -45,30 +46,12 @@ def spoken(text: str) -> str:
 
 
 def alphabet(samples: dict[str, str]) -> dict[str, int]:
-    counts: dict[str, int] = {}
-    for text in samples.values():
-        for c in text:
-            counts[c] = counts.get(c, 0) + 1
-    counts.pop(" ", None)
-    common = sorted(counts, key=lambda c: (-counts[c], c))[: COLUMNS - 2]
-    return {" ": 0} | {c: i + 1 for i, c in enumerate(sorted(common))}
-
-
-def coded(text: str, columns: dict[str, int], other: int) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = np.full(0x3000, other, np.uint8)
-    for c, i in columns.items():
-        if ord(c) < len(table):
-            table[ord(c)] = i
-    out = table[np.minimum(points, len(table) - 1)]
-    for c, i in columns.items():
-        if ord(c) >= len(table):
-            out[points == ord(c)] = i
-    return out
-
-
-def suffix_automaton(code: list[int], width: int = COLUMNS) -> np.ndarray:
-    """Next states, states x `width`: where no match goes on, the state after a new phrase's letter, less 2 ** 31."""
+    """Every letter of any sample, numbered."""
+    return {c: i for i, c in enumerate(sorted(set().union(*samples.values())))}
+
+
+def suffix_automaton(code: list[int]) -> list[dict[int, int]]:
+    """Next states by letter, a dictionary a state."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in code:
         cur = len(nxt)
@@ -93,11 +76,45 @@ def suffix_automaton(code: list[int], width: int = COLUMNS) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), width), -1, np.int32)
-    for s, row in enumerate(nxt):
-        table[s, list(row)] = list(row.values())
-    restart = np.where(table[0] >= 0, table[0], 0).astype(np.int64) - (1 << 31)
-    return np.where(table >= 0, table, restart[None, :]).astype(np.int32)
+    return nxt
+
+
+class Steps:
+    """An automaton as arrays. A step gives the next state; where no match goes on, that after a new phrase's letter, less 2 ** 31."""
+
+    def __init__(self, code: np.ndarray, n_letters: int) -> None:
+        counts = np.bincount(code, minlength=n_letters + 1)
+        common = np.argsort(-counts, kind="stable")[: COLUMNS - 1]
+        common = common[counts[common] > 0]
+        self.width = len(common) + 1
+        self.column = np.full(n_letters + 1, len(common), np.int32)
+        self.column[common] = np.arange(len(common))
+        #: Numbers of the letters that the sample has and that own no column, from 0; -1 for all others.
+        self.rare = np.full(n_letters + 1, -1, np.int32)
+        rest = np.flatnonzero((counts > 0) & (self.column == len(common)))
+        self.rare[rest] = np.arange(len(rest))
+        self.n_rare = len(rest)
+        nxt = suffix_automaton(code.tolist())
+        state = np.repeat(np.arange(len(nxt)), [len(row) for row in nxt])
+        letter = np.fromiter((c for row in nxt for c in row), np.int64, len(state))
+        to = np.fromiter((t for row in nxt for t in row.values()), np.int32, len(state))
+        own = self.column[letter] < len(common)
+        table = np.full((len(nxt), self.width), -1, np.int32)
+        table[state[own], self.column[letter[own]]] = to[own]
+        again = np.where(table[0] >= 0, table[0], 0).astype(np.int64) - (1 << 31)
+        self.table = np.where(table >= 0, table, again[None, :]).astype(np.int32).ravel()
+        keys = state[~own] * self.n_rare + self.rare[letter[~own]]
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[~own][order]
+
+    def next(self, state: np.ndarray, column: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
+        to = self.table[state * self.width + column]
+        if rare is not None and len(at := np.flatnonzero(rare >= 0)):
+            keys = state[at].astype(np.int64) * self.n_rare + rare[at]
+            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            # the first state has a step by every letter of the sample: they are the first keys, in order
+            to[at] = np.where(self.keys[found] == keys, self.to[found], self.to[rare[at]].astype(np.int64) - (1 << 31))
+        return to
 
 
 def labelled(doc_id: Column, lang: Column) -> Column:
@@ -129,11 +146,13 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
         self.columns = alphabet(samples)
-        self.other = len(self.columns)
-        self.tables = [suffix_automaton(self.coded(samples[k]).tolist(), self.other + 1).ravel() for k in self.langs]
+        self.other = len(self.columns)  # letters that no sample has
+        self.points = np.full(0x110000, self.other, np.int32)
+        self.points[[ord(c) for c in self.columns]] = list(self.columns.values())
+        self.tables = [Steps(self.coded(samples[k]), self.other) for k in self.langs]
 
     def coded(self, text: str) -> np.ndarray:
-        return coded(text, self.columns, self.other)
+        return self.points[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and letters read by text."""
@@ -150,13 +169,14 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         start = (np.repeat(np.cumsum(letters) - letters, lanes) + nth * LANE)[order]
         owner, length = owner[order], length[order]
-        stream = np.concatenate(codes).astype(np.int32)
+        stream = np.concatenate(codes)
         alive = total - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1))
-        width = self.other + 1
-        for k, table in enumerate(self.tables):
+        for k, steps in enumerate(self.tables):
+            columns, rare = steps.column[stream], steps.rare[stream] if steps.n_rare else None
             state, found = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for step, n in enumerate(alive):
-                to = table[state[:n] * width + stream[start[:n] + step]]
+                at = start[:n] + step
+                to = steps.next(state[:n], columns[at], None if rare is None else rare[at])
                 found[:n] += to < 0
                 state[:n] = to & 0x7FFFFFFF
             np.add.at(counts[:, k], owner, found + 1)

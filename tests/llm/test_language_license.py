@@ -36,6 +36,39 @@ def test_phrases_are_greedy_longest_matches():
         assert counts[i].tolist() == [plain_phrases(samples[k], t) if t else 0 for k in ("x", "y")]
 
 
+def phrases_with_strangers(sample, text):
+    """As above; a letter that the sample does not have starts a phrase, and what follows may be its rest."""
+    n = 0
+    for at in range(0, len(text), crossparse.LANE):
+        lane, i = text[at : at + crossparse.LANE], 0
+        while i < len(lane):
+            i += lane[i] not in sample
+            k = 0
+            while i + k < len(lane) and lane[i : i + k + 1] in sample:
+                k += 1
+            i += k
+            n += 1
+        # an empty phrase stands before a stranger at the start
+        n += lane[0] not in sample
+    return n
+
+
+def test_letters_of_many_scripts():
+    rng = random.Random(9)
+    scripts = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+    words = {k: ["".join(rng.choices(v, k=4)) for _ in range(200)] for k, v in scripts.items()}
+    for k, first in (("han1", 0x4E00), ("han2", 0x6E00)):
+        words[k] = ["".join(rng.choices([chr(first + i) for i in range(1500)], k=4)) for _ in range(800)]
+    draw = lambda k, n: crossparse.spoken(" ".join(rng.choices(words[k], k=n)))
+    samples = {k: draw(k, 300 if k == "greek" else 1500) for k in words}
+    texts = [draw(k, 30) for k in words for _ in range(4)] + [draw("han1", 300), draw("han1", 9) + draw("greek", 9)[1:], crossparse.spoken("ภาษา ไทย")]
+    parser = crossparse.CrossParser(samples)
+    counts, _ = parser.phrases(texts)
+    for i, t in enumerate(texts):
+        assert counts[i].tolist() == [phrases_with_strangers(samples[k], t) for k in parser.langs]
+    assert parser.predict(texts[:20])[0] == [k for k in words for _ in range(4)]
+
+
 def test_identify(spark):
     rng = random.Random(1)
     stems = {"aa": "the and ing tion er", "bb": "der und ung lich sch"}
