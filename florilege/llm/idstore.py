@@ -16,7 +16,8 @@ sums (not to ids), rebuilds every root, and combines the chunks' CRC-32 sums ove
 
 Defined results: a null text counts as empty and has the end id alone; null doc_ids come last; documents with equal ids
 follow one another in the order of their roots; an empty table gives an empty store and result; other columns are
-not read; texts of any length are encoded whole.
+not read; texts of any length are encoded whole; the string of an added token in a text is plain text, not the token (not
+the library's default).
 """
 
 from __future__ import annotations
