@@ -8,23 +8,22 @@ concatenation of the recipes' chunks in that order is the id file.
 
 Layout under `path`: cut/is_chunk=true (digests, n, payload), one row a distinct chunk; recipes/ (doc_id, start, n_tokens, digests,
 root, file_part), range-sorted by doc_id; manifest/ (file_part, first_id, n_docs, n_tokens, root), one row a recipe file, whose
-roots are Merkle roots over its recipes' roots.
+roots are Merkle roots over its recipes' roots; head/ (n_files, n_docs, n_tokens, root), one row over the manifest.
 
 Only one shuffle carries ids: chunks are dealt by name, after each task has dropped its own repeats, so a passage that a
-third of all documents share arrives once a task. Reading verifies every chunk against its name, joins recipes to chunk
-sums (not to ids), rebuilds every root, and combines the chunks' CRC-32 sums over GF(2) into the document's.
+third of all documents share arrives once a task. Reading verifies the manifest against its head and every recipe file
+against its manifest row (a lost file, a gap or a changed recipe raises), every chunk against its name, joins recipes to
+chunk sums (not to ids; a chunk that many documents share is dealt over parts), rebuilds every root, and combines the
+chunks' CRC-32 sums over GF(2) into the document's.
 
 Defined results: a null text counts as empty and has the end id alone; null doc_ids come last; documents with equal ids
 follow one another in the order of their roots; an empty table gives an empty store and result; other columns are
-not read; texts of any length are encoded whole; the string of an added token in a text is plain text, not the token (not
-the library's default).
+not read; texts of any length are encoded whole; the string of an added token in a text is that token, as the library has it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,70 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import lean_batches, scratch_root
+from .segments import encoder
+from .shared import lean_batches, remove, salt, salt_mask, salted, scratch_root
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 256, 8192
-#: Distinct words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 64
-#: Where these do not occur and words have no white space at their ends, no token crosses the start of a blank.
-UNUSUAL = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85]")
-EDGES = re.compile(r"\s\s|\A\s|\s\Z")
-
-
-def apart(words: set[str]) -> bool:
-    """Whether each of the words can be encoded without its neighbours."""
-    if "" in words or max(map(len, words), default=0) > LONGEST:
-        return False
-    joined = " ".join(words)
-    if UNUSUAL.search(joined):
-        return False
-    return not EDGES.search(joined) or not any(w[0].isspace() or w[-1].isspace() for w in words)
-
-
-class Encoder:
-    """The tokenizers library over a memory of words: a distinct word after a blank is encoded once, with a text's others."""
-
-    def __init__(self, file: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.wide = "<u2" if size <= 1 << 16 else "<u4"
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.wide)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self._encode(" " + " ".join(words))
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(words):
-            raise AssertionError("a word does not start with a blank's token")
-        raw, ends = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
-        self.known.update(zip(words, [raw[a:b] for a, b in zip(ends, ends[1:])]))
-
-    def ids(self, text: str) -> np.ndarray:
-        head, _, rest = text.partition(" ")
-        words = rest.split(" ") if rest else []
-        new = set(words).difference(self.known)
-        # words that are known have been found to stand apart
-        if not rest or not head or head[-1].isspace() or UNUSUAL.search(head) or new and not apart(new):
-            return self._encode(text)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set(words)
-            self._learn(list(new))
-        return np.frombuffer(self._encode(head).tobytes() + b"".join(map(self.known.__getitem__, words)), self.wide)
-
-
-@cache
-def encoder(file: str) -> Encoder:
-    return Encoder(file)
+#: Names of chunks that a task remembers having passed on; beyond them repeats go to the shuffle, which drops them.
+NAMES = 200_000
 
 
 @cache
@@ -114,16 +56,22 @@ def gear() -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash says so, LEAST to MOST ids apart; the last is the end."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash allows a cut."""
     n = len(ids)
     values = gear()[ids.astype(np.int64) & 0xFFFF]
     rolled = np.zeros(n, np.uint64)
     for k in range(min(WINDOW, n)):  # each id is weighed by its distance from the window's end
         rolled[k:] += values[: n - k] * np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64))
-    marks = np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + 1
-    out, at = [], 0
-    for m in marks.tolist():
+    return np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + 1
+
+
+def chunk_ends(allowed: list[int], at: int, end: int) -> list[int]:
+    """Ends of the chunks of the document from `at` to `end`: allowed places, LEAST to MOST ids apart; the last is its end.
+
+    Documents can lie side by side: a window that reaches into the one before ends less than LEAST ids from the start."""
+    out = []
+    for m in allowed:
         if m - at < LEAST:
             continue
         while m - at > MOST:
@@ -132,14 +80,19 @@ def cuts(ids: np.ndarray) -> list[int]:
         if m - at >= LEAST:
             out.append(m)
             at = m
-    while n - at > MOST:
+    while end - at > MOST:
         at += MOST
         out.append(at)
-    if at < n:
-        out.append(n)
+    if at < end:
+        out.append(end)
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document."""
+    return chunk_ends(marks(ids).tolist(), 0, len(ids))
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     level = leaves or [hashlib.sha256(b"").digest()]
     while len(level) > 1:
@@ -164,18 +117,23 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for b in batches:
             ready: list[tuple] = []
             held = 0
-            doc_ids = b.column(0).to_pylist()
-            for doc_id, text in zip(doc_ids, b.column(1)):
-                ids = np.append(enc.ids(text.as_py() or ""), np.array([end_id], enc.wide))
-                names, at = [], 0
-                for end in cuts(ids):
-                    part, at = ids[at:end], end
+            ids, ends = with_ends(*enc.encode(b.column(1)), end_id)
+            allowed = marks(ids)
+            upto = np.searchsorted(allowed, ends, "right")
+            at = first = 0
+            for doc_id, end, last in zip(b.column(0).to_pylist(), ends.tolist(), upto.tolist()):
+                names, begin = [], at
+                for stop in chunk_ends(allowed[first:last].tolist(), at, end):
+                    part, at = ids[at:stop], stop
                     names.append(hashlib.sha256(part.astype("<u4").tobytes()).digest())
                     if names[-1] not in seen:
+                        if len(seen) >= NAMES:
+                            seen.clear()
                         seen.add(names[-1])
                         ready.append((True, None, names[-1], len(part), pack.compress(part.tobytes())))
                         held += len(ready[-1][-1])
-                ready.append((False, doc_id, b"".join(names), len(ids), None))
+                ready.append((False, doc_id, b"".join(names), end - begin, None))
+                first = last
                 if held > 8_000_000:
                     yield out(ready, b.schema.field(0).type)
                     ready, held = [], 0
@@ -185,6 +143,16 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, f"is_chunk boolean, doc_id {kind}, digests binary, n long, payload binary")
 
 
+def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts side by side, and where each text's end, with the end id put after each."""
+    ends = ends + np.arange(1, len(ends) + 1)
+    out = np.full(len(ids) + len(ends), end_id, ids.dtype)
+    own = np.ones(len(out), bool)
+    own[ends - 1] = False
+    out[own] = ids
+    return out, ends
+
+
 def root_of(digests: pd.Series) -> pd.Series:
     return digests.map(lambda d: merkle([d[i : i + 32] for i in range(0, len(d), 32)]))
 
@@ -202,6 +170,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     recipes = recipes.withColumn("root", F.pandas_udf(root_of, "binary")("digests"))
     recipes = recipes.orderBy(F.col("doc_id").asc_nulls_last(), "root").withColumn("file_part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/sorted")
+    remove(spark, f"{path}/cut/is_chunk=false")
     return finish(spark, path)
 
 
@@ -221,15 +190,50 @@ def finish(spark: SparkSession, path: str) -> str:
     rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(in_order), F.lit(0))).join(parts, "file_part").select(
         "doc_id", (F.col("ahead") + F.col("inside")).cast("long").alias("start"), "n_tokens", "digests", "root", "file_part"
     ).sortWithinPartitions("file_part", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    remove(spark, f"{path}/sorted")
+    sealed(spark, path).write.parquet(f"{path}/manifest")
+    head = head_of(manifest_rows(spark.read.schema(SEAL).parquet(f"{path}/manifest")))
+    spark.createDataFrame([head], "n_files long, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/head")
+    return path
+
+
+SEAL = "file_part int, first_id long, n_docs long, n_tokens long, root binary"
+
+
+def sealed(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest, from the recipe files: a row a file. Raises where the starts within a file do not follow one another."""
 
     def seal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
+        pdf = pdf.sort_values(["start", "n_tokens"])
+        if (pdf.start.to_numpy()[1:] != pdf.start.to_numpy()[:-1] + pdf.n_tokens.to_numpy()[:-1]).any():
+            raise ValueError(f"starts of recipe file {pdf.file_part.iloc[0]} do not follow one another")
         return pd.DataFrame({"file_part": pdf.file_part.iloc[:1], "first_id": pdf.start.iloc[:1], "n_docs": [len(pdf)], "n_tokens": [pdf.n_tokens.sum()], "root": [merkle(list(pdf.root))]})
 
-    sealed = recipes.select("file_part", "start", "n_tokens", "root").groupBy("file_part").applyInPandas(seal, "file_part int, first_id long, n_docs long, n_tokens long, root binary")
-    sealed.write.parquet(f"{path}/manifest")
-    return path
+    recipes = spark.read.schema("start long, n_tokens long, root binary, file_part int").parquet(f"{path}/recipes")
+    return recipes.groupBy("file_part").applyInPandas(seal, SEAL)
+
+
+def manifest_rows(manifest: DataFrame) -> list[tuple]:
+    """A row a recipe file: as many as the sort had tasks."""
+    return sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in manifest.collect())
+
+
+def head_of(rows: list[tuple]) -> tuple[int, int, int, bytes]:
+    at = 0
+    for part, first_id, _, n_tokens, _ in rows:
+        if first_id != at:
+            raise ValueError(f"recipe file {part} does not start where the one before ends")
+        at += n_tokens
+    return len(rows), sum(r[2] for r in rows), at, merkle([r[4] for r in rows])
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raises unless the manifest is the one of its head, and the recipe files are those of the manifest."""
+    stated = manifest_rows(spark.read.schema(SEAL).parquet(f"{path}/manifest"))
+    if manifest_rows(spark.read.parquet(f"{path}/head")) != [head_of(stated)]:
+        raise ValueError("the manifest does not match its head")
+    if stated != manifest_rows(sealed(spark, path)):
+        raise ValueError("the recipe files do not match the manifest")
 
 
 POLYNOMIAL = 0xEDB88320
@@ -296,10 +300,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(join_crcs([(c, 4 * k) for c, k in zip(each, n)]))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    verify(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     at = F.sequence(F.lit(0), (F.length("digests") / 32).cast("int") - 1)
-    named = recipes.select("start", F.explode(at).alias("at"), "digests").select("start", "at", F.expr("substring(digests, at * 32 + 1, 32)").alias("digest"))
-    found = named.join(chunk_sums(spark, path), "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "digest", "crc", "n"))).alias("c"))
+    named = recipes.select("start", F.explode(at).alias("at"), "digests").select("start", "at", F.expr("substring(digests, at * 32 + 1, 32)").alias("digest"), salt(F.col("start")).alias("part"))
+    asked = named.groupBy("digest").agg(salt_mask(F.col("part")).alias("mask"))
+    sums_of = salted(chunk_sums(spark, path).join(asked, "digest"), "mask", "part")
+    found = named.join(sums_of, ["digest", "part"]).groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "digest", "crc", "n"))).alias("c"))
     whole = recipes.join(found, "start", "left").select("doc_id", "start", "n_tokens", "digests", "root", F.col("c.digest").alias("names"), F.col("c.crc").alias("crc"), F.col("c.n").alias("n"))
     return whole.mapInArrow(sums, f"doc_id {dict(recipes.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
 

@@ -42,9 +42,13 @@ def forget(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in frames:
         if path := getattr(df, "_florilege_path", None):
-            spark = df.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, through the file system that Spark reads it by."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def lean_batches(spark: SparkSession) -> None:
