@@ -6,8 +6,10 @@ number of phrases over the number of letters read is the cross-parsing entropy;
 
 The automata are tables of next states (one row a state, one column a letter; where a sample has more than `COLUMNS`
 letters, the steps by its rarer ones are a sorted list instead), so the texts of an Arrow batch are parsed
-side by side: each is cut into lanes of `LANE` letters and all lanes advance together, one array step a letter. A
-phrase ends at a lane's end. All letters of a text are read; none decides alone.
+side by side: each is cut into lanes of `LANE` letters and all lanes advance together, one array step a letter. A lane
+first supposes that a phrase starts with it. Then the phrase of the lane before is carried on into it, until a phrase of
+both starts at one letter, from where on they agree. What is counted is thus the parse of the whole text, whatever the
+lanes' length. All letters of a text are read; none decides alone.
 
 Training is bounded: per language the `sample_docs` labelled documents of smallest hash, cut at `sample_letters` letters
 over all languages. The window that picks them keeps that many rows per language and task before its shuffle. Only
@@ -171,17 +173,53 @@ class CrossParser:
         owner, length = owner[order], length[order]
         stream = np.concatenate(codes)
         alive = total - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1))
+        place = np.argsort(order)
+        before = np.where(nth > 0, place[np.arange(total) - 1], -1)[order]  # the lane that each goes on from
         for k, steps in enumerate(self.tables):
             columns, rare = steps.column[stream], steps.rare[stream] if steps.n_rare else None
-            state, found = np.zeros(total, np.int32), np.zeros(total, np.int32)
+            fresh = np.zeros(len(stream), bool)  # letters with which a phrase starts, were each lane a text
+            state, found = np.zeros(total, np.int32), np.zeros(total, np.int64)
             for step, n in enumerate(alive):
                 at = start[:n] + step
                 to = steps.next(state[:n], columns[at], None if rare is None else rare[at])
+                fresh[at] = to < 0
                 found[:n] += to < 0
                 state[:n] = to & 0x7FFFFFFF
-            np.add.at(counts[:, k], owner, found + 1)
+            found += self._carried(steps, columns, rare, fresh, start, length, before, state)
+            counts[:, k] = np.bincount(owner, found, len(texts)).astype(np.int64) + (lanes > 0)
         return counts, letters
 
+    def _carried(self, steps: Steps, columns: np.ndarray, rare: np.ndarray | None, fresh: np.ndarray, start: np.ndarray, length: np.ndarray, before: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many more phrases each lane starts if it goes on with the phrase of the lane before."""
+        more, entered = np.zeros(len(start), np.int64), np.zeros(len(start), np.int32)
+        alone, end = end, end.copy()
+        while True:
+            enters = np.where(before >= 0, end[before], 0)
+            todo = np.flatnonzero(enters != entered)  # in the first state a lane is as if alone
+            if not len(todo):
+                return more
+            entered = enters
+            state, n = enters[todo], np.zeros(len(todo), np.int64)
+            more[todo], end[todo] = 0, alone[todo]
+            for step in range(LANE):
+                over = length[todo] <= step
+                if over.any():
+                    more[todo[over]], end[todo[over]] = n[over], state[over]
+                    todo, state, n = todo[~over], state[~over], n[~over]
+                if not len(todo):
+                    break
+                at = start[todo] + step
+                to = steps.next(state, columns[at], None if rare is None else rare[at])
+                here, there = to < 0, fresh[at]
+                n += here.astype(np.int64) - there
+                met = here & there if step else here
+                if met.any():
+                    more[todo[met]] = n[met]
+                    todo, n, to = todo[~met], n[~met], to[~met]
+                state = to & 0x7FFFFFFF
+            else:
+                more[todo], end[todo] = n, state
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score: the share of the winner among the inverse entropies."""
         said = [spoken(t or "") for t in texts]

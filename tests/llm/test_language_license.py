@@ -12,23 +12,26 @@ SCHEMA = "doc_id long, text string, lang string, labels string, score int"
 
 
 def plain_phrases(sample, text):
-    n, i = 0, 0
-    for at in range(0, len(text), crossparse.LANE):
-        lane, i = text[at : at + crossparse.LANE], 0
-        while i < len(lane):
-            k = 0
-            while i + k < len(lane) and lane[i : i + k + 1] in sample:
-                k += 1
-            i += max(k, 1)
-            n += 1
-    return n
-
-
-def test_phrases_are_greedy_longest_matches():
+    """A letter that the sample does not have starts a phrase, and what follows may be its rest. No lanes."""
+    n = i = 0
+    while i < len(text):
+        i += text[i] not in sample
+        k = 0
+        while i + k < len(text) and text[i : i + k + 1] in sample:
+            k += 1
+        i += k
+        n += 1
+    # an empty phrase stands before a stranger at the start
+    return n + (text[:1] not in sample)
+
+
+@pytest.mark.parametrize("lane", [crossparse.LANE, 1, 7, 64])
+def test_phrases_are_greedy_longest_matches(monkeypatch, lane):
+    monkeypatch.setattr(crossparse, "LANE", lane)
     rng = random.Random(4)
     draw = lambda n: crossparse.spoken("".join(rng.choices("abcé ", (4, 3, 2, 1, 2), k=n)))
     samples = {"x": draw(3000), "y": draw(500)}
-    texts = ["", "a", draw(40), draw(2000), draw(512), draw(513)]
+    texts = ["", "a", draw(40), draw(2000), draw(512), draw(513), samples["x"], samples["x"][700:2900] + draw(300) + samples["y"]]
     counts, letters = crossparse.CrossParser(samples).phrases([crossparse.spoken(t) for t in texts])
     for i, t in enumerate(texts):
         t = crossparse.spoken(t)
@@ -36,24 +39,9 @@ def test_phrases_are_greedy_longest_matches():
         assert counts[i].tolist() == [plain_phrases(samples[k], t) if t else 0 for k in ("x", "y")]
 
 
-def phrases_with_strangers(sample, text):
-    """As above; a letter that the sample does not have starts a phrase, and what follows may be its rest."""
-    n = 0
-    for at in range(0, len(text), crossparse.LANE):
-        lane, i = text[at : at + crossparse.LANE], 0
-        while i < len(lane):
-            i += lane[i] not in sample
-            k = 0
-            while i + k < len(lane) and lane[i : i + k + 1] in sample:
-                k += 1
-            i += k
-            n += 1
-        # an empty phrase stands before a stranger at the start
-        n += lane[0] not in sample
-    return n
-
-
-def test_letters_of_many_scripts():
+@pytest.mark.parametrize("lane", [crossparse.LANE, 5])
+def test_letters_of_many_scripts(monkeypatch, lane):
+    monkeypatch.setattr(crossparse, "LANE", lane)
     rng = random.Random(9)
     scripts = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
     words = {k: ["".join(rng.choices(v, k=4)) for _ in range(200)] for k, v in scripts.items()}
@@ -61,11 +49,11 @@ def test_letters_of_many_scripts():
         words[k] = ["".join(rng.choices([chr(first + i) for i in range(1500)], k=4)) for _ in range(800)]
     draw = lambda k, n: crossparse.spoken(" ".join(rng.choices(words[k], k=n)))
     samples = {k: draw(k, 300 if k == "greek" else 1500) for k in words}
-    texts = [draw(k, 30) for k in words for _ in range(4)] + [draw("han1", 300), draw("han1", 9) + draw("greek", 9)[1:], crossparse.spoken("ภาษา ไทย")]
+    texts = [draw(k, 30) for k in words for _ in range(4)] + [draw("han1", 300), draw("han1", 9) + draw("greek", 9)[1:], draw("cyrillic", 600) + draw("han2", 400)[1:] + draw("latin", 300)[1:], crossparse.spoken("ภาษา ไทย")]
     parser = crossparse.CrossParser(samples)
     counts, _ = parser.phrases(texts)
     for i, t in enumerate(texts):
-        assert counts[i].tolist() == [phrases_with_strangers(samples[k], t) for k in parser.langs]
+        assert counts[i].tolist() == [plain_phrases(samples[k], t) for k in parser.langs]
     assert parser.predict(texts[:20])[0] == [k for k in words for _ in range(4)]
 
 
