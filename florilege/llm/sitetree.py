@@ -1,22 +1,30 @@
 """Main-text extraction by site style trees.
 
-The DOMs of a host's pages are merged into one tree: a node is a path of tags with their classes. For every node, two
-kinds of features are counted over the host's pages: presentation (which children it had) and content (a hash of its
-text). Their normalised entropies tell how much a node varies from page to page: menus and footers repeat, articles do
-not. The importance of a node is the larger entropy, weighed by its role (what its tag, classes and ids say) and by
-how much of its text is link text; branches of low importance are removed from each page, and what is left is the main
-text. Hosts with fewer than `LEAST_PAGES` pages are judged by the tree of all hosts together.
+The DOMs of a host's pages are merged into one tree: a node is a path of tags with their classes and roles. For every
+node two features are counted over the host's pages: presentation (which children it had) and content (a hash of its
+text). Their normalised entropies tell how much a node varies from page to page. The importance of a node is
 
-A node that says it is the article is not removed for repeating (copies of one page are still articles), but branches
-within it are. Where a page has such a node, what lies outside is not part of the article.
+    within an article, and for paragraphs and the like:  max(presentation, content)
+    for other branches:  max(presentation, content * min(1, 10 * share)) * (1 - linked)
+
+with `share` the mean share of the page's unlinked text that stands in it and `linked` the mean share of its text that is
+link text: menus are links, footers and adverts are a small part of a page and always built alike, articles are neither.
+Branches of importance under `LOW` are removed from each page, within articles too, and what is left is the main text. A
+node is judged only on `LEAST_PAGES` pages or more; hosts of fewer pages go by the tree of all hosts together. Copies
+count once: pages of equal text are one page, and what stands in an article is counted once for each text of the article.
+
+Beside the tree stand roles, that is, what a node's tag, classes and ids say (`described`): asides go whatever they
+weigh, an article never goes, and where a page has one, what lies outside of it is not part of the article. `roles=False`
+leaves the tree alone to decide. A tree needs them where pages are few, and for comments, which vary like articles do.
 
 Two passes over the pages. What passes between them is a table of low nodes (host, path), not of pages; it is broadcast
 up to `BROADCAST_NODES` rows. Beyond that, the nodes of a host are joined by host, with hot hosts dealt over parts, and those of
 all hosts by path to the nodes of the pages that go by them, folded by page; that takes a third pass, over these pages.
 
-Defined results: null or empty html gives an empty text; a null url belongs to the host ''; a page that would lose all
-its text keeps what the roles alone leave; repeated rows give a row each; unclosed, misnested and deeply nested elements
-are read as far as they go; an empty table gives an empty result; other columns are not read.
+Defined results: null or empty html gives an empty text; a null url belongs to the host ''; a page whose whole text would
+go by roles, or by the tree of all hosts, keeps what it would lose by them; null or repeated page_ids and repeated rows
+give a row each; unclosed, misnested and deeply nested elements are read as far as they go; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +50,8 @@ BROADCAST_NODES = 200_000
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math canvas object audio video select option button form input label fieldset nav footer aside menu dialog map".split())
+UNSEEN = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math canvas object audio video select option button form input".split())
+FLOW = frozenset("blockquote br caption dd dl dt figcaption h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre table tbody td tfoot th thead tr ul".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -87,7 +97,7 @@ def described(tag: str, attributes: str) -> tuple[str, str]:
         role = "perhaps"  # `comment-list` is aside, `with-sidebar` may hold the page
     else:
         role = ""
-    return label, role
+    return f"{label}#{role}" if role else label, role
 
 
 class Node:
@@ -105,8 +115,21 @@ def below(path: int, label: str) -> int:
     return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), path)
 
 
+ROOT = below(0, "html")
+
+
+class Low:
+    """Paths by their upper 63 bits, as the tables have them. `own`: of the page's host, not of all hosts."""
+
+    def __init__(self, paths, own: bool = False) -> None:
+        self.paths, self.own = frozenset(paths), own
+
+    def __contains__(self, path: int) -> bool:
+        return path >> 1 in self.paths
+
+
 def parse(text: str) -> Node:
-    root = here = Node("html", "", below(0, "html"), None)
+    root = here = Node("html", "", ROOT, None)
     at, n, lower = 0, len(text), None
     find = TAG.search
     while at < n:
@@ -186,11 +209,16 @@ def in_order(root: Node) -> Iterator[tuple[Node | str, bool]]:
             stack.extend((p, True) for p in reversed(what.parts))
 
 
-def features(root: Node) -> dict[int, tuple[int, int]]:
-    """By path of block nodes: a hash of presentation and a hash of content, over all nodes of the page at that path."""
+def features(root: Node) -> dict[int, tuple[int, int, int, bool, float, float]]:
+    """By path of block nodes, over all nodes of the page at that path: hashes of presentation, of content, and of the text
+    of which copies count once; whether its importance is of the first kind; its share of unlinked text; how much of it is linked."""
     style: dict[int, xxhash.xxh64] = {}
     content: dict[int, xxhash.xxh64] = {}
+    article: dict[int, int] = {}  # the path of the article around
+    flows: dict[int, bool] = {}
+    sizes: dict[int, list[int]] = {}
     open_: list[int] = []
+    within: list[int] = [root.path]
     for what, opening in in_order(root):
         if isinstance(what, str):
             if words := what.split():
@@ -200,21 +228,35 @@ def features(root: Node) -> dict[int, tuple[int, int]]:
                 if open_:
                     style[open_[-1]].update(what.tag.encode())
                 if what.path not in style:
-                    style[what.path], content[what.path] = xxhash.xxh64(), xxhash.xxh64()
+                    style[what.path], content[what.path], sizes[what.path] = xxhash.xxh64(), xxhash.xxh64(), [0, 0]
+                    article[what.path], flows[what.path] = within[-1], what.tag in FLOW or len(within) > 1
+                sizes[what.path][0] += what.total - what.linked
+                sizes[what.path][1] += what.total
                 open_.append(what.path)
+                if what.role == "article":
+                    within.append(what.path)
             else:
                 path = open_.pop()
+                if what.role == "article":
+                    within.pop()
                 if open_ and what.total:  # its text counts for the block around it too, at any depth
                     content[open_[-1]].update(content[path].digest())
-    return {p: (s.intdigest() >> 1, content[p].intdigest() >> 1) for p, s in style.items()}
+    whole = max(1, root.total - root.linked)
+    return {
+        p: (s.intdigest() >> 1, content[p].intdigest() >> 1, content[article[p]].intdigest() >> 1, flows[p], min(1.0, sizes[p][0] / whole), 1 - sizes[p][0] / max(1, sizes[p][1]))
+        for p, s in style.items()
+    }
 
 
-def main_text(root: Node, low: frozenset | set | dict) -> str:
+def main_text(root: Node, low: Low, roles: bool = True) -> str:
     """The text of the page without branches whose importance is low."""
+    if not roles:
+        return gathered(root, low, False, None)
     inside = any(isinstance(w, Node) and o and w.role == "article" and not within_aside(w) for w, o in in_order(root))
-    for nodes, article, doubt in ((low, inside, True), (low, False, True), ((), False, True), ((), False, False)):
-        if text := gathered(root, nodes, article, doubt):
-            return text
+    for nodes in (low,) if low.own else (low, Low(())):
+        for article, doubt in ((inside, True), (False, True), (False, False)):
+            if text := gathered(root, nodes, article, doubt):
+                return text
     return ""
 
 
@@ -227,8 +269,8 @@ def within_aside(node: Node) -> bool:
     return False
 
 
-def gathered(root: Node, low, inside: bool, doubt: bool) -> str:
-    """`inside`: only what stands in articles; `doubt`: nodes that are perhaps aside are."""
+def gathered(root: Node, low: Low, inside: bool, doubt: bool | None) -> str:
+    """`inside`: only what stands in articles; `doubt`: nodes that are perhaps aside are; None: roles do not count."""
     blocks: list[str] = []
     run: list[str] = []
     skip: Node | None = None
@@ -254,12 +296,15 @@ def gathered(root: Node, low, inside: bool, doubt: bool) -> str:
         if not opening:
             articles -= what.role == "article"
             continue
-        unwanted = what.role == "hidden" or what.tag in NEVER or doubt and what.role == "perhaps" and not what.holds
-        if what.role == "aside" and not unwanted:
-            # the heading of an article may stand in a header of its own
-            unwanted = not (articles and what.heads and "header" in what.tag) and (doubt or what.tag == "header")
-        if what.role != "article" and not unwanted and what.tag in BLOCK and what.parent is not None and not what.holds:
-            unwanted = doubt and (not articles and what.path in low or what.tag in ("ul", "ol", "dl", "div", "table") and what.linked > 0.8 * what.total)
+        unwanted = what.tag in UNSEEN
+        if doubt is not None and not unwanted:
+            unwanted = what.role == "hidden" or what.tag in NEVER or doubt and what.role == "perhaps" and not what.holds
+            if what.role == "aside" and not unwanted:
+                # the heading of an article may stand in a header of its own
+                unwanted = not (articles and what.heads and "header" in what.tag) and (doubt or what.tag == "header")
+        judged = what.tag in BLOCK and what.parent is not None and (doubt is None or what.role != "article" and not what.holds)
+        if judged and not unwanted:
+            unwanted = what.path in low or bool(doubt) and not articles and what.tag in ("ul", "ol", "dl", "div", "table") and what.linked > 0.8 * what.total
         if unwanted:
             skip = what
             continue
@@ -273,38 +318,54 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def node_features(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature): for each page and node, kind 0 for presentation and 1 for content."""
+    """(host, path, unit, style, content, flows, share, linked) for each page and node."""
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64()]
+    names = ["host", "path", "unit", "style", "content", "flows", "share", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = tuple([] for _ in kinds)
             for url, text in zip(b.column(0), b.column(1)):
                 host = xxhash.xxh64_intdigest(host_of(url.as_py()).encode()) >> 1
-                for path, both in features(parse(text.as_py() or "")).items():
-                    for kind in (0, 1):
-                        for column, value in zip(out, (host, path >> 1, kind, both[kind])):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int8()), pa.array(out[3], pa.int64())], ["host", "path", "kind", "feature"])
+                for path, (style, content, unit, *rest) in features(parse(text.as_py() or "")).items():
+                    for column, value in zip(out, (host, path >> 1, unit, style, content, *rest)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    return page_rows(pages).select("url", "html").mapInArrow(run, "host long, path long, kind byte, feature long")
+    return page_rows(pages).select("url", "html").mapInArrow(run, "host long, path long, unit long, style long, content long, flows boolean, share double, linked double")
 
 
-def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
-    """(host, path) of nodes whose importance is low; host -1 is the tree of all hosts."""
-    seen = materialize(node_features(pages).groupBy("host", "path", "kind", "feature").count(), "features")
-    everywhere = seen.groupBy(F.lit(-1).cast("long").alias("host"), "path", "kind", "feature").agg(F.sum("count").alias("count"))
-
-    def entropy(counts: DataFrame) -> DataFrame:
-        # of a distribution of n pages: (ln n - sum(c ln c) / n) / ln n
-        sums = counts.groupBy("host", "path", "kind").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log("count")).alias("s"))
-        value = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
-        return sums.select("host", "path", "n", value.alias("h"))
-
-    nodes = entropy(seen).union(entropy(everywhere)).groupBy("host", "path").agg(F.max("h").alias("importance"), F.max("n").alias("n"))
-    return nodes.filter((F.col("n") >= least_pages) & (F.col("importance") < low)).select("host", "path")
+#: The tree of all hosts; what stands for the path of a node in the row that says that a host has a tree of its own.
+ALL_HOSTS, OWN_TREE = -1, -1
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
+    """(host, path) of nodes whose importance is low, and a row with OWN_TREE for every host of enough pages."""
+    # copies count once: a row for a node and a text around it
+    once = node_features(pages).groupBy("host", "path", "unit").agg(*(F.min(c).alias(c) for c in ("style", "content", "flows", "share", "linked")))
+    seen = materialize(once, "features")
+    return low_of(seen, least_pages, low)
+
+
+def low_of(seen: DataFrame, least_pages: int, low: float) -> DataFrame:
+    def judged(rows: DataFrame) -> DataFrame:
+        entropies = []
+        for kind in ("style", "content"):
+            # of a distribution of n pages: (ln n - sum(c ln c) / n) / ln n
+            counts = rows.groupBy("host", "path", kind).agg(F.count("*").alias("c"), F.sum("share").alias("share"), F.sum("linked").alias("linked"), F.bool_and("flows").alias("flows"))
+            sums = counts.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.sum("share").alias("share"), F.sum("linked").alias("linked"), F.bool_and("flows").alias("flows"))
+            value = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
+            entropies.append(sums.select("host", "path", "n", value.alias(kind), *([] if kind == "style" else [(F.col("share") / F.col("n")).alias("share"), (F.col("linked") / F.col("n")).alias("linked"), "flows"])))
+        return entropies[0].join(entropies[1].drop("n"), ["host", "path"])
+
+    nodes = judged(seen).union(judged(seen.withColumn("host", F.lit(ALL_HOSTS).cast("long")))).filter(F.col("n") >= least_pages)
+    branch = F.greatest("style", F.col("content") * F.least(F.lit(1.0), 10 * F.col("share"))) * (1 - F.col("linked"))
+    importance = F.when(F.col("flows"), F.greatest("style", "content")).otherwise(branch)
+    own = nodes.filter(F.col("path") == ROOT >> 1).select("host", F.lit(OWN_TREE).cast("long"))
+    return nodes.filter(importance < low).select("host", "path").union(own)
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, broadcast_nodes: int = BROADCAST_NODES, roles: bool = True) -> DataFrame:
     """page_id, url, text, n_chars."""
     spark = pages.sparkSession
     nodes = materialize(low_nodes(pages, least_pages, low), "low")
@@ -322,12 +383,13 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
         shared = spark.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
+            known = {h: Low(paths, h != ALL_HOSTS) for h, paths in shared.value.items()}
+            general = known.get(ALL_HOSTS, Low(()))
             for b in batches:
                 texts = []
                 for url, text in zip(b.column(1), b.column(2)):
                     host = xxhash.xxh64_intdigest(host_of(url.as_py()).encode()) >> 1
-                    texts.append(main_text(parse(text.as_py() or ""), Low(known.get(host, known.get(-1, set())))))
+                    texts.append(main_text(parse(text.as_py() or ""), known.get(host, general), roles))
                 yield out(b, texts)
 
         return rows.mapInArrow(run, schema)
@@ -336,17 +398,17 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
     keyed = hashed_hosts(rows.withColumn("name", host), kind).withColumn("part", salt(F.col("page_id"), F.col("url")))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)))
     masks = keyed.groupBy("host").agg(salt_mask(F.col("part")).alias("mask"))
-    lists = nodes.filter("host <> -1").groupBy("host").agg(F.collect_list("path").alias("paths"))
+    lists = nodes.filter(F.col("host") != ALL_HOSTS).groupBy("host").agg(F.collect_list("path").alias("paths"))
     own = salted(lists.join(masks, "host"), "mask", "part")
-    general = general_lists(keyed.join(own.select("host", "part"), ["host", "part"], "left_anti"), nodes.filter("host = -1").select("path"))
+    general = general_lists(keyed.join(own.select("host", "part"), ["host", "part"], "left_anti"), nodes.filter(F.col("host") == ALL_HOSTS).select("path"))
     joined = keyed.join(own, ["host", "part"], "left").join(general, ["digest", "part"], "left")
-    joined = joined.select("page_id", "url", "html", F.coalesce("paths", "general").alias("paths"))
+    joined = joined.select("page_id", "url", "html", F.coalesce("paths", "general").alias("paths"), F.col("paths").isNotNull().alias("own"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, paths in zip(b.column(2), b.column(3)):
-                texts.append(main_text(parse(text.as_py() or ""), Low(set(paths.as_py() or ()))))
+            for text, paths, own in zip(b.column(2), b.column(3), b.column(4).to_pylist()):
+                texts.append(main_text(parse(text.as_py() or ""), Low(paths.as_py() or (), own), roles))
             yield out(b, texts)
 
     return joined.mapInArrow(run_joined, schema)
@@ -374,16 +436,6 @@ def general_lists(pages: DataFrame, low_paths: DataFrame) -> DataFrame:
     return salted(found.groupBy("digest", "mask").agg(F.collect_list("path").alias("general")), "mask", "part")
 
 
-class Low:
-    """Paths by their upper 63 bits, as the tables have them."""
-
-    def __init__(self, paths: set[int]) -> None:
-        self.paths = paths
-
-    def __contains__(self, path: int) -> bool:
-        return path >> 1 in self.paths
-
-
 def hashed_hosts(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
