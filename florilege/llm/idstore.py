@@ -43,6 +43,8 @@ from .shared import lean_batches, remove, salt, salt_mask, salted, scratch_root
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 256, 8192
+#: Ids hashed at a time.
+BLOCK = 1 << 18
 #: Names of chunks that a task remembers having passed on; beyond them repeats go to the shuffle, which drops them.
 NAMES = 200_000
 
@@ -58,12 +60,15 @@ def gear() -> np.ndarray:
 
 def marks(ids: np.ndarray) -> np.ndarray:
     """Places after which the rolling hash allows a cut."""
-    n = len(ids)
-    values = gear()[ids.astype(np.int64) & 0xFFFF]
-    rolled = np.zeros(n, np.uint64)
-    for k in range(min(WINDOW, n)):  # each id is weighed by its distance from the window's end
-        rolled[k:] += values[: n - k] * np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64))
-    return np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + 1
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(ids), BLOCK):
+        begin = max(0, at - WINDOW + 1)
+        values = gear()[ids[begin : at + BLOCK].astype(np.int64) & 0xFFFF]
+        rolled = values.copy()
+        for k in range(1, min(WINDOW, len(values))):  # each id is weighed by its distance from the window's end
+            rolled[k:] += values[:-k] * np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64))
+        out.append(begin + np.flatnonzero((rolled[at - begin :] >> np.uint64(64 - CUT_BITS)) == 0) + at - begin + 1)
+    return np.concatenate(out)
 
 
 def chunk_ends(allowed: list[int], at: int, end: int) -> list[int]:

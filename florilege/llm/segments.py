@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 SLOT_BITS, PROBES = 21, 12
 REMEMBERED = 1_300_000
 KEY_BYTES = 23
-#: Stretches to a text in a call of the library.
-JOINED = 64
+#: Stretches to a text, and texts to a call of the library.
+JOINED, CALL = 64, 128
 #: Bytes of text looked up side by side, which bounds a worker's memory for texts of any length.
-LOT = 1 << 21
+LOT = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -63,12 +63,13 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.wide = "<u2" if size <= 1 << 16 else "<u4"
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        #: by slot: the bytes and length of a stretch, then where its ids are times 256 plus how many (0: a free slot)
+        self.rows = np.zeros(((1 << SLOT_BITS) + PROBES, 4), np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        #: by slot: the bytes and length of a stretch, then where its ids are times 256 plus how many (0: a free slot)
-        self.rows = np.zeros(((1 << SLOT_BITS) + PROBES, 4), np.uint64)
         self.ids, self.held, self.kept, self.known = np.zeros(1 << 20, self.wide), 0, 0, 0
+        self.rows[:, 3] = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column, and where each text's end; a null text is empty."""
@@ -167,8 +168,8 @@ class Encoder:
         return place, n
 
     def _put(self, ids: np.ndarray) -> int:
-        while self.held + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.wide)])
+        if (need := self.held + len(ids)) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need - len(self.ids), len(self.ids) // 2), self.wide)])
         self.ids[self.held : self.held + len(ids)] = ids
         self.held += len(ids)
         return self.held - len(ids)
@@ -179,7 +180,8 @@ class Encoder:
         return at + np.cumsum(n) - n, n
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        calls = (self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False) for at in range(0, len(texts), CALL))
+        return [e.ids for call in calls for e in call]
 
     def _remember(self, keys: np.ndarray, slot: np.ndarray, value: np.ndarray) -> None:
         """Give each stretch the first free slot from its own on; one that finds none in PROBES is not remembered."""
