@@ -1,15 +1,17 @@
 """Exact deduplication by a tree-merge of sorted digest runs, in DataFrame functions only.
 
-Each input partition is a lane that holds a run of digest entries. In every round the lanes whose numbers agree after
-dropping the low digit (base `fan_in`) exchange their runs; the runs are sorted by key and merged in one pass (Spark's
-sort aggregate: the aggregate holds a struct, which rules the hash aggregate out), and of equal entries one verified
-identifier is kept. After log(lanes) / log(fan_in) rounds one logical lane is left, which is still dealt over all
-partitions by digest, so no task holds more than its share of the keys. An entry's identity is (SHA-256, byte length,
-XXH64); all three are compared at every level.
-
-Defined results: a null text counts as empty; empty texts are equal to one another; rows that repeat a doc_id share
-its verdict; null doc_ids rank below all others and are kept only where a group has no other; an empty table gives an
-empty result; other columns are never read, whatever their names.
+Each input partition is a lane that holds a run of digest entries. The lanes form a binomial tree: in the round of digit
+r, a lane whose r-th digit (base `fan_in`) is not 0 passes its run to the one that has 0 there and the same higher digits,
+which is left alone with `fan_in` runs. They are sorted by key and merged in one pass (Spark's sort aggregate, which merges
+sorted runs from all senders; the aggregate holds a struct, which rules the hash aggregate out), and of equal entries one
+verified identifier is kept. After log(lanes) / log(fan_in) rounds one lane is left. A lane is dealt over all partitions
+by digest, so no task holds more than its share of the keys, and each round combines before it sends. With `fan_in` 2 the
+rounds are those of a plain binomial tree; 4 takes two of its levels at a time, for half the shuffles. An entry's identity is
+(SHA-256, byte length, XXH64); all three are compared at every level.
+
+Defined results: a null text counts as empty; empty texts are equal to one another; of rows that repeat a doc_id and a text
+one stays, the one that is last in the table as read; null doc_ids rank below all others and are kept only where a group
+has no other; an empty table gives an empty result; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, materialize, salt, salt_mask, salted
 
-LANES, FAN_IN = 256, 16
+LANES, FAN_IN = 256, 4
 KEY = ("digest", "n_bytes", "witness")
 
 
@@ -31,26 +33,28 @@ def digest_entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.unhex(F.sha2("t", 256)).alias("digest"),
         F.octet_length("t").alias("n_bytes"),
         F.xxhash64("t").alias("witness"),
-        salt(F.col("id")).alias("part"),
-    )
+        F.monotonically_increasing_id().alias("row"),
+    ).withColumn("part", salt(F.col("row")))
 
 
 def merge_runs(entries: DataFrame, keep: str = "largest", lanes: int = LANES, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per distinct text: the key, `keep` (identifier that stays), `size`, and `mask` for `salted`."""
+    """One row per distinct text: the key, `keep_id` and `keep_row` that stay, `group_size`, and `mask` for `salted`."""
     pick = {"largest": F.max, "smallest": F.min}[keep]
     null_rank = F.col("id").isNotNull() if keep == "largest" else F.col("id").isNull()
     runs = entries.select(
         F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane"),
         *KEY,
-        F.struct(null_rank.alias("known"), F.col("id").alias("id")).alias("best"),
+        F.struct(null_rank.alias("known"), F.col("id").alias("id"), F.col("row").alias("row")).alias("best"),
         F.lit(1).cast("long").alias("size"),
         F.call_function("shiftleft", F.lit(1).cast("long"), F.col("part")).alias("mask"),
     )
-    while lanes > 1:
-        lanes = -(-lanes // fan_in)
-        owner = F.floor(F.col("lane") / fan_in).cast("int").alias("lane")
+    digit = 1
+    while digit < lanes:
+        digit *= fan_in
+        # the lane that has no digits below this one takes the runs of those that have
+        owner = (F.col("lane") - F.pmod("lane", F.lit(digit))).alias("lane")
         runs = runs.groupBy(owner, *KEY).agg(pick("best").alias("best"), F.sum("size").alias("size"), F.bit_or("mask").alias("mask"))
-    return runs.select(*KEY, F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), "mask")
+    return runs.select(*KEY, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("size").alias("group_size"), "mask")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
@@ -62,19 +66,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def kept_ids(docs: DataFrame) -> DataFrame:
-    """The doc_ids that stay, each once."""
-    entries = digest_entries(docs)
-    return merge_runs(entries).select(F.col("keep_id").alias("doc_id")).distinct()
-
-
 ORACLE = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-g AS (SELECT doc_id, sha256(t) AS h, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FROM t WINDOW w AS (PARTITION BY t))
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, h AS text_sha256 FROM g
+g AS (SELECT doc_id, sha256(t) AS h, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept FROM t WINDOW w AS (PARTITION BY t))
+SELECT doc_id, keep_id, group_size, kept, h AS text_sha256 FROM g
 """

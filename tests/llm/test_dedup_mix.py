@@ -31,7 +31,11 @@ def test_exact_dedup(spark):
     assert len(got) == len(ODD)
     want = sorted((str(i), max((x for x in groups[lower(t)] if x is not None), default=None), len(groups[lower(t)]), hashlib.sha256(lower(t).encode()).hexdigest()) for i, t, _ in ODD)
     assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.text_sha256) for r in got) == want
-    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    assert len({r.text_sha256 for r in got}) == len(groups) == sum(r.kept for r in got)  # one row of each text, of repeated rows too
+    for lanes, fan_in in ((8, 2), (4, 4), (256, 16)):
+        merged = exact_dedup.merge_runs(exact_dedup.digest_entries(frame(spark, ODD).repartition(5)), lanes=lanes, fan_in=fan_in).collect()
+        assert sorted(((r.keep_id, r.group_size) for r in merged), key=str) == sorted({(r.keep_id, r.group_size) for r in got}, key=str)
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     smallest = exact_dedup.exact_dedup(frame(spark, ODD), keep="smallest").collect()
     assert {r.keep_id for r in smallest if r.doc_id in (7, 9)} == {7}
