@@ -6,13 +6,15 @@ none over 1 or 2 segments, at most one over 3, 4 or 5, at most two over 6 or 7.
 of i+2, i+3, i+4 are: 8 starts x 3 choices = 24 keys of 32 bits per distinct fingerprint. Rows that meet under a key
 must pass every chain budget from i before the full Hamming check.
 
-Equal fingerprints are folded first, so copies of any number are one node. A key that more than `MAX_BUCKET` distinct
-fingerprints share is not expanded into pairs: its fingerprints are linked through hubs, which is exact. Two values
+Equal fingerprints are folded first, so copies of any number are one node, named by the fingerprint itself. How many share a
+key is counted with map-side sums and looked up with the key dealt over parts, so no task holds a key's fingerprints. A key
+that more than `MAX_BUCKET` distinct fingerprints share is not expanded into pairs: its fingerprints are linked through hubs,
+which is exact. Two values
 within 3 bits have a value c within 1 bit of one and 2 bits of the other; under each c all values within 2 bits link to
 one that is within 1. That is 2,081 rows for a fingerprint in such a key, however many share it.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; fewer than three words
-make one shingle; null doc_ids take part with a null id and never name a component unless the whole component has none;
+make one shingle; ids keep their type, whatever orders; null doc_ids take part with a null id and never name a component unless the whole component has none;
 repeated rows are returned as they are; an empty table gives an empty result; other columns are not read.
 """
 
@@ -24,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -55,7 +56,6 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
-
     lean_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +63,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -72,7 +72,7 @@ def segment(fp: Column, i: int) -> Column:
 
 
 def keys(nodes: DataFrame) -> DataFrame:
-    """24 rows (start, key, node, fp) per fingerprint; the key holds its start and choice above its 32 bits."""
+    """24 rows (node, fp, key, part) per fingerprint; the key holds its start and choice above its 32 bits."""
     fp, all_keys = F.col("fp"), []
     for i in range(M):
         for k, (a, b) in enumerate(((2, 3), (2, 4), (3, 4))):
@@ -80,7 +80,7 @@ def keys(nodes: DataFrame) -> DataFrame:
             for part in (i, i + 1, i + a, i + b):
                 key = F.shiftleft(key, BITS).bitwiseOR(segment(fp, part))
             all_keys.append(key)
-    return nodes.select("node", "fp", F.explode(F.array(*all_keys)).alias("key"))
+    return nodes.select("node", "fp", F.explode(F.array(*all_keys)).alias("key"), salt(F.col("fp")).alias("part"))
 
 
 def within_budgets(x: Column, start: Column) -> Column:
@@ -110,8 +110,9 @@ def hubbed(crowd: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """`nodes` (node, fp) of distinct fingerprints -> links (a, b) that connect all within T bits."""
-    buckets = keys(nodes).withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
-    buckets = materialize(buckets, "buckets")
+    all_keys = keys(nodes)
+    counts = all_keys.groupBy("key").agg(F.count("*").alias("n"), salt_mask(F.col("part")).alias("mask")).filter("n > 1")
+    buckets = materialize(all_keys.join(salted(counts, "mask", "part"), ["key", "part"]).drop("part"), "buckets")
     out = paired(buckets.filter(F.col("n") <= max_bucket))
     crowd = buckets.filter(F.col("n") > max_bucket).select("node", "fp").distinct()
     if not crowd.isEmpty():
@@ -121,13 +122,15 @@ def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
-    prints = materialize(fingerprints(docs, id_col, text_col).withColumn("part", salt(F.col("id"))), "prints")
-    # one node per distinct fingerprint, named by its smallest doc_id; the nameless are numbered below all others
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), salt_mask(F.col("part")).alias("mask"))
-    nodes = materialize(nodes.withColumn("node", F.coalesce("least", F.lit(1 << 62).cast("long") + F.shiftrightunsigned("fp", 3))), "nodes")
-    found = components(links(nodes.select("node", "fp"), max_bucket))
-    named = nodes.join(found, "node", "left").withColumn("of", F.coalesce("component", "node"))
-    named = named.select("fp", "mask", F.when(F.col("of") < (1 << 62), F.col("of")).alias("component_id"))
-    return prints.join(salted(named, "mask", "part"), ["fp", "part"]).select(
+    prints = fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    prints = materialize(prints.withColumn("part", salt(F.col("row"))).drop("row"), "prints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), salt_mask(F.col("part")).alias("mask")), "nodes")
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bucket)).withColumnRenamed("node", "fp")
+    # the smallest id of a component of any size, for each part of its fingerprints
+    linked = nodes.join(found, "fp").withColumn("deal", salt(F.col("fp")))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), salt_mask(F.col("deal")).alias("deals"))
+    linked = linked.join(salted(least, "deals", "deal"), ["component", "deal"]).select("fp", "mask", "component_id")
+    alone = nodes.join(found, "fp", "left_anti").select("fp", "mask", F.col("least").alias("component_id"))
+    return prints.join(salted(linked.union(alone), "mask", "part"), ["fp", "part"]).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

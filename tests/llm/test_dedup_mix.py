@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 
 from florilege.llm import curriculum, exact_dedup, simhash
@@ -81,6 +82,31 @@ def test_links_against_brute_force(spark):
         assert [found.get(i, i) for i in range(len(fps))] == want, most
 
 
+def test_a_key_of_very_many_fingerprints(spark):
+    """3,000 fingerprints under one 32-bit key, by hubs; in pairs where each has under 512."""
+    rng = random.Random(8)
+    low = set()
+    while len(low) < 3000:
+        base = rng.getrandbits(32)
+        low |= {base, base ^ 1 << rng.randrange(32), base ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32)}
+    fps = sorted(0xABCDEF01 << 32 | x for x in low)
+    nodes = spark.createDataFrame([(i, f - (1 << 64)) for i, f in enumerate(fps)], "node long, fp long")
+    near = {i: [i] for i in range(len(fps))}
+    x = np.array(fps, np.uint64)
+    for i in range(len(fps)):
+        near[i] = np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3).tolist()
+    label, todo = {}, list(range(len(fps)))
+    for i in todo:
+        stack = [i] if i not in label else []
+        while stack:
+            j = stack.pop()
+            if j not in label:
+                label[j] = i
+                stack += near[j]
+    found = {r.node: r.component for r in components(simhash.links(nodes)).collect()}
+    assert all(found.get(i, i) == label[i] for i in range(len(fps)))
+
+
 def test_near_duplicates_edges(spark):
     got = simhash.near_duplicates(frame(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -88,6 +114,11 @@ def test_near_duplicates_edges(spark):
     assert by[5, "0" * 16] == by[3, "0" * 16] == 3
     assert {r.component_id for r in got if r.doc_id in (7, 9)} == {7}
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
+    # ids of any type and size: strings, and longs up to the largest
+    texts = ["a b c d", "A b  c d", "x y z w", ""]
+    for ids, kind in ((["q", "p", None, "o"], "string"), ([2**63 - 1, 2**62, None, -(2**63)], "long")):
+        rows = simhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")).collect()
+        assert {(r.doc_id, r.component_id) for r in rows} == {(ids[0], ids[1]), (ids[1], ids[1]), (None, None), (ids[3], ids[3])}
 
 
 def test_components_of_a_path(spark):
