@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, salt, salt_mask, salted
+from .shared import lean_batches, materialize, salt, salt_mask, salted
 
 LEAST_PAGES = 20
 #: Nodes of lower importance go.
@@ -343,22 +343,16 @@ def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW
     """(host, path) of nodes whose importance is low, and a row with OWN_TREE for every host of enough pages."""
     # copies count once: a row for a node and a text around it
     once = node_features(pages).groupBy("host", "path", "unit").agg(*(F.min(c).alias(c) for c in ("style", "content", "flows", "share", "linked")))
-    seen = materialize(once, "features")
-    return low_of(seen, least_pages, low)
-
-
-def low_of(seen: DataFrame, least_pages: int, low: float) -> DataFrame:
-    def judged(rows: DataFrame) -> DataFrame:
-        entropies = []
-        for kind in ("style", "content"):
-            # of a distribution of n pages: (ln n - sum(c ln c) / n) / ln n
-            counts = rows.groupBy("host", "path", kind).agg(F.count("*").alias("c"), F.sum("share").alias("share"), F.sum("linked").alias("linked"), F.bool_and("flows").alias("flows"))
-            sums = counts.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.sum("share").alias("share"), F.sum("linked").alias("linked"), F.bool_and("flows").alias("flows"))
-            value = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
-            entropies.append(sums.select("host", "path", "n", value.alias(kind), *([] if kind == "style" else [(F.col("share") / F.col("n")).alias("share"), (F.col("linked") / F.col("n")).alias("linked"), "flows"])))
-        return entropies[0].join(entropies[1].drop("n"), ["host", "path"])
-
-    nodes = judged(seen).union(judged(seen.withColumn("host", F.lit(ALL_HOSTS).cast("long")))).filter(F.col("n") >= least_pages)
+    each = [F.struct(host.alias("host"), F.lit(kind).alias("kind"), F.col(kind).alias("feature")) for host in (F.col("host"), F.lit(ALL_HOSTS).cast("long")) for kind in ("style", "content")]
+    rows = materialize(once, "features").select("path", "flows", "share", "linked", F.inline(F.array(*each)))
+    figures = ("share", "linked")
+    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"), F.bool_and("flows").alias("flows"), *(F.sum(k).alias(k) for k in figures))
+    sums = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.bool_and("flows").alias("flows"), *(F.sum(k).alias(k) for k in figures))
+    # of a distribution of n pages: (ln n - sum(c ln c) / n) / ln n
+    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, entropy)).alias(kind)
+    nodes = sums.groupBy("host", "path").agg(F.max("n").alias("n"), F.bool_and("flows").alias("flows"), of("style"), of("content"), *(F.max(F.col(k) / F.col("n")).alias(k) for k in figures))
+    nodes = nodes.filter(F.col("n") >= least_pages)
     branch = F.greatest("style", F.col("content") * F.least(F.lit(1.0), 10 * F.col("share"))) * (1 - F.col("linked"))
     importance = F.when(F.col("flows"), F.greatest("style", "content")).otherwise(branch)
     own = nodes.filter(F.col("path") == ROOT >> 1).select("host", F.lit(OWN_TREE).cast("long"))
@@ -368,6 +362,7 @@ def low_of(seen: DataFrame, least_pages: int, low: float) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, broadcast_nodes: int = BROADCAST_NODES, roles: bool = True) -> DataFrame:
     """page_id, url, text, n_chars."""
     spark = pages.sparkSession
+    lean_batches(spark)
     nodes = materialize(low_nodes(pages, least_pages, low), "low")
     rows = page_rows(pages)
     kind = dict(rows.dtypes)["page_id"]
