@@ -8,8 +8,10 @@ own and becomes its UTF-8 bytes' pieces.
 
 The search is a stream: it takes text in parts, keeps the boundaries of the last `longest` characters and what hangs on
 them, and commits ids up to the boundary on which all surviving backpointer paths converge. In natural text that happens
-every few characters, so a text of any length is encoded in bounded memory. A unit of text that no piece can leave (a
-blank-led word) converges at its end; units are remembered per worker, `REMEMBERED` at most.
+every few characters, so a text of any length is encoded in bounded memory. What the search has committed for a unit of
+text that no piece can leave (a blank-led word) holds wherever the unit stands; units are remembered per worker, `REMEMBERED`
+at most. A batch's new units go through one search, one after another, and a unit longer than `STREAMED` through one of its
+own that takes it as it comes.
 
 Normalisation is the identity with a blank put in front; blanks are U+2581. Decoding gives the text back exactly, but
 that a U+2581 in a text returns as a blank. Defined results: a null or empty text has no ids; null and repeated doc_ids
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,6 +44,8 @@ PAIRS_REMEMBERED = 350_000
 SHORT = (2, 1)
 #: Longest unit remembered.
 LONGEST = 48
+#: Longest unit searched for with others; a longer one has a search of its own.
+STREAMED = 4096
 #: Score of a character without a piece in a unigram model.
 LOST = -1e6
 #: Characters of a text handed to the search at a time.
@@ -72,6 +77,8 @@ class Model:
         self.lengths = {t: tuple(sorted(k, reverse=True)) for t, k in tails.items()}
         self.pairs: dict[int, bool] = {}
         inner = any(BLANK in p.lstrip(BLANK) for p in self.id)
+        #: whether no piece goes on over a blank that stands after a sign
+        self.apart = not inner
         joined = any(re.search(f"[{LETTERS}][^{LETTERS}{BLANK}]", p) for p in self.id)
         # a unit is text that no piece leaves: blanks, other signs, letters
         word = f"[^{BLANK}{LETTERS}]*[{LETTERS}]*" if not joined else f"[^{BLANK}]*"
@@ -111,6 +118,7 @@ class StreamingViterbi:
         self.base = 0  # boundaries before window
         self.node: list[tuple[float, int, int]] = [(0.0, -1, -2)]  # by boundary in the window: score, boundary before, piece
         self.done = 0  # committed boundary, in the window
+        self.ends: list[int] = []  # by id: the boundary after its character or piece, in the whole stream
         self.peak = 0
 
     def push(self, text: str) -> list[int]:
@@ -125,6 +133,7 @@ class StreamingViterbi:
             out += self._commit(self._converged())
             if self.done > m.longest:  # forget what no arc can reach
                 cut = self.done - m.longest
+                self.base += cut
                 self.window = self.window[cut:]
                 self.node = [(n[0], n[1] - cut, n[2]) for n in self.node[cut:]]
                 self.done -= cut
@@ -185,13 +194,14 @@ class StreamingViterbi:
             _, before, piece = self.node[i]
             path.append((piece, i))
             i = before
-        out = []
+        out, before_all = [], len(self.ends)
         for piece, i in reversed(path):
             if piece >= 0:
                 out.append(piece)
             else:
                 raw = self.window[i - 1 : i].encode("utf-8", "replace")
                 out += [self.m.bytes.get(b, self.m.unknown) for b in raw] if self.m.bytes else [self.m.unknown]
+            self.ends += [self.base + i] * (len(out) - (len(self.ends) - before_all))
         self.done = max(upto, self.done)
         return out
 
@@ -199,30 +209,75 @@ class StreamingViterbi:
 class Codec:
     def __init__(self, file: str, kind: str = "bpe") -> None:
         self.m = Model(file, kind)
+        self.code = "H" if self.m.wide is np.uint16 else "i"
         self.known: dict[str, bytes] = {}
 
-    def _unit(self, unit: str) -> bytes:
-        search = StreamingViterbi(self.m)
-        return array("H" if self.m.wide is np.uint16 else "i", search.push(unit) + search.finish()).tobytes()
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of distinct units. Those that a blank leads go through one search: no piece crosses the blank between two."""
+        out: dict[str, bytes] = {}
+        led = sorted(u for u in units if u[0] == BLANK and u[-1] != BLANK) if self.m.apart else []
+        for some in (led, *([u] for u in units.difference(led))):
+            search = StreamingViterbi(self.m)
+            ids = search.push("".join(some)) + search.finish()
+            at = upto = 0
+            for unit in some:
+                upto += len(unit)
+                end = bisect_right(search.ends, upto, at)
+                out[unit] = array(self.code, ids[at:end]).tobytes()
+                at = end
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        out: list[bytes] = []
-        carried = BLANK
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text. A unit not yet known is searched for once, with the batch's others."""
+        parts = [list(self._parts(t)) for t in texts]
+        listed = [part for each in parts for part in each if isinstance(part, list)]
+        new = set().union(*listed).difference(self.known)
+        learned: dict[str, bytes] = {}
+        if new:
+            learned = self._learn(new)
+            short = [u for u in learned if len(u) <= LONGEST]
+            if len(self.known) + len(short) > REMEMBERED:
+                self.known = {u: self.known[u] for part in listed for u in part if u in self.known}
+            self.known.update((u, learned.pop(u)) for u in short)
+            self.known.update(learned)
+        out = [b"".join(b"".join(map(self.known.__getitem__, part)) if isinstance(part, list) else part for part in each) for each in parts]
+        for unit in learned:
+            del self.known[unit]
+        return [np.frombuffer(raw, self.m.wide).astype(np.int32) for raw in out]
+
+    def _parts(self, text: str) -> Iterator[list[str] | bytes]:
+        """A text as lists of units to look up, and as ids of units that are longer than STREAMED."""
+        carried, search = BLANK if text else "", None
         for at in range(0, len(text), PART):
             units = self.m.units.findall(carried + text[at : at + PART].replace(MARK, BLANK))
-            # the last unit may go on in the next part
-            carried = units.pop() if at + PART < len(text) else ""
-            ids = list(map(self.known.get, units))
-            if None in ids:
-                new = {u: self._unit(u) for u in {u for u, x in zip(units, ids) if x is None}}
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                self.known.update((u, x) for u, x in new.items() if len(u) <= LONGEST)
-                ids = [new[u] if x is None else x for u, x in zip(units, ids)]
-            out += ids
-        return np.frombuffer(b"".join(out), self.m.wide).astype(np.int32)
+            last = at + PART >= len(text)
+            if search:  # the long unit before may go on in this part
+                ids = search.push(units.pop(0))
+                if units or last:
+                    ids, search = ids + search.finish(), None
+                yield array(self.code, ids).tobytes()
+            carried = "" if last or not units else units.pop()
+            if len(carried) > STREAMED:
+                search = StreamingViterbi(self.m)
+                yield array(self.code, search.push(carried)).tobytes()
+                carried = ""
+            if len(text) > STREAMED and max(map(len, units), default=0) > STREAMED:
+                yield from self._with_long(units)
+            else:
+                yield units
+
+    def _with_long(self, units: list[str]) -> Iterator[list[str] | bytes]:
+        at = 0
+        for i, unit in enumerate(units):
+            if len(unit) > STREAMED:
+                search = StreamingViterbi(self.m)
+                yield units[at:i]
+                yield array(self.code, search.push(unit) + search.finish()).tobytes()
+                at = i + 1
+        yield units[at:]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.m.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -245,7 +300,7 @@ def encode(docs: DataFrame, file: str | None = None, kind: str = "bpe") -> DataF
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [c.encode(t) for t in texts]
+                ids = c.encode_batch(texts)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 exact = [c.decode(x.tolist()) == t.replace(MARK, BLANK) for x, t in zip(ids, texts)]

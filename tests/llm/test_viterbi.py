@@ -46,10 +46,46 @@ def test_stream_in_parts_is_bounded(codec):
 
 
 def test_parts_of_a_long_text(codec, monkeypatch):
-    monkeypatch.setattr(viterbi, "PART", 7)
     sp = sentencepiece.SentencePieceProcessor(model_file=FILE)
-    for t in texts(60):
-        assert codec.encode(t).tolist() == sp.encode(t)
+    for part, streamed in ((7, 4096), (7, 3), (64, 20), (1 << 20, 1)):
+        monkeypatch.setattr(viterbi, "PART", part)
+        monkeypatch.setattr(viterbi, "STREAMED", streamed)
+        fresh = viterbi.Codec(FILE)
+        for t in texts(60):
+            assert fresh.encode(t).tolist() == sp.encode(t)
+
+
+def test_batches_commit_before_their_end_in_a_bounded_window(spark, monkeypatch):
+    """What the query runs: the search over ordinary text commits as it goes, and never holds more than a few pieces' lengths."""
+    seen = []
+
+    class Watched(viterbi.StreamingViterbi):
+        def push(self, text):
+            ids = super().push(text)
+            seen.append((len(text), len(ids), self.peak))
+            return ids
+
+    monkeypatch.setattr(viterbi, "StreamingViterbi", Watched)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    fresh, sp = viterbi.Codec(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
+    assert [x.tolist() for x in fresh.encode_batch(texts)] == sp.encode(texts)
+    long = [(n, k, peak) for n, k, peak in seen if n > 1000]
+    assert long and all(k > n / 20 for n, k, _ in long)
+    assert max(peak for *_, peak in seen) <= 8 * fresh.m.longest + viterbi.LONGEST
+    # a long text without a border between units is taken as it comes
+    seen.clear()
+    monkeypatch.setattr(viterbi, "PART", 1000)
+    run = "Ab" * 40_000
+    assert fresh.encode(run).tolist() == sp.encode(run)
+    assert len(seen) > 50 and max(peak for *_, peak in seen) <= 8 * fresh.m.longest
+
+
+def test_units_remembered_are_bounded(monkeypatch):
+    monkeypatch.setattr(viterbi, "REMEMBERED", 50)
+    fresh, sp = viterbi.Codec(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
+    for k in range(0, 60, 5):
+        batch = texts(60)[k : k + 5] + ["the same words again"]
+        assert [x.tolist() for x in fresh.encode_batch(batch)] == sp.encode(batch)
 
 
 def test_unigram_scores_against_whole_text_search():
