@@ -1,13 +1,15 @@
 """Secret scan, in DataFrame functions only: three fixed patterns, and character Markov models for the rest.
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained from
-labelled samples (`train`). A token of 20 or more characters that no pattern has taken is reported as kind `random` if
-its log-likelihood ratio is above `THRESHOLD`. The models are a table of SYMBOLS ** 2 numbers, which is all that reaches
-the driver; texts stay in the JVM. Places are code points: a text is split at a pattern's matches, and the lengths of
-gaps and matches add up to the places.
+labelled samples (token, is_random): any such table, or `labelled_samples`, which makes one by rule. A quarter of the
+samples, by hash, is held out. A token of 20 or more characters that no pattern has taken is reported as kind `random` if its
+log-likelihood ratio is above a threshold: the odds that a token is ordinary before it is read (`PRIOR`), or, if that is more,
+the ratio that only `FALSE_SHARE` of the ordinary held-out samples exceed. The models are a table of SYMBOLS ** 2 numbers,
+which is all that reaches the driver; texts stay in the JVM. Places are code points: a text is split at a pattern's matches,
+and the lengths of gaps and matches add up to the places.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are read whole; null or repeated
-doc_ids give one row each; an empty table gives an empty result; other columns are not read.
+doc_ids give one row each; without samples nothing is `random`; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 SYMBOLS = len(ALPHABET)
-#: Log of the odds that a token is ordinary, before it is read.
-THRESHOLD = 14.0
+#: Log of the odds that a token is ordinary, before it is read: about a million to one.
+PRIOR = 14.0
+#: Share of ordinary held-out samples that may be above the threshold, and one in how many samples is held out.
+FALSE_SHARE, HELD_OUT = 0.001, 4
 SMOOTHING = 0.5
 
 #: Words of which ordinary identifiers are made.
@@ -44,30 +48,47 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """(token, is_random): hexadecimal and base64 of hashes; and identifiers joined from `IDENTIFIER_WORDS` by rule."""
-    h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
-    rows = spark.range(n).select("id", h.alias("h"))
-    random = F.when(F.col("id") % 3 == 0, F.substring("h", 1, 40)).otherwise(F.translate(F.base64(F.unhex("h")), "=", ""))
+def labelled_samples(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """(token, is_random): hashes in several alphabets and lengths; and identifiers joined from `IDENTIFIER_WORDS` by rule."""
+    h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512)
+    rows = spark.range(n).select("id", h.alias("h"), F.base64(F.unhex(h)).alias("b"))
+    length = (20 + F.col("id") % 29).cast("int")
+    alphabets = (
+        F.translate("b", "=", ""),
+        F.translate("b", "+/=", ""),
+        F.translate("b", "+/=", "-_"),
+        F.upper(F.translate("b", "+/=", "")),
+        F.lower(F.translate("b", "+/=", "")),
+        F.col("h"),
+        F.upper("h"),
+    )
+    random = F.substring(F.element_at(F.array(*alphabets), (F.col("id") % len(alphabets) + 1).cast("int")), F.lit(1), length)
     words = F.array(*map(F.lit, IDENTIFIER_WORDS))
     pick = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(IDENTIFIER_WORDS))) + 1).cast("int"))
-    four = [pick(k) for k in range(4)]
-    style = F.col("id") % 5
-    ordinary = (
-        F.when(style == 0, F.concat_ws("_", *four))
-        .when(style == 1, F.concat(four[0], *map(F.initcap, four[1:])))
-        .when(style == 2, F.concat_ws("/", *four))
-        .when(style == 3, F.upper(F.concat_ws("_", *four)))
-        .otherwise(F.concat(F.concat_ws("-", *four), F.lit("-"), (F.col("id") % 97).cast("string")))
+    four, number = [pick(k) for k in range(4)], (F.pmod(F.xxhash64("id"), F.lit(10_000))).cast("string")
+    styles = (
+        F.concat_ws("_", *four),
+        F.concat(four[0], *map(F.initcap, four[1:])),
+        F.concat_ws("/", *four),
+        F.upper(F.concat_ws("_", *four)),
+        F.concat(F.concat_ws("-", *four), F.lit("-"), number),
+        F.concat(*four),
+        F.concat(F.initcap(four[0]), F.initcap(four[1]), number, F.initcap(four[2]), F.initcap(four[3])),
     )
+    ordinary = F.element_at(F.array(*styles), (F.col("id") % len(styles) + 1).cast("int"))
     return rows.select(random.alias("token"), F.lit(True).alias("is_random")).union(rows.select(ordinary, F.lit(False)))
 
 
+def held_out(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(HELD_OUT)) == 0
+
+
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios by pair of symbols: SYMBOLS ** 2 numbers, the pair (a, b) at a * SYMBOLS + b."""
     pairs = samples.select("is_random", F.explode(F.expr("transform(sequence(1, greatest(length(token) - 1, 1)), i -> substring(token, i, 2))")).alias("pair"))
-    counts = pairs.filter("length(pair) = 2").groupBy("is_random", "pair").count().collect()
-    seen = {(r["is_random"], r["pair"]): r["count"] for r in counts}
+    # a row a class and a pair of symbols
+    known = pairs.filter((F.length("pair") == 2) & F.col("pair").rlike("^[" + ALPHABET.replace("-", r"\-") + "]+$"))
+    seen = {(r["is_random"], r["pair"]): r["count"] for r in known.groupBy("is_random", "pair").count().collect()}
     out = []
     for a in ALPHABET:
         totals = {k: sum(seen.get((k, a + b), 0) + SMOOTHING for b in ALPHABET) for k in (True, False)}
@@ -77,6 +98,24 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def calibrated(samples: DataFrame, model: list[float]) -> float:
+    """The threshold, from samples that the model was not trained on."""
+    told = samples.filter(~F.col("is_random") & F.col("token").rlike("^[" + ALPHABET.replace("-", r"\-") + "]+$"))
+    high = told.agg(F.percentile(ratio(F.col("token"), as_column(model)), F.lit(1 - FALSE_SHARE))).first()[0]
+    return max(PRIOR, high if high is not None else PRIOR)
+
+
+def fitted(samples: DataFrame) -> tuple[list[float], float]:
+    """Model and threshold from labelled samples: null tokens and labels take no part."""
+    samples = samples.select(F.col("token").cast("string").alias("token"), F.col("is_random").cast("boolean").alias("is_random")).filter("token IS NOT NULL AND is_random IS NOT NULL")
+    model = train(samples.filter(~held_out(F.col("token"))))
+    return model, calibrated(samples.filter(held_out(F.col("token"))), model)
+
+
+def as_column(model: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+
+
 def ratio(token: Column, model: Column) -> Column:
     chars = F.split(token, "")
     at = lambda c: F.instr(F.lit(ALPHABET), c)
@@ -104,10 +143,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans (kind:start:end, code points, end exclusive)."""
-    model = model or train(labelled_samples(docs.sparkSession))
-    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    model, threshold = fitted(labelled_samples(docs.sparkSession) if samples is None else samples)
+    table = as_column(model)
     text = F.col("text")
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id",
