@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
 Vectors get one more component, sqrt(M * M - |x| * |x|) with M the largest norm, so that the largest inner product is
-the smallest distance. The tree is fitted on a bounded sample (`SAMPLE` vectors, by hash); every vector is then indexed
-in a leaf. A query walks the tree through a priority queue of node distances and visits leaves in that order. How many
-is calibrated: for `CALIBRATE` queries the true neighbours among all rows are found by brute force, and visits widen
-until the mean share of true neighbours in visited leaves reaches `RECALL`.
+the smallest distance. The tree is fitted on a bounded sample, by hash; every vector is then indexed in a leaf. Of n vectors
+there are n / `LEAF` leaves, but sqrt(n) at most, so that leaves and their size grow together (`leaf_of`), and the sample has
+`LEAST_SAMPLES` vectors a leaf, `SAMPLE` at least: 8 * sqrt(n) vectors are what the driver fits the tree on at any size. A
+query walks the tree through a priority queue of node distances and visits leaves in that order. How many is calibrated:
+for `CALIBRATE` queries the true neighbours among all other vectors are found by brute force, and visits widen until the
+mean share of true neighbours in visited leaves reaches `RECALL`. A query is not its own neighbour there.
 
 Equal vectors are folded first; only the k + 1 smallest ids of a vector can be in any result, so this loses nothing and
 no vector is hot. Leaves stand on shelves of `BLOCK` vectors, a full leaf on one of its own in several blocks; queries come
@@ -101,6 +103,11 @@ def k_means(points: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.nd
     return centres[used], np.searchsorted(used, owner)
 
 
+def leaf_of(n: int, leaf_size: int) -> int:
+    """Vectors a leaf for n vectors: `leaf_size`, or more where there would be over sqrt(n) leaves."""
+    return max(leaf_size, math.isqrt(n))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
@@ -245,6 +252,8 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPL
     asked_of = asked.groupBy("v").agg(salt_mask(F.col("part")).alias("mask"))
     groups = materialize(groups.join(asked_of, "v", "left"), "vectors")
     n, norm = groups.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    leaf_size = leaf_of(n, leaf_size)
+    sample = max(sample, LEAST_SAMPLES * (n // leaf_size))
     by_hash = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = groups.filter(by_hash < sample / n).select("v").toPandas() if n > sample else groups.select("v").toPandas()
     drawn = np.stack(drawn.v.to_list()) if len(drawn) else np.zeros((0, sizes["d"]))
@@ -268,7 +277,8 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPL
     visits = tree.leaves()
     if len(some):
         qs, q_ids = np.stack(some.v.to_list()), some.rep.to_numpy(np.int64)
-        true = brute_force(groups, qs, q_ids, k + 1).join(indexed.select(F.col("rep").alias("vector"), "leaf"), "vector").select("query", "leaf").collect()
+        others = top(brute_force(groups, qs, q_ids, k + 1).filter("query <> vector"), k)
+        true = others.join(indexed.select(F.col("rep").alias("vector"), "leaf"), "vector").select("query", "leaf").collect()
         place = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, tree.leaves()))} for q, v in zip(q_ids.tolist(), unlifted(qs))}
         ranks = sorted(place[r["query"]][r["leaf"]] for r in true)
         visits = ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1
