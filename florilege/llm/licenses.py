@@ -1,7 +1,7 @@
 """License scan by template-markup matching.
 
 A template is license wording with regions in markup: `[[ ... ]]` may be left out, `{{n}}` stands for any 0 to n words.
-It is compiled into an automaton over tokens; a text holds the license where a run of its words is accepted, that is,
+`license_texts` has those in use; `scan` takes others, as (label, template). A template is compiled into an automaton over tokens; a text holds the license where a run of its words is accepted, that is,
 where all wording outside the regions stands there word for word. Three fixed phrases are counted beside the templates.
 
 A text is lower-cased (A-Z), cut into words, and joined by single blanks, once. A template is only run on a text that
@@ -17,46 +17,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import PHRASES, TEMPLATES
 from .shared import lean_batches
 
-#: Phrase and label.
-PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-
-WARRANTY = (
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
-    "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable "
-    "for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection "
-    "with the software or the use or other dealings in the software"
-)
-BSD = (
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
-    "are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
-    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
-    "the documentation and or other materials provided with the distribution"
-)
-BSD_WARRANTY = (
-    "this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of "
-    "merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for any direct indirect incidental "
-    "special exemplary or consequential damages"
-)
-#: Label and template.
-TEMPLATES = (
-    ("apache-2-notice", "licensed under the apache license version 2 0 [[the license]]"),
-    ("bsd-2-text", f"{BSD} {BSD_WARRANTY}"),
-    ("bsd-3-text", f"{BSD} [[3]] neither the name of {{{{12}}}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {BSD_WARRANTY}"),
-    ("cc-by-nc-notice", "[[this work is]] licensed under [[a]] [[the]] cc by nc [[sa]] [[nd]] {{2}} [[license]]"),
-    ("cc-by-nc-notice", "[[this work is]] licensed under a creative commons attribution noncommercial {{2}} [[international]] license"),
-    ("gpl-notice", "[[this work is]] licensed under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[version {{2}}]]"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mit-notice", "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software " + WARRANTY),
-)
-
 NOT_WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -119,11 +88,16 @@ class TokenAutomaton:
         return True
 
 
-AUTOMATA = tuple((label, TokenAutomaton(t)) for label, t in TEMPLATES)
+@cache
+def automata_of(templates: tuple[tuple[str, str], ...]) -> tuple[tuple[str, TokenAutomaton], ...]:
+    """Compiled once a worker."""
+    return tuple((label, TokenAutomaton(t)) for label, t in templates)
+
+
 NEEDLES = tuple((b" " + p.encode() + b" ", label) for p, label in PHRASES)
 
 
-def scan_text(text: str | None, automata=AUTOMATA) -> tuple[int, int, int | None, int | None, str, str, float]:
+def scan_text(text: str | None, templates=TEMPLATES) -> tuple[int, int, int | None, int | None, str, str, float]:
     words = words_of(text)
     line = b" " + b" ".join(words) + b" "
     n_base, first, last, base, own = 0, None, None, set(), set()
@@ -137,7 +111,7 @@ def scan_text(text: str | None, automata=AUTOMATA) -> tuple[int, int, int | None
             first = seen if first is None else min(first, seen)
             last = seen if last is None else max(last, seen)
             at = line.find(needle, at + 1)
-    for label, automaton in automata:
+    for label, automaton in automata_of(templates):
         if label not in own and automaton.anchor in line:
             if any(w in automaton.first and automaton.accepts_at(words, i) for i, w in enumerate(words)):
                 own.add(label)
@@ -145,15 +119,16 @@ def scan_text(text: str | None, automata=AUTOMATA) -> tuple[int, int, int | None
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | own)), score
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 template, 0.5 phrase only, 0 neither)."""
     lean_batches(docs.sparkSession)
+    templates = tuple(map(tuple, templates))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kinds = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(zip(*(scan_text(t.as_py()) for t in b.column(1)), strict=True)) or [()] * len(kinds)
+            found = list(zip(*(scan_text(t.as_py(), templates) for t in b.column(1)), strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, kind) for x, (_, kind) in zip(found, kinds))], ["doc_id", *(k for k, _ in kinds)])
 
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

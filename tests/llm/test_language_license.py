@@ -110,6 +110,9 @@ OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
         ("Licensed under the Apache License, Version 2.0.", "apache-2,apache-2-notice"),
         ("Licensed under CC BY-NC 4.0.", "cc-by-nc,cc-by-nc-notice"),
         ("license commit apache versions", ""),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3-header"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2-header"),
+        ("To the extent possible under law, A. Writer has waived all copyright and related or neighboring rights to This Work.", "cc0-notice"),
     ],
 )
 def test_templates(text, labels):
@@ -129,3 +132,43 @@ def test_license_scan(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(tokens), len(at), at[0] if at else None, at[-1] if at else None)
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def as_pattern(template):
+    """The template as a regular expression over words that end in a blank each."""
+    out = ""
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        out += {"[[": "(?:", "]]": ")?"}.get(token) or (rf"(?:\S+ ){{0,{token[2:-2]}}}" if token[0] == "{" else re.escape(token) + " ")
+    return re.compile("(?<= )" + out)
+
+
+def test_automata_against_regular_expressions():
+    """Every template, whole, with regions left out or filled, and with a word of its own changed, dropped or doubled."""
+    rng = random.Random(12)
+    extra = (("t1", "a [[b [[c]] d]] {{2}} e"), ("t2", "a a b"), ("t3", "{{3}} x y [[z]]"), ("t4", "a [[b]] [[b]] b c"))
+    templates = (*licenses.TEMPLATES, *extra)
+    patterns = [(label, as_pattern(t)) for label, t in templates]
+    cases = []
+    for _, t in templates:
+        for _ in range(12):
+            filled = re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(rng.choices("abcxyz", k=rng.randrange(0, int(m[1]) + 2))), t)
+            while "[[" in filled:
+                filled = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: rng.choice([m[1], ""]), filled)
+            words = filled.split()
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[words[k]], [words[k]], [], ["other"], [words[k]] * 2])
+            cases.append(" ".join(["before", *words, "after"]))
+    cases += [" ".join(rng.choices("abcdexyz", k=rng.randrange(0, 14))) for _ in range(3000)]
+    found = 0
+    for text in cases:
+        want = {label for label, p in patterns if p.search(f" {text} ")}
+        base = {label for p, label in licenses.PHRASES if f" {p} " in f" {text} "}
+        assert set(filter(None, licenses.scan_text(text, templates)[5].split(","))) == want | base, text
+        found += bool(want)
+    assert found > 500
+
+
+def test_licenses_of_null_and_repeated_doc_ids(spark):
+    rows = [(None, "under the MIT license"), (7, "x"), (7, "cc by nc"), (None, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=[("own", "x [[y]]")]).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.labels) for r in got) == [("7", 1, "own"), ("7", 3, "cc-by-nc"), ("None", 0, ""), ("None", 4, "mit")]
