@@ -1,14 +1,15 @@
-"""Byte-level BPE ids of whole Arrow columns: distinct stretches of text are encoded once, by the tokenizers library.
-
-A stretch starts where a text does and at every white space that follows a sign which surely is none. The pre-tokeniser
-of a byte-level BPE never lets a token run into such a white space, nor looks past it, so a text's ids are those of its
-stretches one after another; where the sign before is in doubt, the stretch just goes on, which is always right. The
-string of an added token has no white space, so it stands within one stretch and is the token there as anywhere.
-
-Stretches of up to `KEY_BYTES` bytes are looked up by their bytes, all of a lot at once, in an open-addressed table of
-arrays: a row is three words of bytes and length, compared in full, and the place of its ids. Unknown ones are encoded in
-one call a lot. The table holds `REMEMBERED` stretches at most and is then emptied; longer stretches are encoded as they
-come, each distinct one of a lot once.
+"""Ids of whole Arrow columns of text from the ids of their distinct stretches, each of which is encoded once.
+
+An encoder says where stretches start, so that a text's ids are those of its stretches one after another, and how to encode
+distinct ones (`Memory.starts_of`, `Memory.learn`). Stretches of up to `KEY_BYTES` bytes are looked up by their bytes, all of
+a lot at once, in an open-addressed table of arrays: a row is three words of bytes and length, compared in full, and the
+place of its ids. Unknown ones are encoded together, a lot at a time. The table holds `REMEMBERED` stretches at most and is
+then emptied; longer stretches are encoded as they come, each distinct one of a lot once.
+
+`Encoder` is for byte-level BPE by the tokenizers library. A stretch starts where a text does and at every white space that
+follows a sign which surely is none. The pre-tokeniser never lets a token run into such a white space, nor looks past it;
+where the sign before is in doubt, the stretch just goes on, which is always right. The string of an added token has no white
+space, so it stands within one stretch and is the token there as anywhere.
 """
 
 from __future__ import annotations
@@ -37,48 +38,56 @@ SIGN[0x21:0x7F] = True
 LEAD[0xC3:0xC9] = True
 KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 ODD_1, ODD_2, ODD_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-BREAK = re.compile(rb"[!-~][\t-\r ]")
 
 
-def stretches(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where stretches start in `raw`, whose texts begin at `starts` (none of them empty)."""
-    white = np.flatnonzero(WHITE[raw])
-    white = white[white > 0]
-    before = raw[white - 1]
-    sure = SIGN[before] | ((before >= 0x80) & (before < 0xC0) & LEAD[raw[np.maximum(white - 2, 0)]])
-    marks = np.zeros(len(raw), bool)
-    marks[white[sure]] = True
-    marks[starts] = True
-    return np.flatnonzero(marks)
+def within(values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of `values`, one after another."""
+    ends = np.cumsum(size)
+    take = np.repeat(starts - (ends - size), size)
+    take += np.arange(len(take))
+    return values[take]
 
 
-class Encoder:
-    """`encode` gives the ids of a column of texts; what it remembers is for one worker."""
+def follows(raw: np.ndarray) -> np.ndarray:
+    """Second bytes of U+00C0 to U+023F."""
+    return (raw >= 0x80) & (raw < 0xC0) & LEAD[np.append(np.uint8(0), raw[:-1])]
 
-    def __init__(self, file: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        size = self.tokenizer.get_vocab_size()
-        self.wide = "<u2" if size <= 1 << 16 else "<u4"
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column and where each text starts, and the last ends; a null text is empty."""
+    column = pc.fill_null(texts, "").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
+
+
+class Memory:
+    #: Where texts longer than LOT can be cut: before the second byte of what this finds.
+    BREAK = re.compile(rb"[!-~][\t-\r ]")
+
+    def __init__(self, wide: str) -> None:
+        self.wide = wide
         #: by slot: the bytes and length of a stretch, then where its ids are times 256 plus how many (0: a free slot)
         self.rows = np.zeros(((1 << SLOT_BITS) + PROBES, 4), np.uint64)
         self.forget()
 
+    def starts_of(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where stretches start in `raw`, whose texts begin at `starts` (none of them empty)."""
+        raise NotImplementedError
+
+    def learn(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct stretches, which follow one another in `raw`: all of them, and where each one's start and how many."""
+        raise NotImplementedError
+
     def forget(self) -> None:
         self.ids, self.held, self.kept, self.known = np.zeros(1 << 20, self.wide), 0, 0, 0
         self.rows[:, 3] = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a column, and where each text's end; a null text is empty."""
-        column = pc.fill_null(texts, "").cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        """All ids of a column, and where each text's end."""
+        raw, offsets = buffers(texts)
         if not len(texts) or offsets[-1] == offsets[0]:
             return np.zeros(0, self.wide), np.zeros(len(texts), np.int64)
-        raw = np.frombuffer(column.buffers()[2], np.uint8)
-        bounds = np.unique(np.concatenate([offsets, breaks(raw, offsets)]))
+        bounds = np.unique(np.concatenate([offsets, self._breaks(raw, offsets)]))
         parts, sizes, at = [], [], 0
         while at < len(bounds) - 1:
             end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + LOT, "right")) - 1)
@@ -89,17 +98,25 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         return np.concatenate(parts), total[np.searchsorted(bounds, offsets[1:])]
 
+    def _breaks(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places to cut texts longer than LOT, about LOT bytes apart."""
+        out: list[int] = []
+        for i in np.flatnonzero(np.diff(offsets) > LOT).tolist():
+            text = raw[offsets[i] : offsets[i + 1]].data
+            at = LOT
+            while at < len(text) and (m := self.BREAK.search(text, at)):
+                out.append(int(offsets[i]) + m.start() + 1)
+                at = m.start() + LOT
+        return np.array(out, np.int64)
+
     def _lot(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that begin at `starts` and are not empty, and how many each has."""
         if self.known > REMEMBERED:
             self.forget()
-        at = stretches(raw, starts)
+        at = self.starts_of(raw, starts)
         place, n = self._found(raw, at, np.diff(at, append=len(raw)))
-        ends = np.cumsum(n)
-        take = np.repeat(place - (ends - n), n)
-        take += np.arange(len(take))
-        upto = ends[np.append(np.searchsorted(at, starts[1:]), len(at)) - 1]
-        ids = self.ids[take]
+        upto = np.cumsum(n)[np.append(np.searchsorted(at, starts[1:]), len(at)) - 1]
+        ids = within(self.ids, place, n)
         self.held = self.kept  # what was encoded for this lot alone goes
         return ids, np.diff(upto, prepend=0)
 
@@ -134,54 +151,25 @@ class Encoder:
             if (keys[:, short[firsts[which]]] != keys[:, short]).any():  # the hash does not tell all apart
                 firsts, which = np.unique(keys[:, short], axis=1, return_index=True, return_inverse=True)[1:]
             once = short[firsts]
-            ends = np.cumsum(size[once])
-            bytes_of = raw[np.repeat(at[once] - (ends - size[once]), size[once]) + np.arange(ends[-1])]
-            place_of, n_of = self._learn(bytes_of, ends - size[once], size[once])
+            place_of, n_of = self._learned(within(raw, at[once], size[once]), size[once])
             self.kept = self.held
-            self._remember(keys[:, once], slot[once], place_of << 8 | n_of)
+            few = np.flatnonzero(n_of < 256)
+            self._remember(keys[:, once[few]], slot[once[few]], place_of[few] << 8 | n_of[few])
             place[short], n[short] = place_of[which], n_of[which]
         if len(long_):
             number: dict[bytes, int] = {}
             which = np.array([number.setdefault(raw[a : a + s].tobytes(), len(number)) for a, s in zip(at[long_].tolist(), size[long_].tolist())])
-            place_of, n_of = self._hold(self._ids([x.decode("utf-8", "replace") for x in number]))
+            place_of, n_of = self._learned(np.frombuffer(b"".join(number), np.uint8), np.array(list(map(len, number)), np.int64))
             place[long_], n[long_] = place_of[which], n_of[which]
         return place, n
 
-    def _learn(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encode distinct stretches, which follow one another in `raw`: place and number of each one's ids."""
-        odd = ~(SIGN[raw] | LEAD[raw] | (raw >= 0x80) & (raw < 0xC0) & LEAD[np.append(np.uint8(0), raw[:-1])])
-        odd[starts] = (raw[starts] != 32) | (size < 2)
-        plain = np.add.reduceat(odd, starts, dtype=np.int64) == 0
-        place, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        if plain.any():
-            # a blank, then signs that are none: encoded joined, and told apart by the blank's token
-            joined = raw[np.repeat(plain, size)].tobytes()
-            cuts = [*(np.cumsum(size[plain]) - size[plain])[::JOINED].tolist(), len(joined)]
-            ids = np.concatenate([np.array(x, self.wide) for x in self._ids([joined[a:b].decode() for a, b in zip(cuts, cuts[1:])])])
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) != plain.sum():
-                raise AssertionError("a stretch does not start with a blank's token")
-            n[plain] = np.diff(first, append=len(ids))
-            place[plain] = first + self._put(ids)
-        single = np.flatnonzero(~plain)
-        place[single], n[single] = self._hold(self._ids([raw[a : a + s].tobytes().decode("utf-8", "replace") for a, s in zip(starts[single].tolist(), size[single].tolist())]))
-        return place, n
-
-    def _put(self, ids: np.ndarray) -> int:
+    def _learned(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, start, n = self.learn(raw, np.cumsum(size) - size, size)
         if (need := self.held + len(ids)) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(need - len(self.ids), len(self.ids) // 2), self.wide)])
-        self.ids[self.held : self.held + len(ids)] = ids
-        self.held += len(ids)
-        return self.held - len(ids)
-
-    def _hold(self, each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.array(list(map(len, each)), np.int64)
-        at = self._put(np.fromiter((i for ids in each for i in ids), self.wide, int(n.sum())))
-        return at + np.cumsum(n) - n, n
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        calls = (self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False) for at in range(0, len(texts), CALL))
-        return [e.ids for call in calls for e in call]
+        self.ids[self.held : need] = ids
+        self.held = need
+        return need - len(ids) + start, n
 
     def _remember(self, keys: np.ndarray, slot: np.ndarray, value: np.ndarray) -> None:
         """Give each stretch the first free slot from its own on; one that finds none in PROBES is not remembered."""
@@ -198,16 +186,49 @@ class Encoder:
                 break
 
 
-def breaks(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where texts longer than LOT can be cut: a white space after an ASCII sign, about LOT bytes apart."""
-    out: list[int] = []
-    for i in np.flatnonzero(np.diff(offsets) > LOT).tolist():
-        text = raw[offsets[i] : offsets[i + 1]].data
-        at = LOT
-        while at < len(text) and (m := BREAK.search(text, at)):
-            out.append(int(offsets[i]) + m.start() + 1)
-            at = m.start() + LOT
-    return np.array(out, np.int64)
+class Encoder(Memory):
+    def __init__(self, file: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        super().__init__("<u2" if size <= 1 << 16 else "<u4")
+
+    def starts_of(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        white = np.flatnonzero(WHITE[raw])
+        white = white[white > 0]
+        before = raw[white - 1]
+        sure = SIGN[before] | ((before >= 0x80) & (before < 0xC0) & LEAD[raw[np.maximum(white - 2, 0)]])
+        found = np.zeros(len(raw), bool)
+        found[white[sure]] = True
+        found[starts] = True
+        return np.flatnonzero(found)
+
+    def learn(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        odd = ~(SIGN[raw] | LEAD[raw] | follows(raw))
+        odd[starts] = (raw[starts] != 32) | (size < 2)
+        plain = np.add.reduceat(odd, starts, dtype=np.int64) == 0
+        start, n, ids = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.zeros(0, self.wide)
+        if plain.any():
+            # a blank, then signs that are none: encoded joined, and told apart by the blank's token
+            joined = within(raw, starts[plain], size[plain]).tobytes()
+            cuts = [*(np.cumsum(size[plain]) - size[plain])[::JOINED].tolist(), len(joined)]
+            ids = np.concatenate([np.array(x, self.wide) for x in self._ids([joined[a:b].decode() for a, b in zip(cuts, cuts[1:])])])
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) != plain.sum():
+                raise AssertionError("a stretch does not start with a blank's token")
+            start[plain], n[plain] = first, np.diff(first, append=len(ids))
+        single = np.flatnonzero(~plain)
+        each = self._ids([raw[a : a + s].tobytes().decode("utf-8", "replace") for a, s in zip(starts[single].tolist(), size[single].tolist())])
+        n[single] = list(map(len, each))
+        start[single] = len(ids) + np.cumsum(n[single]) - n[single]
+        return np.concatenate([ids, *(np.array(x, self.wide) for x in each)]), start, n
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        calls = (self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False) for at in range(0, len(texts), CALL))
+        return [e.ids for call in calls for e in call]
 
 
 @cache

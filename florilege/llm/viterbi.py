@@ -9,9 +9,8 @@ own and becomes its UTF-8 bytes' pieces.
 The search is a stream: it takes text in parts, keeps the boundaries of the last `longest` characters and what hangs on
 them, and commits ids up to the boundary on which all surviving backpointer paths converge. In natural text that happens
 every few characters, so a text of any length is encoded in bounded memory. What the search has committed for a unit of
-text that no piece can leave (a blank-led word) holds wherever the unit stands; units are remembered per worker, `REMEMBERED`
-at most. A batch's new units go through one search, one after another, and a unit longer than `STREAMED` through one of its
-own that takes it as it comes.
+text that no piece can leave (a blank-led word) holds wherever the unit stands, and is remembered (`segments.Memory`). A lot's
+new units go through one search, one after another; a unit of any length goes through it as it comes.
 
 Normalisation is the identity with a blank put in front; blanks are U+2581. Decoding gives the text back exactly, but
 that a U+2581 in a text returns as a blank. Defined results: a null or empty text has no ids; null and repeated doc_ids
@@ -22,34 +21,33 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .segments import LEAD, Memory, buffers, follows, within
 from .shared import lean_batches
 
 #: U+2581 in the model; a plain blank here, so that units stay short in memory.
 MARK, BLANK = "▁", " "
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-REMEMBERED = 350_000
 PAIRS_REMEMBERED = 350_000
 #: Lengths to try where no longer piece may end.
 SHORT = (2, 1)
-#: Longest unit remembered.
-LONGEST = 48
-#: Longest unit searched for with others; a longer one has a search of its own.
-STREAMED = 4096
 #: Score of a character without a piece in a unigram model.
 LOST = -1e6
-#: Characters of a text handed to the search at a time.
-PART = 1 << 20
+#: Units handed to the search at a time.
+PART = 1024
+#: Letters of one byte.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 class Model:
@@ -76,13 +74,9 @@ class Model:
         #: by last three characters: the lengths of the pieces that may end there, longest first
         self.lengths = {t: tuple(sorted(k, reverse=True)) for t, k in tails.items()}
         self.pairs: dict[int, bool] = {}
-        inner = any(BLANK in p.lstrip(BLANK) for p in self.id)
-        #: whether no piece goes on over a blank that stands after a sign
-        self.apart = not inner
-        joined = any(re.search(f"[{LETTERS}][^{LETTERS}{BLANK}]", p) for p in self.id)
-        # a unit is text that no piece leaves: blanks, other signs, letters
-        word = f"[^{BLANK}{LETTERS}]*[{LETTERS}]*" if not joined else f"[^{BLANK}]*"
-        self.units = re.compile(".+" if inner else f"{BLANK}+{word}|{word.replace('*', '+', 1)}" + ("" if joined else f"|[{LETTERS}]+"), re.S)
+        #: whether no piece goes on over a blank after another sign, nor over the end of letters
+        self.apart = not any(BLANK in p.lstrip(BLANK) for p in self.id)
+        self.split = not any(re.search(f"[{LETTERS}][^{LETTERS}{BLANK}]", p) for p in self.id)
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition: the best-scored neighbours first, leftmost of equals."""
@@ -206,78 +200,80 @@ class StreamingViterbi:
         return out
 
 
-class Codec:
+class Codec(Memory):
+    """Encoding of columns by the search, with its results for units remembered, and decoding."""
+
+    #: Where texts can be cut: no piece goes on over a blank that stands after another sign.
+    BREAK = re.compile(rb"[^ ] ")
+
     def __init__(self, file: str, kind: str = "bpe") -> None:
         self.m = Model(file, kind)
         self.code = "H" if self.m.wide is np.uint16 else "i"
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of distinct units. Those that a blank leads go through one search: no piece crosses the blank between two."""
-        out: dict[str, bytes] = {}
-        led = sorted(u for u in units if u[0] == BLANK and u[-1] != BLANK) if self.m.apart else []
-        for some in (led, *([u] for u in units.difference(led))):
+        lengths = np.array([len(r) for r in self.m.raw], np.int64)
+        self.raw, self.raw_size, self.raw_start = np.frombuffer(b"".join(self.m.raw), np.uint8), lengths, np.cumsum(lengths) - lengths
+        super().__init__("<u2" if self.code == "H" else "<i4")
+
+    def starts_of(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Units: blanks, other signs, letters. A new one starts with the blank after another sign and, where no piece has
+        a letter before another sign, with any sign after a letter."""
+        found = np.zeros(len(raw), bool)
+        if self.m.apart:
+            blank = raw == 32
+            found[1:] = blank[1:] & ~blank[:-1]
+        if self.m.apart and self.m.split:
+            letter = LETTER[raw]
+            second = follows(raw)
+            second[1:] &= ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))  # signs among the letters
+            found[1:] |= (letter | second)[:-1] & ~letter[1:] & ~LEAD[raw[1:]] & ((raw[1:] < 0x80) | (raw[1:] >= 0xC0)) & (raw[1:] != 0xC9)
+        found[starts] = True
+        return np.flatnonzero(found)
+
+    def learn(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units that a blank leads go through one search, one after another; each other one through its own."""
+        led = (raw[starts] == 32) & (raw[starts + size - 1] != 32) & self.m.apart
+        out, n = array(self.code), np.zeros(len(starts), np.int64)
+        order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led)])
+        units = [raw[a : a + k].tobytes().decode("utf-8", "replace") for a, k in zip(starts[order].tolist(), size[order].tolist())]
+        n_led = int(led.sum())
+        if n_led:
             search = StreamingViterbi(self.m)
-            ids = search.push("".join(some)) + search.finish()
-            at = upto = 0
-            for unit in some:
-                upto += len(unit)
-                end = bisect_right(search.ends, upto, at)
-                out[unit] = array(self.code, ids[at:end]).tobytes()
-                at = end
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_batch([text])[0]
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text. A unit not yet known is searched for once, with the batch's others."""
-        parts = [list(self._parts(t)) for t in texts]
-        listed = [part for each in parts for part in each if isinstance(part, list)]
-        new = set().union(*listed).difference(self.known)
-        learned: dict[str, bytes] = {}
-        if new:
-            learned = self._learn(new)
-            short = [u for u in learned if len(u) <= LONGEST]
-            if len(self.known) + len(short) > REMEMBERED:
-                self.known = {u: self.known[u] for part in listed for u in part if u in self.known}
-            self.known.update((u, learned.pop(u)) for u in short)
-            self.known.update(learned)
-        out = [b"".join(b"".join(map(self.known.__getitem__, part)) if isinstance(part, list) else part for part in each) for each in parts]
-        for unit in learned:
-            del self.known[unit]
-        return [np.frombuffer(raw, self.m.wide).astype(np.int32) for raw in out]
-
-    def _parts(self, text: str) -> Iterator[list[str] | bytes]:
-        """A text as lists of units to look up, and as ids of units that are longer than STREAMED."""
-        carried, search = BLANK if text else "", None
-        for at in range(0, len(text), PART):
-            units = self.m.units.findall(carried + text[at : at + PART].replace(MARK, BLANK))
-            last = at + PART >= len(text)
-            if search:  # the long unit before may go on in this part
-                ids = search.push(units.pop(0))
-                if units or last:
-                    ids, search = ids + search.finish(), None
-                yield array(self.code, ids).tobytes()
-            carried = "" if last or not units else units.pop()
-            if len(carried) > STREAMED:
-                search = StreamingViterbi(self.m)
-                yield array(self.code, search.push(carried)).tobytes()
-                carried = ""
-            if len(text) > STREAMED and max(map(len, units), default=0) > STREAMED:
-                yield from self._with_long(units)
-            else:
-                yield units
-
-    def _with_long(self, units: list[str]) -> Iterator[list[str] | bytes]:
-        at = 0
-        for i, unit in enumerate(units):
-            if len(unit) > STREAMED:
-                search = StreamingViterbi(self.m)
-                yield units[at:i]
-                yield array(self.code, search.push(unit) + search.finish()).tobytes()
-                at = i + 1
-        yield units[at:]
+            for at in range(0, n_led, PART):
+                out.extend(search.push("".join(units[at : min(at + PART, n_led)])))
+            out.extend(search.finish())
+            borders = np.cumsum(list(map(len, units[:n_led])))
+            n[order[:n_led]] = np.diff(np.searchsorted(search.ends, borders, "right"), prepend=0)
+        for i, unit in zip(order[n_led:].tolist(), units[n_led:]):
+            search = StreamingViterbi(self.m)
+            ids = search.push(unit) + search.finish()
+            out.extend(ids)
+            n[i] = len(ids)
+        start = np.zeros(len(starts), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return np.frombuffer(out, self.wide) if len(out) else np.zeros(0, self.wide), start, n
+
+    def marked(self, texts: pa.Array) -> pa.Array:
+        """Texts as the model has them: a blank in front of each that is not empty, blanks for U+2581."""
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, BLANK)
+        led = pc.binary_join_element_wise(pa.scalar(BLANK, pa.large_string()), plain, pa.scalar("", pa.large_string()))
+        return pc.if_else(pc.equal(pc.binary_length(plain), 0), plain, led)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a column, where each text's end, and whether decoding them gives the text back."""
+        column = self.marked(texts)
+        ids, ends = self.encode(column)
+        size = np.diff(np.concatenate([[0], np.cumsum(self.raw_size[ids])])[ends], prepend=0)
+        raw, offsets = buffers(column)
+        exact = size == np.diff(offsets)
+        back, begins = within(self.raw, self.raw_start[ids], self.raw_size[ids]), np.cumsum(size) - size
+        raw = raw[offsets[0] : offsets[-1]]
+        if not exact.all() or not np.array_equal(back, raw):
+            for i in np.flatnonzero(exact).tolist():
+                exact[i] = np.array_equal(back[begins[i] : begins[i] + size[i]], raw[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]])
+        return ids, ends, exact
+
+    def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
+        ids, ends, _ = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tolist() for x in np.split(ids, ends[:-1])] if len(ends) else []
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.m.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -299,12 +295,10 @@ def encode(docs: DataFrame, file: str | None = None, kind: str = "bpe") -> DataF
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = c.encode_batch(texts)
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                exact = [c.decode(x.tolist()) == t.replace(MARK, BLANK) for x, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(exact)], ["doc_id", "n_ids", "ids", "exact"])
+                ids, ends, exact = c.encode_column(part.column(1))
+                ends = np.append(0, ends)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), lists, pa.array(exact)], ["doc_id", "n_ids", "ids", "exact"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_ids long, ids array<int>, exact boolean")

@@ -3,10 +3,13 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from florilege.llm import viterbi
+from florilege.llm import segments, viterbi
 
 FILE = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, ids string, n_ids int"
@@ -25,10 +28,16 @@ def codec():
 
 def test_ids_are_the_librarys_and_decode_exactly(codec):
     sp = sentencepiece.SentencePieceProcessor(model_file=FILE)
-    for t in texts():
-        ids = codec.encode(t).tolist()
-        assert ids == sp.encode(t)
-        assert codec.decode(ids) == t
+    for _ in range(2):  # unknown, then known
+        ids, ends, exact = codec.encode_column(pa.array(texts()))
+        assert exact.all() and len(ids) == ends[-1]
+        for t, got in zip(texts(), codec.encode_texts(texts()), strict=True):
+            assert got == sp.encode(t)
+            assert codec.decode(got) == t
+    for t in texts(60):
+        assert codec.encode_texts([t, None, "", t]) == [sp.encode(t), [], [], sp.encode(t)]
+    assert codec.encode_texts([]) == []
+    assert codec.encode_texts(["a▁b", "▁"]) == sp.encode(["a▁b", "▁"])
 
 
 def test_stream_in_parts_is_bounded(codec):
@@ -45,14 +54,20 @@ def test_stream_in_parts_is_bounded(codec):
     assert search.peak < 400
 
 
-def test_parts_of_a_long_text(codec, monkeypatch):
+def test_parts_of_a_long_text(monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=FILE)
-    for part, streamed in ((7, 4096), (7, 3), (64, 20), (1 << 20, 1)):
+    for lot, part in ((7, 1), (64, 3), (1 << 19, 2)):
+        monkeypatch.setattr(segments, "LOT", lot)
         monkeypatch.setattr(viterbi, "PART", part)
-        monkeypatch.setattr(viterbi, "STREAMED", streamed)
-        fresh = viterbi.Codec(FILE)
-        for t in texts(60):
-            assert fresh.encode(t).tolist() == sp.encode(t)
+        assert viterbi.Codec(FILE).encode_texts(texts(80)) == sp.encode(texts(80))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \t\nab×÷éɏȿ'1.日"), st.characters(exclude_categories=["Cs"], exclude_characters="▁")), max_size=60), max_size=5))
+def test_any_text(column):
+    c, sp = viterbi.codec(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
+    assert c.encode_texts(column) == sp.encode(column)
+    assert c.encode_column(pa.array(column, pa.string()))[2].all()
 
 
 def test_batches_commit_before_their_end_in_a_bounded_window(spark, monkeypatch):
@@ -66,26 +81,31 @@ def test_batches_commit_before_their_end_in_a_bounded_window(spark, monkeypatch)
             return ids
 
     monkeypatch.setattr(viterbi, "StreamingViterbi", Watched)
-    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     fresh, sp = viterbi.Codec(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
-    assert [x.tolist() for x in fresh.encode_batch(texts)] == sp.encode(texts)
-    long = [(n, k, peak) for n, k, peak in seen if n > 1000]
-    assert long and all(k > n / 20 for n, k, _ in long)
-    assert max(peak for *_, peak in seen) <= 8 * fresh.m.longest + viterbi.LONGEST
-    # a long text without a border between units is taken as it comes
-    seen.clear()
-    monkeypatch.setattr(viterbi, "PART", 1000)
+    assert fresh.encode_texts(rows) == sp.encode(rows)
+    long = [(n, k) for n, k, _ in seen if n > 1000]
+    assert long and all(k > n / 20 for n, k in long)
+    # a text without a border between units is one unit, in the same window
     run = "Ab" * 40_000
-    assert fresh.encode(run).tolist() == sp.encode(run)
-    assert len(seen) > 50 and max(peak for *_, peak in seen) <= 8 * fresh.m.longest
+    assert fresh.encode_texts([run]) == [sp.encode(run)]
+    assert max(n for n, *_ in seen) > 80_000 and max(peak for *_, peak in seen) <= 8 * fresh.m.longest
 
 
 def test_units_remembered_are_bounded(monkeypatch):
-    monkeypatch.setattr(viterbi, "REMEMBERED", 50)
+    monkeypatch.setattr(segments, "REMEMBERED", 50)
+    monkeypatch.setattr(segments, "SLOT_BITS", 6)
     fresh, sp = viterbi.Codec(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
     for k in range(0, 60, 5):
         batch = texts(60)[k : k + 5] + ["the same words again"]
-        assert [x.tolist() for x in fresh.encode_batch(batch)] == sp.encode(batch)
+        assert fresh.encode_texts(batch) == sp.encode(batch)
+
+
+def test_what_does_not_come_back_is_told(codec):
+    """A model without bytes for a sign loses it: `exact` is false for that text alone."""
+    lossy = viterbi.Codec(FILE)
+    lossy.m.bytes = {}
+    assert lossy.encode_column(pa.array(["plain", "ꙮ text", "", None, "plain too"]))[2].tolist() == [True, False, True, True, True]
 
 
 def test_unigram_scores_against_whole_text_search():
