@@ -294,4 +294,6 @@ def keep_known(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFr
                 langs, _ = parser.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != "und" for x in langs]))
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns by place, whatever their names
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

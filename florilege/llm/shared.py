@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +19,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share. A local session without one gets its own; a cluster must name one."""
     if root := spark.conf.get("spark.checkpoint.dir", "") or "":
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="florilege-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.gettempdir() + f"/florilege-{uuid.uuid4().hex}")
+
+
+#: Lists of scratch tables written within each `scratch_tables` that is open, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the scratch tables that were written in it, for callers that have written what they made of them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/florilege/{uuid.uuid4().hex}-{tag}"
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._florilege_path = path
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df`, a scratch table, which the `scratch_tables` around does not delete."""
+    if _open and (path := getattr(df, "_florilege_path", None)) in _open[-1]:
+        _open[-1].remove(path)
+    return df
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in frames:
@@ -52,11 +80,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Hand texts to Python a few at a time, so that a worker's memory does not follow the texts' length."""
-    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(records)) <= 1000:
-        spark.conf.set(records, "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Hand texts to Python a few at a time, so that a worker's memory does not follow the texts' length.
+
+    Two settings of the session are lowered, for a plan reads them when it runs; lower ones of the caller's stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def ascii_lower(text: Column) -> Column:

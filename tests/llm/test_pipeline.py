@@ -7,7 +7,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from florilege.llm import crossparse, curriculum, simhash
+from florilege.llm import crossparse, curriculum, shared, simhash
 
 
 def fixture(n=160):
@@ -106,6 +106,32 @@ def test_null_and_repeated_doc_ids(spark):
     assert step["SentencePiece encoding"](spark, mixed, "").count() == len(plain)
 
 
+def test_columns_with_clashing_names(spark):
+    names = "position pass part row_number place size words mask row id key fp component_id keep_id kept best src ord Row_Number a.b".split()
+    rows = [(i, t, lang, s, n, *[f"{k}{i}" for k in range(len(names))]) for i, t, lang, s, n in fixture(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    spark.conf.set("spark.sql.caseSensitive", "true")  # for a name in two spellings
+    try:
+        docs = spark.createDataFrame(rows, schema)
+        plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs, plain = stage(spark, docs, ""), stage(spark, plain, "")
+            assert [c.lower() for c in docs.columns] == [c.lower() for c in ["doc_id", "text", "lang", "source", "n_chars", *names]]
+            got = docs.collect()
+            assert sorted(tuple(r)[:5] for r in got) == sorted(map(tuple, plain.collect())) or name == "language ID"
+            assert all(tuple(r)[5:] == tuple(f"{k}{r[0]}" for k in range(len(names))) for r in got)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "scratch_root", lambda spark: f"file://{tmp_path}/shared")
+    spark.createDataFrame(fixture(60), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/in/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/in").count() > 0
+    assert [p.name.split("-")[1] for p in (tmp_path / "shared/florilege").iterdir()] == ["mixing"]
+
+
 def test_empty_pipeline(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
