@@ -7,7 +7,8 @@ text); the last stage encodes what is left. Nulls, empty texts, ties and empty t
 
 Stages 2 to 4 decide by row: each writes its input with a number a row, and keeps or places rows by that. A doc_id is only
 a rank, null after all others: of rows that repeat one, and of rows without one, a group of copies keeps a single row (the
-exact one that of the largest row number, the near one that of the smallest), and each row is mixed by itself.
+exact one that of the largest row number, the near one that of the smallest), and each row is mixed by itself. Columns that
+the stages add have names that the documents do not have, so other columns pass through whatever they are called.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.llm import crossparse, curriculum, exact_dedup, simhash, viterbi
-from florilege.llm.shared import materialize, table
+from florilege.llm.shared import forget, kept, materialize, scratch_tables, table
 
 #: The stages pick representatives by fingerprint components and encode with a tokenizer: not for SQL.
 ORACLE_SQL = None
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """`docs` with a number a row, and its column. Written, so that each later reading sees the same numbers."""
-    row = "row_number"
-    while row in docs.columns:
-        row += "_"
+    row = free_name(docs, "row_number")
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
 
 
@@ -41,26 +47,28 @@ def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, row = numbered(docs, "rows")
-    keyed = docs.select("text", F.struct("doc_id", row).alias("key"))
-    return without(docs, exact_dedup.exact_dedup(keyed, "key").filter("NOT kept").select(f"doc_id.{row}"), row)
+    keyed = docs.select("text", F.struct("doc_id", F.col(row).alias("row")).alias("key"))
+    return without(docs, exact_dedup.exact_dedup(keyed, "key").filter("NOT kept").select(F.col("doc_id.row").alias(row)), row)
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, row = numbered(docs, "rows")
-    found = simhash.near_duplicates(docs, row).select(F.col("doc_id").alias(row), "component_id")
-    found = materialize(found.join(docs.select(row, "doc_id"), row), "components")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best"))
-    return without(docs, found.join(best.select(F.col(f"best.{row}").alias(row)), row, "left_anti"), row)
+    found = simhash.near_duplicates(docs, row).select(F.col("doc_id").alias("row"), "component_id")
+    ids = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    found = materialize(found.join(ids, "row"), "components")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("best"))
+    return without(docs, found.join(best.select("best.row"), "row", "left_anti").withColumnRenamed("row", row), row)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     docs, row = numbered(docs, "rows")
-    rows = curriculum.placed(docs, row=row)
+    place = free_name(docs, "place")
+    rows = curriculum.placed(docs.select("doc_id", "text", "source", row), row=row)
     passes = [F.struct(F.lit(p).alias("pass"), curriculum.words_of_pass(p).alias("words"), curriculum.position_of_pass(p).alias("position")) for p in range(curriculum.MAX_EPOCHS)]
     rows = rows.select(row, "size", F.inline(F.array(*passes))).filter("words > 0 AND 2 * words >= size")
-    plan = materialize(rows.select(row, "pass", "position"), "plan")
-    return docs.join(plan, row).orderBy("position", "doc_id", "pass", row).select(columns)
+    plan = materialize(rows.select(row, F.struct("position", "pass").alias(place)), "plan")
+    return docs.join(plan, row).orderBy(f"{place}.position", "doc_id", f"{place}.pass", row).select([F.col(f"`{c}`") for c in columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +85,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself goes when its output is written, which goes when the next one's is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before = docs
+        with scratch_tables(spark):
+            docs = kept(materialize(stage(spark, docs, sf_dir), name.split()[0].lower()))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
