@@ -17,6 +17,9 @@ from florilege.operators.parsers import next_page
 
 #: The name of a raw page, `<issue>-<code>[.p<page>].html.gz`, and the limits of a package.
 PAGE_NAME = r"(\d+)-(\d+)(?:\.p(\d+))?\.html\.gz$"
+#: Names of what `write_pages` writes, and what ends a page in them.
+WRITTEN_NAME = r"issue=(\d+)/code=(\d+)/page=(\d+)/part-[^/]*\.txt\.gz$"
+PAGE_END = "\0"
 ENTRY_MOST, PACKAGE_MOST = 64 << 20, 600 << 20
 RECEIPT = (
     "acordao string, processo string, obtido_em string, url string, sha256 string, html string, id_documento string, nr_processo string, tribunal string, tipo string, "
@@ -24,24 +27,36 @@ RECEIPT = (
 )
 
 
+def page_columns(files: DataFrame) -> DataFrame:
+    """issue, code, page, html of files of whole texts (`value`), by their names: single pages, or what `write_pages` wrote."""
+    name = F.col("_name")
+    single, written = (lambda k: F.regexp_extract(name, PAGE_NAME, k)), (lambda k: F.regexp_extract(name, WRITTEN_NAME, k))
+    number = lambda k: F.coalesce(F.nullif(single(k), F.lit("")), F.nullif(written(k), F.lit(""))).cast("int")
+    named = files.withColumn("_name", F.input_file_name()).filter(name.rlike(PAGE_NAME) | name.rlike(WRITTEN_NAME))
+    html = F.when(F.col("value").endswith(PAGE_END), F.left("value", F.length("value") - 1)).otherwise(F.col("value"))
+    return named.select(number(1).alias("issue"), number(2).alias("code"), F.coalesce(number(3), F.lit(1)).alias("page"), html.alias("html"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """issue, code, page, html of the raw pages under `path`."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("_name", F.input_file_name())
-    part = lambda k: F.regexp_extract("_name", PAGE_NAME, k)
-    return files.filter(F.col("_name").rlike(PAGE_NAME)).select(part(1).cast("int").alias("issue"), part(2).cast("int").alias("code"), F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(1)).alias("page"), F.col("value").alias("html"))
+    return page_columns(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path))
 
 
 def consecutive(pages: DataFrame) -> DataFrame:
-    """The pages of each section up to its first gap, and `complete`: whether the last of them names no next page."""
-    by_page = W.partitionBy("issue", "code").orderBy("page")
-    run = pages.withColumn("_n", F.row_number().over(by_page)).filter("_n = page").drop("_n")
-    last = F.max_by(next_page(F.col("html")).isNull(), "page").over(W.partitionBy("issue", "code"))
-    return run.withColumn("complete", last)
+    """The pages of each section with `reason`: `gap` after its first missing page, else `incomplete` if the last page before that
+    names a next one, else null."""
+    section = W.partitionBy("issue", "code")
+    run = pages.withColumn("_run", F.row_number().over(section.orderBy("page")) == F.col("page"))
+    ended = next_page(F.max_by("html", F.when(F.col("_run"), F.col("page"))).over(section)).isNull()
+    reason = F.when(~F.col("_run"), "gap").when(~ended, "incomplete")
+    return run.withColumn("reason", reason).drop("_run")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """The html of pages as gzip text, a folder an issue and section."""
-    pages.select("issue", "code", "html").write.option("compression", "gzip").option("lineSep", "\0").partitionBy("issue", "code").mode("append").text(path)
+    """The html of pages as gzip text, a folder a page; a page written before is replaced. `read_pages` reads it back."""
+    once = pages.select("issue", "code", "page", "html").repartition("issue", "code", "page")
+    text = once.write.option("compression", "gzip").option("lineSep", PAGE_END).option("partitionOverwriteMode", "dynamic")
+    text.partitionBy("issue", "code", "page").mode("overwrite").text(path)
 
 
 def read_package(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:

@@ -1,18 +1,22 @@
 """From raw pages to tables: bronze (pages), silver (decisions), gold (fields, edges); in one job, or as a stream of files.
 
-The stream's checkpoint gives resumption and idempotence, `maxFilesPerTrigger` its budget. A section that is not whole,
-repeats a page or holds no decision goes to the rejects, not to the tables."""
+The stream's checkpoint gives resumption, `maxFilesPerTrigger` its budget. Its pages are kept as they came; a batch parses
+anew each section that it brought pages of, from all its pages so far, so a section may come in over several batches. What a
+batch makes is written under its number, which makes it idempotent; `ingested` reads the latest of each section, and of a
+decision in several issues the one that came first. A section that is not whole, repeats a page, has a page after a gap or
+holds no decision goes to the rejects, not to the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from florilege.operators import parsers, store
-from florilege.sources.raw import PAGE_NAME, consecutive
+from florilege.sources.raw import consecutive, page_columns
 
 PARSER_VERSION = 1
-REFUSALS = ("truncated", "repeated", "incomplete", "unknown section")
+REFUSALS = ("truncated", "repeated", "incomplete", "gap", "unknown section")
 
 
 def refusal(known_codes: list[int]) -> Column:
@@ -32,9 +36,7 @@ def sifted(pages: DataFrame, known_codes: list[int]) -> tuple[DataFrame, DataFra
     judged = digest.join(copies, ["issue", "code", "_digest"]).withColumn("reason", refusal(known_codes)).drop("_digest", "_copies")
     good, bad = judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
     run = consecutive(good)
-    whole = run.filter("complete").drop("complete")
-    partial = run.filter("NOT complete").drop("complete").withColumn("reason", F.lit("incomplete"))
-    return whole, bad.unionByName(partial)
+    return run.filter("reason IS NULL").drop("reason"), bad.unionByName(run.filter("reason IS NOT NULL"))
 
 
 def decisions_of(pages: DataFrame) -> DataFrame:
@@ -48,9 +50,13 @@ def tables(pages: DataFrame, known_codes: list[int], newest_first: bool = False,
     whole, rejects = sifted(pages, known_codes)
     if keep_incomplete:
         whole = whole.unionByName(rejects.filter("reason = 'incomplete'").drop("reason"))
-    rows = decisions_of(whole).withColumn("parser", F.lit(PARSER_VERSION))
     order = [F.desc("issue") if newest_first else F.asc("issue"), "code"]
-    decisions, republished = store.first_wins(rows, "decision", order)
+    return tables_of(decisions_of(whole).withColumn("parser", F.lit(PARSER_VERSION)), rejects, order)
+
+
+def tables_of(rows: DataFrame, rejects: DataFrame, arrival: list) -> dict[str, DataFrame]:
+    """The six tables from the decisions of whole sections, in their order of arrival."""
+    decisions, republished = store.first_wins(rows, "decision", arrival)
     return {
         "decisions": decisions,
         "republications": republished.select("decision", "issue", "abstract"),
@@ -73,14 +79,31 @@ def stale(decisions: DataFrame) -> DataFrame:
 
 
 def watch(spark: SparkSession, path: str, out: str, checkpoint: str, known_codes: list[int], files_per_trigger: int = 14):
-    """Stream new raw pages into `out`: each micro-batch appends its parsed decisions and rejects, exactly once by batch id."""
+    """Stream new raw pages into `out`: each micro-batch keeps its pages and parses the sections they belong to, by batch id."""
     files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).schema("value string").text(path)
-    part = lambda k: F.regexp_extract(F.input_file_name(), PAGE_NAME, k)
-    pages = files.select(part(1).cast("int").alias("issue"), part(2).cast("int").alias("code"), F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(1)).alias("page"), F.col("value").alias("html"))
+    pages_type = "issue int, code int, page int, html string, batch long"
 
     def batch(frame: DataFrame, number: int) -> None:
-        made = tables(frame, known_codes)
-        for name in ("decisions", "rejects"):
-            made[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-
-    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        frame.write.mode("overwrite").parquet(f"{out}/pages/batch={number}")
+        pages = spark.read.schema(pages_type).parquet(f"{out}/pages").filter(F.col("batch") <= number)
+        touched = pages.filter(F.col("batch") == number).select("issue", "code").distinct()
+        latest = W.partitionBy("issue", "code", "page").orderBy(F.desc("batch"))
+        section = pages.join(touched, ["issue", "code"], "left_semi")
+        # a page that came again replaces the one before; two in one batch are both kept, and rejected as repeated
+        section = section.withColumn("_n", F.rank().over(latest)).filter("_n = 1").drop("_n", "batch")
+        whole, rejects = sifted(section, known_codes)
+        items = decisions_of(whole).withColumn("parser", F.lit(PARSER_VERSION))
+        for name, rows in (("touched", touched), ("items", items), ("rejected", rejects)):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+    return page_columns(files).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The six tables of what `watch` has brought in so far."""
+    read = {name: spark.read.parquet(f"{out}/{name}") for name in ("touched", "items", "rejected")}
+    current = read["touched"].groupBy("issue", "code").agg(F.max("batch").alias("batch"))
+    first = read["items"].groupBy("issue", "decision").agg(F.min("batch").alias("arrived"))
+    items = read["items"].join(current, ["issue", "code", "batch"], "left_semi").join(first, ["issue", "decision"])
+    made = tables_of(items, read["rejected"].join(current, ["issue", "code", "batch"], "left_semi").drop("batch"), ["arrived", "issue", "code"])
+    return made | {"decisions": made["decisions"].drop("batch", "arrived")}

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import json
+import os
 import tarfile
 
 import pytest
@@ -49,16 +50,46 @@ def test_batch(spark, folder):
     assert ingest.stale(made["decisions"]).count() == 0
 
 
-def test_stream_equals_batch_and_resumes(spark, folder, tmp_path):
+def rows_of(df):
+    return sorted(str(sorted(r.asDict().items())) for r in df.collect())
+
+
+@pytest.mark.parametrize("files", [1, 14])
+def test_stream_equals_batch_and_resumes(spark, folder, tmp_path, files):
+    """All six tables, with a section whose pages come in different batches, and the second page first."""
+    for k, name in enumerate(["1-5.p2.html.gz", "1-5.html.gz", "2-5.html.gz", "2-6.html.gz", "2-99.html.gz", "2-7.html.gz"]):
+        os.utime(folder / name, (1_700_000_000 + k, 1_700_000_000 + k))
+    out = str(tmp_path / "out")
     for _ in range(2):  # the second run finds nothing new
-        ingest.watch(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "checkpoint"), [5, 6, 7]).awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out/decisions"))
-    assert sorted(r.decision for r in got.collect()) == ["20261001", "20261002", "20261003"]
+        ingest.watch(spark, str(folder), out, str(tmp_path / "checkpoint"), [5, 6, 7], files).awaitTermination(180)
+    made, got = ingest.tables(raw.read_pages(spark, str(folder)), [5, 6, 7]), ingest.ingested(spark, out)
+    assert set(got) == set(made)
+    for name, rows in made.items():
+        assert rows_of(got[name]) == rows_of(rows), name
+    assert got["decisions"].count() == 3
+    # the missing page of a section comes later, and a page comes again with other content
+    write(folder, "2-6.p2.html.gz", fixtures.section_pages()[1][3].replace("20261003", "20269999"))
+    write(folder, "2-7.html.gz", fixtures.section_pages()[1][3].replace("20261003", "20268888"))
+    ingest.watch(spark, str(folder), out, str(tmp_path / "checkpoint"), [5, 6, 7], files).awaitTermination(180)
+    got = ingest.ingested(spark, out)
+    assert {r.decision for r in got["decisions"].collect()} == {"20261001", "20261002", "20261003", "20269999", "20268888"}
+    assert {(r.issue, r.code, r.reason) for r in got["rejects"].collect()} == {(2, 99, "unknown section")}
+
+
+def test_pages_after_a_gap_are_reported(spark, folder):
+    write(folder, "2-5.p4.html.gz", fixtures.section_pages()[1][3].replace("20261003", "20267777"))
+    made = ingest.tables(raw.read_pages(spark, str(folder)), [5, 6, 7])
+    assert [(r.issue, r.code, r.page) for r in made["rejects"].filter("reason = 'gap'").collect()] == [(2, 5, 4)]
+    assert {r.decision for r in made["decisions"].collect()} == {"20261001", "20261002", "20261003"}
 
 
 def test_pages_written_are_read(spark, tmp_path):
-    raw.write_pages(spark.createDataFrame(fixtures.section_pages(), "issue int, code int, page int, html string"), str(tmp_path / "w"))
-    assert spark.read.option("wholetext", True).text(str(tmp_path / "w")).count() >= 1
+    pages = spark.createDataFrame(fixtures.section_pages() + [(9, 1, 1, ""), (9, 1, 2, "two\nlines\n")], "issue int, code int, page int, html string")
+    for _ in range(2):  # again replaces
+        raw.write_pages(pages, str(tmp_path / "w"))
+    raw.write_pages(pages.filter("issue = 9 AND page = 2").withColumn("html", F.lit("new")), str(tmp_path / "w"))
+    want = sorted((r.issue, r.code, r.page, "new" if (r.issue, r.page) == (9, 2) else r.html) for r in pages.collect())
+    assert sorted(map(tuple, raw.read_pages(spark, str(tmp_path / "w")).collect())) == want
 
 
 def package(entries):
@@ -117,6 +148,28 @@ def test_responses():
     assert [A.classified(*a) for a in ((200,), (403,), (429,), (500,), (200, True), (0, False, True))] == ["ok", "blocked", "blocked", "error", "challenge", "timeout"]
 
 
+def test_a_key_is_forgotten_after_long(spark):
+    day = A.DAY_S
+    log = [(1, 0.0, True), (1, 2.0 * day, False), (1, 31.9 * day, False), (1, 70.0 * day, False), (None, 5.0, False), (None, 6.0, False)]
+    events = spark.createDataFrame([(k, t, r, n) for n, (k, t, r) in enumerate(log)], "k int, t double, r boolean, n long").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    got = {r.id: (r.decision, r.level) for r in A.replay(events, "k", "ts", F.col("r"), "n").collect()}
+    assert got == {0: ("admitted", 1), 1: ("admitted", 1), 2: ("admitted", 1), 3: ("admitted", 0), 4: ("admitted", 0), 5: ("spacing", 0)}
+
+
+def test_stream_lets_go_of_state(spark, tmp_path):
+    """Two batches 40 days apart: the watermark passes the first key's time, and its state is removed."""
+    base = "k int, ts timestamp, r boolean, n long"
+    times = ["2026-01-01 00:00:00", "2026-02-20 00:00:00", "2026-02-20 00:00:30", "2026-02-20 00:01:00"]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(base).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for n, t in enumerate(times):
+        spark.sql(f"SELECT {min(n, 1)} AS k, timestamp '{t}' AS ts, false AS r, {n}L AS n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = A.stream(stream, "k", "ts", F.col("r"), "n").writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.awaitTermination(120)
+        rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert rows[-1] == 1
+
+
 def test_replay_equals_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id", "event_type")
     refused = F.col("event_type") == "error"
