@@ -166,10 +166,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     """Write the store of `docs` under `path`, which must not exist."""
     spark = docs.sparkSession
     cut = cut_documents(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id)
-    # one pass: chunks are dealt by name, recipes by a hash of theirs, and the repeats of a chunk come together
-    dealt = cut.repartition(F.xxhash64("digests", "doc_id"))
+    # one shuffle: a chunk's repeats come together by its name, and recipes are dealt by theirs beside them
     nth = F.row_number().over(W.partitionBy("is_chunk", "digests", "doc_id").orderBy("n"))
-    once = dealt.withColumn("nth", nth).filter(~F.col("is_chunk") | (F.col("nth") == 1)).drop("nth")
+    once = cut.withColumn("nth", nth).filter(~F.col("is_chunk") | (F.col("nth") == 1)).drop("nth")
     once.write.option("compression", "zstd").partitionBy("is_chunk").parquet(f"{path}/cut")
     recipes = cut_files(spark, path, False, dict(once.dtypes)["doc_id"]).select("doc_id", F.col("n").alias("n_tokens"), "digests")
     recipes = recipes.withColumn("root", F.pandas_udf(root_of, "binary")("digests"))
