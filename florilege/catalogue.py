@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from florilege import gazette
 from florilege.functions import text as T
 from florilege.operators import analytics, evaluate, graph, index, parsers, search, store, verify
-from florilege.plans import fixtures
 from florilege.plans.query import Parsed, Phrase, parse
 from florilege.streaming import admission
 
@@ -77,7 +77,7 @@ def match_sql(query: Parsed, fields=("text",)) -> str:
     return " AND ".join(parts)
 
 
-def bm25_sql(query: Parsed, weights: dict[str, float], fields=("text",)) -> str:
+def bm25_sql(query: Parsed, weights: dict[str, float], fields=("text",), base: str = "") -> str:
     """idx, stats and `scored` (all columns of idx, coverage, score) as common tables."""
     phrases, used = query.phrases(), [f for f, w in weights.items() if w > 0]
     f = [" + ".join(f"{weights[k]}::DOUBLE * {occ(p, k)}" for k in used) for p in phrases]
@@ -85,7 +85,7 @@ def bm25_sql(query: Parsed, weights: dict[str, float], fields=("text",)) -> str:
     idf = [f"(SELECT CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END FROM s)" for i in range(len(phrases))]
     terms = " ".join(f"- {idf[i]} * ({f[i]}) * 2.2::DOUBLE / (({f[i]}) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_tokens / (SELECT m FROM s)))" for i in range(len(phrases)))
     coverage = " + ".join(f"{unit_sql(u, used)}::INT" for u in query.optional) or "0"
-    return f"WITH {idx(fields)}, s AS (SELECT count(*)::DOUBLE AS n, avg(n_tokens) AS m, {counts} FROM idx), scored AS (SELECT *, {coverage} AS coverage, 0 {terms} AS score FROM idx WHERE {match_sql(query, used)})"
+    return f"WITH {base or idx(fields)}, s AS (SELECT count(*)::DOUBLE AS n, avg(n_tokens) AS m, {counts} FROM idx), scored AS (SELECT *, {coverage} AS coverage, 0 {terms} AS score FROM idx WHERE {match_sql(query, used)})"
 
 
 # ---- ranked retrieval ---------------------------------------------------------------------------------------------------
@@ -374,84 +374,41 @@ def siblings(spark, sf_dir):
     return graph.siblings(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
 
 
-# ---- decisions of the fixture --------------------------------------------------------------------------------------------
+# ---- gazettes ----------------------------------------------------------------------------------------------------------------
 
-GAPS = "WITH " + fixtures.values("issues") + ", " + fixtures.values("sections") + " "
+ISSUE_SQL = "issues AS (SELECT DISTINCT o_orderkey // 10 AS issue, CASE WHEN o_orderkey // 10 % 9 <> 0 THEN DATE '2020-01-01' + (o_orderkey // 10 % 2000)::INT END AS date FROM orders), sections AS (SELECT o_orderkey // 10 AS issue, o_orderkey % 7 AS code, count(*) AS items FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL) "
 
 
-@q(GAPS + "SELECT issue, (SELECT count(*) FROM sections s WHERE s.issue = i.issue) AS sections FROM issues i WHERE issue BETWEEN (SELECT min(issue) FROM sections) AND (SELECT max(issue) FROM sections) AND (SELECT count(*) FROM sections s WHERE s.issue = i.issue) < 5")
-def gap_issues(spark, sf_dir):
-    return analytics.gap_issues(fixtures.frame(spark, "issues"), fixtures.frame(spark, "sections"))
-
-
-@q(
-    "WITH " + ", ".join(map(fixtures.values, ("decisions", "issues", "sections")))
-    + " SELECT (SELECT count(*) FROM decisions) AS decisions, count(*) AS issues, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (date IS NULL) AS undated FROM issues WHERE issue IN (SELECT issue FROM sections)"
-)
-def coverage_summary(spark, sf_dir):
-    return analytics.coverage_summary(fixtures.frame(spark, "decisions"), fixtures.frame(spark, "sections"), fixtures.frame(spark, "issues"))
-
-
-SQL_NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(abstract)), '\\s+([.,;:)])', '\\1', 'g'), '\\s+', ' ', 'g'))"
-SQL_PARTLY, SQL_DENIED, SQL_GRANTED, SQL_NOT = analytics.PARTLY, analytics.DENIED, analytics.GRANTED, analytics.NOT_HEARD
+def gazette_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Issues of ten order numbers and their sections, by orders that are not closed."""
+    orders = table(spark, sf_dir, "orders").withColumn("issue", F.floor(F.col("o_orderkey") / 10))
+    dated = F.when(F.col("issue") % 9 != 0, F.date_add(F.lit("2020-01-01"), (F.col("issue") % 2000).cast("int")))
+    sections = orders.filter("o_orderstatus <> 'F'").groupBy("issue", (F.col("o_orderkey") % 7).alias("code")).agg(F.count("*").alias("items"))
+    return orders.select("issue").distinct().withColumn("date", dated), sections
 
 
-@q(
-    "WITH " + fixtures.values("decisions") + f", n AS (SELECT decision, {SQL_NORM} AS t FROM decisions), a AS (SELECT *, regexp_replace(t, '{SQL_PARTLY}', ' ', 'g') AS t1 FROM n), b AS (SELECT *, regexp_replace(t1, '{SQL_DENIED}', ' ', 'g') AS t2 FROM a), "
-    f"f AS (SELECT decision, list_filter([CASE WHEN regexp_matches(t, '{SQL_NOT}') THEN 'não conhecido' END, CASE WHEN regexp_matches(t, '{SQL_PARTLY}') THEN 'parcialmente provido' END, "
-    f"CASE WHEN regexp_matches(t1, '{SQL_DENIED}') THEN 'desprovido' END, CASE WHEN regexp_matches(t2, '{SQL_GRANTED}') THEN 'provido' END], lambda x: x IS NOT NULL) AS l FROM b) "
-    "SELECT decision, CASE WHEN len(l) = 1 THEN l[1] END AS outcome FROM f"
-)
-def outcome_labels(spark, sf_dir):
-    return fixtures.frame(spark, "decisions").select("decision", analytics.outcome(T.norm(F.col("abstract"))).alias("outcome"))
-
-
-@q()
-def anchor_edges(spark, sf_dir):
-    return parsers.edges(fixtures.frame(spark, "decisions"), "decision", "abstract")
-
-
-@q()
-def base_ref_merge(spark, sf_dir):
-    return graph.top_cited(parsers.edges(fixtures.frame(spark, "decisions"), "decision", "abstract"), "qualificado", 10, merge=True)
-
-
-@q()
-def abstract_parts(spark, sf_dir):
-    return parsers.with_fields(fixtures.frame(spark, "decisions").select("decision", "abstract"), "abstract").drop("abstract")
-
-
-@q()
-def section_parser(spark, sf_dir):
-    pages = spark.createDataFrame(fixtures.section_pages(), "issue int, code int, page int, html string")
-    return parsers.section_rows(pages, ["issue", "code"])
-
-
-@q()
-def full_text_parser(spark, sf_dir):
-    return parsers.full_texts(spark.createDataFrame([(1, fixtures.FULL_TEXT)], "id int, html string"), "id", "html")
-
-
-@q()
-def quotation_labels(spark, sf_dir):
-    text = spark.createDataFrame([(1, T.html_to_text_py(fixtures.FULL_TEXT))], "id int, text string")
-    quotations = spark.createDataFrame([(1, k, x) for k, x in fixtures.QUOTATIONS], "id int, quotation_id int, quotation string")
-    return verify.verify(quotations, text, "id", "text", "quotation")
+@q("WITH " + ISSUE_SQL + "SELECT issue, (SELECT count(*) FROM sections s WHERE s.issue = i.issue) AS sections FROM issues i WHERE issue BETWEEN (SELECT min(issue) FROM sections) AND (SELECT max(issue) FROM sections) AND (SELECT count(*) FROM sections s WHERE s.issue = i.issue) < 5")
+def gap_issues(spark, sf_dir):
+    return analytics.gap_issues(*gazette_tables(spark, sf_dir))
 
 
-OUTCOME_SQL = ORACLE["outcome_labels"]
+@q("WITH " + ISSUE_SQL + "SELECT (SELECT count(*) FROM orders) AS decisions, count(*) AS issues, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (date IS NULL) AS undated FROM issues WHERE issue IN (SELECT issue FROM sections)")
+def coverage_summary(spark, sf_dir):
+    issues, sections = gazette_tables(spark, sf_dir)
+    return analytics.coverage_summary(table(spark, sf_dir, "orders"), sections, issues)
 
 
-@q(
-    OUTCOME_SQL.rsplit("SELECT decision, CASE", 1)[0].rstrip()
-    + ", o AS (SELECT decision, coalesce(CASE WHEN len(l) = 1 THEN l[1] END, 'sem resultado identificável') AS outcome FROM f), r AS (SELECT d.*, outcome FROM decisions d JOIN o USING (decision)), "
-    "c AS (SELECT 'outcome' AS facet, outcome AS value, count(*) AS n FROM r GROUP BY outcome UNION ALL SELECT 'body', body, count(*) FROM r GROUP BY body UNION ALL SELECT 'class', class, count(*) FROM r GROUP BY class) "
-    "SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS k FROM c) WHERE k <= 6"
-)
-def panorama_outcomes(spark, sf_dir):
-    rows = fixtures.frame(spark, "decisions")
-    none = F.expr("cast(array() AS array<string>)")
-    return analytics.panorama(rows, [F.desc("issue"), F.desc("decision")], T.norm(F.col("abstract")), none, ["body", "class"])
+for _made, _sql in (
+    (gazette.outcome_labels, gazette.OUTCOME_SQL),
+    (gazette.panorama_outcomes, gazette.PANORAMA_SQL),
+    (gazette.anchor_edges, gazette.ANCHOR_EDGES_SQL),
+    (gazette.base_ref_merge, gazette.BASE_REF_MERGE_SQL),
+    (gazette.abstract_parts, gazette.ABSTRACT_PARTS_SQL),
+    (gazette.section_parser, gazette.SECTION_SQL),
+    (gazette.full_text_parser, gazette.FULL_TEXT_SQL),
+    (gazette.quotation_labels, gazette.QUOTATION_SQL),
+):
+    q(_sql)(_made)
 
 
 @q(
@@ -474,12 +431,17 @@ def decorated_rows(spark, sf_dir):
     return out.select("o_orderkey", "republished", "cited", "held")
 
 
-@q()
+PART_QUERY = parse("recurso desprovido")
+PART_SCORING = search.field_scoring(("dispositivo", "caso"), parsers.FIELD_WEIGHTS, "cabecalho")
+PART_INDEX = (
+    gazette.PARTS_SQL.removeprefix("WITH ").rstrip() + ", p AS (SELECT doc_id, issue, " + ", ".join(f"{PAD.format(f)} AS pad_{f}" for f in parsers.SEARCHABLE) + " FROM parts), "
+    "idx AS (SELECT *, " + " + ".join(COUNT.format(f"pad_{f}") for f in parsers.SEARCHABLE) + " AS n_tokens FROM p)"
+)
+
+
+@q(bm25_sql(PART_QUERY, PART_SCORING.weights, parsers.SEARCHABLE, PART_INDEX) + PICK)
 def field_search(spark, sf_dir):
-    parts = parsers.with_fields(fixtures.frame(spark, "decisions").select("decision", "issue", "abstract"), "abstract")
-    built = index.build_index(parts, parsers.SEARCHABLE)
-    asked = search.field_scoring(("tese", "questao"), parsers.FIELD_WEIGHTS, "cabecalho")
-    return search.scored(built, parse("dano recurso"), asked).select("decision", "coverage", F.round("score", 6).alias("score"))
+    return gazette.field_search(spark, sf_dir, PART_QUERY, PART_SCORING)
 
 
 @q("SELECT doc_id, md5(CASE WHEN length(text) > 700 THEN substring(text, 1, 700) || '…' ELSE text END) AS digest FROM documents ORDER BY doc_id DESC LIMIT 30")

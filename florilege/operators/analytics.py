@@ -70,14 +70,14 @@ def decorated(rows: DataFrame, key: str, process: str, republications: DataFrame
 
 def lift_terms(rows: DataFrame, words: Column, vocabulary: DataFrame, n_all: int, excluded: list[str] = (), most: int = MOST_HINTS) -> DataFrame:
     """term, df, lift: words much commoner in `rows` than in the collection. `words` is the array of a row's words."""
-    rows = rows.select(words.alias("_words")).persist()  # of the rows found, their words alone
-    words, n = F.col("_words"), rows.count()
-    if n < LEAST_ROWS:
-        return rows.sparkSession.createDataFrame([], "term string, df long, lift double")
-    df = rows.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    df = df.filter((F.col("df") >= max(4, int(n * 0.06))) & ~F.col("term").isin(list(excluded)))
+    # a term of null stands for the row itself: its count is the number of rows, from the same pass
+    marked = F.concat(F.array_distinct(words), F.array(F.lit(None).cast("string")))
+    counts = rows.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = counts.agg(F.coalesce(F.max(F.when(F.col("term").isNull(), F.col("df"))), F.lit(0)).alias("_n"))
+    df = counts.filter(F.col("term").isNotNull() & ~F.col("term").isin(list(excluded))).join(F.broadcast(total))  # one row
+    df = df.filter((F.col("_n") >= LEAST_ROWS) & (F.col("df") >= F.greatest(F.lit(4), F.floor(F.col("_n") * 0.06))))
     both = df.join(vocabulary.select("term", F.col("doc").alias("_all")), "term", "left")
-    lift = (F.col("df") / F.lit(float(n))) / (F.greatest(F.coalesce("_all", F.lit(1)), F.lit(1)) / F.lit(float(max(n_all, 1))))
+    lift = (F.col("df") / F.col("_n").cast("double")) / (F.greatest(F.coalesce("_all", F.lit(1)), F.lit(1)) / F.lit(float(max(n_all, 1))))
     both = both.withColumn("lift", lift).filter(F.col("lift") >= LEAST_LIFT)
     return both.orderBy(F.desc(F.col("lift") * F.sqrt("df")), F.desc("term")).limit(most).select("term", "df", "lift")
 
