@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from florilege import gazette
 from florilege.functions import text as T
-from florilege.operators import analytics, evaluate, graph, index, parsers, search, store, verify
+from florilege.operators import analytics, evaluate, graph, index, parsers, scratch, search, store, verify
 from florilege.plans.query import Parsed, Phrase, parse
 from florilege.streaming import admission
 
@@ -40,8 +40,13 @@ WEIGHTS = search.Scoring({"text": 5.0, "lang": 2.0, "source": 1.0})
 
 
 def corpus(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("text",)) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("issue", (F.col("doc_id") % 12).cast("int"))
-    return index.build_index(docs, fields).drop(*(f for f in ("text",)))
+    """The index of the documents, written once a session and searched from there."""
+
+    def build() -> DataFrame:
+        docs = table(spark, sf_dir, "documents").withColumn("issue", (F.col("doc_id") % 12).cast("int"))
+        return index.build_index(docs, fields).drop(*(f for f in ("text",)))
+
+    return scratch.once(spark, f"{sf_dir}/documents.parquet", build, fields)
 
 
 # ---- SQL twins ------------------------------------------------------------------------------------------------------
@@ -611,6 +616,27 @@ def detection_rates(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
+@q("SELECT count(*) FILTER (CAST(c_acctbal AS DOUBLE) > 1000) AS n FROM customer WHERE 'empty:' || c_nationkey || ':' || c_custkey LIKE 'empty:7:%'")
+def prefix_marks(spark, sf_dir):
+    marks = table(spark, sf_dir, "customer").select(F.concat_ws(":", F.lit("empty"), "c_nationkey", "c_custkey").alias("key"), F.col("c_acctbal").cast("string").alias("value"))
+    return store.recent_marks(marks, "empty:7:", 1000.0).agg(F.count("*").alias("n"))
+
+
+@q("WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS p FROM orders), l AS (SELECT c_custkey, row_number() OVER (ORDER BY c_name) - 1 AS p FROM customer) SELECT o_orderkey, c_custkey, p AS position FROM o JOIN l USING (p)")
+def positional_join(spark, sf_dir):
+    orders = evaluate.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+    customers = evaluate.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"])
+    return orders.join(customers, "position").select("o_orderkey", "c_custkey", "position")
+
+
+@q("SELECT o_orderkey, '([TJSE, Apelação ' || o_orderkey || ', processo nº ' || o_custkey || ', acórdão nº ' || o_orderkey || ', Rel. Fulano de Tal, 1ª Câmara Cível' || CASE WHEN o_orderkey % 2 = 0 THEN ', julgado em ' || strftime(o_orderdate, '%d/%m/%Y') ELSE '' END || '](x)) — verificação: lido' AS citation FROM orders")
+def citations(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    judged = F.when(F.col("o_orderkey") % 2 == 0, F.to_date("o_orderdate"))
+    made = T.citation(F.concat(F.lit("Apelação "), "o_orderkey"), F.col("o_custkey"), F.col("o_orderkey"), F.lit("FULANO DE TAL"), F.lit("1ª Câmara Cível"), judged, F.lit("x"), "lido")
+    return rows.select("o_orderkey", made.alias("citation"))
+
+
 def month_start(today: dt.date, months: int) -> dt.date:
     """The first day of the month `months` before."""
     n = today.year * 12 + today.month - 1 - months

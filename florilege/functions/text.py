@@ -194,6 +194,14 @@ def proper_name(text: Column) -> Column:
     return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*PARTICLES), w).otherwise(F.initcap(w))), " ")
 
 
+def citation(appeal: Column, process: Column, decision: Column, rapporteur: Column, body: Column, judged: Column, link: Column, level: str) -> Column:
+    """How a decision is cited, with its link and how far it was verified; an appeal or rapporteur that is not known has a stand-in."""
+    known = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    date = F.when(judged.isNotNull(), F.concat(F.lit(", julgado em "), short_date(judged))).otherwise("")
+    parts = ("([TJSE, ", known(appeal, "Acórdão"), ", processo nº ", process, ", acórdão nº ", decision, ", Rel. ", proper_name(known(rapporteur, "?")), ", ", body, date, "](", link, f")) — verificação: {level}")
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
 def base_ref(ref: Column) -> Column:
     return F.trim(F.substring_index(ref, "/", 1))
 

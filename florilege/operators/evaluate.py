@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
+from operator import mul
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
+from florilege.operators import scratch
+
 
 def recall_at(ranking: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (10, 50, 200)) -> DataFrame:
     """query, essentials, recall_at_<k>: `ranking` (query, id, rank from 1), `gold` (query, id)."""
@@ -27,27 +36,59 @@ def deltas(before: DataFrame, after: DataFrame, key: str, measures: list[str]) -
     return pairs.select(key, *((F.coalesce(F.col(f"b.{m}"), F.lit(0.0)) - F.coalesce(F.col(f"a.{m}"), F.lit(0.0))).alias(m) for m in measures))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-#: Queries sent to all rows at a time.
-QUERY_BLOCK = 10_000
+#: Queries sent to all rows at a time, and rows scored against them side by side.
+QUERY_BLOCK, ROW_BLOCK = 10_000, 512
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """query_id, id, rank, cosine: exact, for a stated set of queries that is sent to all rows."""
+    """query_id, id, rank, cosine: exact, for a stated set of queries that is sent to all rows, as products of blocks.
+
+    A task passes on the k best rows of each query. Null and zero vectors, and those of another length, take no part."""
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[id_col]
     blocks = -(-queries.count() // QUERY_BLOCK)
     if blocks > 1:
         part = F.pmod(F.xxhash64(id_col), F.lit(2 * blocks))
         return reduce(DataFrame.unionByName, [dense_top(vectors, queries.filter(part == b), id_col, vector_col, k) for b in range(2 * blocks)])
-    asked = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")))  # QUERY_BLOCK rows at most
-    pairs = vectors.join(asked, F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("id"), cosine(F.col("_q"), F.col(vector_col)).alias("cosine"))
+    rows = [(r[0], r[1]) for r in queries.select(id_col, F.col(vector_col).cast("array<double>")).collect()]  # QUERY_BLOCK rows at most
+    shared = spark.sparkContext.broadcast([(i, v) for i, v in rows if v and None not in v and any(v)])
+    schema = f"query_id {kind}, id {kind}, cosine double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        best: list[list[tuple[float, object]]] = [[] for _ in asked]
+        sides = {n: (np.array([j for j, (_, v) in enumerate(asked) if len(v) == n]), np.array([v for _, v in asked if len(v) == n])) for n in {len(v) for _, v in asked}}
+        sides = {n: (at, m / np.sqrt((m * m).sum(1))[:, None]) for n, (at, m) in sides.items()}
+        for b in batches:
+            ids, found = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for n, (at, m) in sides.items():
+                good = [i for i, v in enumerate(found) if v and len(v) == n and None not in v and any(v)]
+                for lo in range(0, len(good), ROW_BLOCK):
+                    some = good[lo : lo + ROW_BLOCK]
+                    x = np.array([found[i] for i in some])
+                    products = m @ (x / np.sqrt((x * x).sum(1))[:, None]).T
+                    for row, j in enumerate(at.tolist()):
+                        held = best[j]
+                        least = held[-1][0] - 1e-12 if len(held) > k else -np.inf
+                        near = np.flatnonzero(-products[row] <= -least) if len(held) > k else np.arange(len(some))
+                        if len(near) > k + 1:
+                            near = near[products[row][near] >= np.partition(products[row][near], -k - 1)[-k - 1] - 1e-12]
+                        new = [(exact(asked[j][1], found[some[i]]), ids[some[i]]) for i in near.tolist() if ids[some[i]] != asked[j][0]]
+                        best[j] = sorted([*held, *new], key=lambda c: (-c[0], c[1]))[: k + 1] if new else held
+        rows = [(asked[j][0], i, c) for j, held in enumerate(best) for c, i in held[:k]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((to_arrow_type(id_type), to_arrow_type(id_type), pa.float64()))], ["query_id", "id", "cosine"])
+
+    id_type = vectors.schema[id_col].dataType
+    pairs = vectors.select(id_col, F.col(vector_col).cast("array<double>")).filter(F.col(id_col).isNotNull()).mapInArrow(run, schema)
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
     return pairs.withColumn("rank", nth).filter(F.col("rank") <= k)
 
 
+def exact(a: list[float], b: list[float]) -> float:
+    """The cosine of a pair by sums in the order of the components, whatever block it came in."""
+    dot = lambda x, y: sum(map(mul, x, y))
+    return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+
 def fused(rankings: list[DataFrame], k: int = 60, top: int | None = None) -> DataFrame:
     """query, id, score: reciprocal ranks, ranks from 0, over rankings (query, id, rank from 0)."""
     rows = reduce(DataFrame.unionByName, [r.select("query", "id", "rank") for r in rankings])
@@ -106,3 +147,15 @@ def detection(rows: DataFrame) -> DataFrame:
         (F.count_if(F.col("truth") & F.col("fired")) / F.count_if("truth")).alias("detected"),
         (F.count_if(~F.col("truth") & F.col("fired")) / F.count_if(~F.col("truth"))).alias("false_alarm"),
     )
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` with `position`, from 0 in `order`, by which tables that belong together line by line are joined.
+
+    The rows are sorted and written; a row's place in its file and the files' sizes give its position, so no task holds all."""
+    spark = rows.sparkSession
+    stored = spark.read.parquet(scratch.written(rows.orderBy(*order), "sorted"))
+    placed = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n"))  # a row a file
+    ahead = files.select("_file", F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return placed.join(ahead, "_file").withColumn("position", F.col("_ahead") + F.col("_at")).drop("_file", "_at", "_ahead")

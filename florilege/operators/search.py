@@ -1,7 +1,7 @@
 """Ranked retrieval: phrase matching, weighted BM25 over fields, coverage, filters and pages.
 
-The text is read once: a row is reduced to the occurrences of each phrase and its size. Those few numbers give the
-collection's figures in one aggregate, and then the scores. Collection figures come from the whole index, before any
+A row is reduced to the occurrences of each phrase and its size. Those few numbers give the collection's figures in one
+aggregate, and then the scores in a second pass over the index; nothing is persisted. Collection figures come from the whole index, before any
 filter; under a field restriction a phrase's document frequency is counted within those fields."""
 
 from __future__ import annotations
@@ -75,7 +75,6 @@ def scored(index: DataFrame, query: Parsed, scoring: Scoring) -> DataFrame:
         *slim,
         *(weight(p).alias(f"_f{i}") for i, p in enumerate(distinct)),
     )
-    hits.persist()  # a few numbers a row: the text is not read again for the scores; see `release`
     found = lambda u: any_of([F.col(f"_f{distinct.index(p)}") > 0 for p in u.phrases])
     figures = hits.agg(F.count("*"), F.avg("n_tokens"), *(F.count_if(F.col(f"_f{i}") > 0) for i in range(len(distinct)))).first()
     n, mean = figures[0], figures[1] or 1.0
@@ -88,15 +87,7 @@ def scored(index: DataFrame, query: Parsed, scoring: Scoring) -> DataFrame:
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / mean))
     wanted = all_of([found(u) for u in query.required] + ([any_of([found(u) for u in query.optional])] if query.optional else []))
     coverage = sum((found(u).cast("int") for u in query.optional), F.lit(0))
-    rows = hits.filter(wanted).select(*slim, coverage.alias("coverage"), score.alias("score"))
-    rows._hits = hits
-    return rows
-
-
-def release(rows: DataFrame) -> None:
-    """Give up what `scored` keeps for its rows."""
-    if hits := getattr(rows, "_hits", None):
-        hits.unpersist()
+    return hits.filter(wanted).select(*slim, coverage.alias("coverage"), score.alias("score"))
 
 
 def ranked(rows: DataFrame, query: Parsed, newest: str, id_col: str) -> list[Column]:

@@ -48,3 +48,9 @@ def migrated(receipts_: DataFrame, derive: dict) -> DataFrame:
     for name, column in derive.items():
         changed = changed | (~F.col(name).eqNullSafe(column) if name in receipts_.columns else F.lit(True))
     return receipts_.withColumn("changed", changed).withColumns(derive)
+
+
+def recent_marks(marks: DataFrame, prefix: str, since: float) -> DataFrame:
+    """Rows (key, value) of a key's prefix whose value, read as a number, is above `since`; what is no number is 0."""
+    number = F.coalesce(F.col("value").try_cast("double"), F.lit(0.0))
+    return marks.filter(F.col("key").startswith(prefix) & (number > since))

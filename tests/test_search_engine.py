@@ -1,5 +1,6 @@
 """Ranking against a plain BM25, outcomes of a search, and the operators on small frames."""
 
+import datetime as dt
 import math
 import random
 import re
@@ -7,8 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from florilege.operators import analytics, evaluate, graph, index, search, store
-from florilege.plans.query import Parsed, Phrase, Unit, parse
+from florilege.functions import text as T
+from florilege.operators import analytics, evaluate, graph, index, parsers, retrieval, search, store
+from florilege.plans.query import Parsed, Phrase, Refused, Unit, parse
 
 FIELDS = ("body", "title")
 
@@ -156,6 +158,97 @@ def test_evaluation(spark):
     assert [r.id for r in best] == [6, 13]
 
 
+def test_dense_top(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 2.0)) for _ in range(4)]) for i in range(300)] + [(400, None), (401, []), (402, [1.0]), (403, [1.0, None, 1.0, 1.0]), (404, [0.0] * 4), (405, [2.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    good = {i: v for i, v in rows if v and None not in v and any(v)}
+    want = {}
+    for q in (i for i in good if i % 7 == 0 or i > 400):
+        near = sorted((-evaluate.exact(good[q], good[i]), i) for i in good if i != q and len(good[i]) == len(good[q]))
+        want |= {(q, n): (i, c) for n, (c, i) in enumerate(near[:5], 1)}
+    for block in (10_000, 13):
+        monkeypatch.setattr(evaluate, "QUERY_BLOCK", block)
+        monkeypatch.setattr(evaluate, "ROW_BLOCK", 64)
+        got = evaluate.dense_top(frame, frame.filter("id % 7 = 0 OR id > 400"), "id", "v", 5).collect()
+        assert {(r.query_id, r["rank"]): (r.id, -r.cosine) for r in got} == want
+
+
+def test_numbered(spark):
+    rows = [(i * 37 % 101, f"x{i}") for i in range(101)]
+    frame = spark.createDataFrame(rows, "k int, v string").repartition(5)
+    assert sorted((r.position, r.k) for r in evaluate.numbered(frame, ["k"]).collect()) == [(i, i) for i in range(101)]
+    assert evaluate.numbered(frame.limit(0), ["k"]).count() == 0
+
+
+def request_tables(spark):
+    def made(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    decisions = [(str(10000 + i), f"2026{i // 3:08d}", "Apelação" if i % 2 else "Agravo", "DES. ANA" if i % 3 else "DES. BETO", "1ª Câmara Cível" if i % 4 else "Câmara Criminal", i // 5) for i in range(40)]
+    words = ["plano saude recusa", "plano contrato", "recusa dano moral", "consumidor banco"]
+    rows = [(*d, dt.date(2026, 1, 1) + dt.timedelta(days=d[5]), f"{words[i % 4]} numero{i}. Recurso {'desprovido' if i % 2 else 'provido'}." + " palavra" * (400 if i == 4 else 1)) for i, d in enumerate(decisions)]
+    whole = made(rows, "decision string, process string, class string, rapporteur string, body string, issue int, date date, abstract string")
+    parts = parsers.with_fields(whole.select("decision", F.concat(F.lit("I. CASO EM EXAME 1. x. II. QUESTÃO EM DISCUSSÃO 2. "), "abstract").alias("abstract")), "abstract").drop("abstract")
+    edges = made([(d[0], "qualificado", "Súmula 297/STJ") for d in decisions[:6]] + [(d[0], "tjse", decisions[0][1]) for d in decisions[6:9]], "source string, kind string, ref string")
+    return retrieval.Tables(
+        index.build_index(whole, ("abstract", "class", "rapporteur")), index.build_index(parts, parsers.SEARCHABLE), edges, made([("10000", 9)], "decision string, issue int"), made([("10001",)], "decision string")
+    ), {r[0]: r for r in rows}
+
+
+def test_requests(spark):
+    tables, rows = request_tables(spark)
+    ask = lambda **kw: retrieval.answer(tables, retrieval.Request(**kw))
+    ids = lambda a: [r.decision for r in a.outcome.rows.collect()]
+    a = ask(text="plano recusa", size=5)
+    both = {i for i, r in rows.items() if "plano" in r[7] and "recusa" in r[7]}
+    assert a.outcome.total == sum("plano" in r[7] or "recusa" in r[7] for r in rows.values()) and a.matching_all == len(both) and set(ids(a)) <= both and len(ids(a)) == 5
+    assert {f for f, *_ in a.panorama} >= {"outcome", "body", "class"}
+    top = {r.decision: r for r in ask(number=rows["10000"][1], size=20).outcome.rows.collect()}
+    assert set(top) == {"10000", "10001", "10002"} and top["10000"].republished == "9" and top["10001"].held and top["10000"].cited == 3
+    assert top["10000"].cites == ["Súmula 297/STJ"] and top["10000"].others == "10001,10002"
+    got = ask(text="plano", body="criminal", class_name="AGRAVO", rapporteur="beto", order="oldest", size=20)
+    assert ids(got) == sorted(i for i, r in rows.items() if "plano" in r[7] and r[4] == "Câmara Criminal" and r[2] == "Agravo" and r[3] == "DES. BETO")
+    assert set(ids(ask(cites="Súmula 297", size=20))) == set(list(rows)[:6]) and ask(cites="Súmula 297").order == "newest"
+    dated = ask(text="plano", first_date="03/01/2026", last_date="2026-01-04", order="newest", size=20)
+    assert ids(dated) == sorted((i for i, r in rows.items() if "plano" in r[7] and r[5] in (2, 3)), reverse=True)
+    assert sorted(ids(ask(text="recusa", fields="questao", size=20))) == sorted(i for i, r in rows.items() if "recusa" in r[7])
+    assert ask(text="recusa", fields="tese").outcome.kind == "empty"
+    assert ask(text="plano", page=99).outcome.kind == "beyond"
+    none = ask(text="plano", body="nenhuma")
+    assert none.outcome.kind == "empty" and none.outcome.without_filters > 0
+    cut = ask(text="plano", triage=True).outcome.rows.collect()
+    assert len(cut) == sum("plano" in r[7] for r in rows.values()) and max(len(r.abstract) for r in cut) == 701
+    for wrong in ({}, {"text": "plano", "order": "x"}, {"text": "plano", "fields": "nada"}, {"cites": "nada"}, {"number": "1"}):
+        with pytest.raises(Refused):
+            ask(**wrong)
+    with pytest.raises(ValueError):
+        ask(text="plano", first_date="2026-02-01", last_date="2026-01-01")
+
+
+def test_citation_and_marks(spark):
+    row = spark.createDataFrame([("", None, dt.date(2026, 8, 31)), ("AC 1", "ANA DE SOUZA", None)], "a string, r string, d date")
+    made = T.citation(F.col("a"), F.lit("2"), F.lit("3"), F.col("r"), F.lit("Câmara"), F.col("d"), F.lit("u"), "lido")
+    assert [r.c for r in row.select(made.alias("c")).collect()] == [
+        "([TJSE, Acórdão, processo nº 2, acórdão nº 3, Rel. ?, Câmara, julgado em 31/08/2026](u)) — verificação: lido",
+        "([TJSE, AC 1, processo nº 2, acórdão nº 3, Rel. Ana de Souza, Câmara](u)) — verificação: lido",
+    ]
+    marks = spark.createDataFrame([("a:1:x", "5"), ("a:1:y", "no"), ("a:2:x", "9"), ("a:1:z", None)], "key string, value string")
+    assert [r.key for r in store.recent_marks(marks, "a:1:", 4.0).collect()] == ["a:1:x"] and store.recent_marks(marks, "a:1:", -1.0).count() == 3
+
+
+def test_index_is_built_once_for_a_table(spark, tmp_path):
+    from florilege.operators import scratch
+
+    path, built = str(tmp_path / "t"), []
+    build = lambda: built.append(1) or spark.read.parquet(path)
+    for n in (5, 5, 7):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        assert scratch.once(spark, path, build).count() == n and scratch.once(spark, path, build, "other").count() == n
+        assert scratch.once(spark, path, build).count() == n
+    assert len(built) == 6
+
+
 def test_store(spark):
     rows = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 3, "c")], "k string, at int, v string")
     first, later = store.first_wins(rows, "k", ["at"])
