@@ -524,7 +524,28 @@ def sliding_rate(spark, sf_dir):
     return admission.sliding_counts(table(spark, sf_dir, "events"), "user_id", "ts", 600).select("event_id", "recent")
 
 
-@q()
+def by_level(k: int) -> str:
+    return "(CASE level " + " ".join(f"WHEN {n} THEN {step[k]}" for n, step in enumerate(admission.LADDER)) + " END)"
+
+
+#: A row an event, each from the state after the one before of its key.
+LEVELS_SQL = (
+    "WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts::TIMESTAMP) / 1e6 AS tick, event_type = 'error' AS refused, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts::TIMESTAMP, event_id) AS n FROM events), "
+    "s AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS id, '' AS decision, 0 AS level, []::DOUBLE[] AS reqs, 0.0::DOUBLE AS paused, 0 AS clean, NULL::DOUBLE AS last FROM (SELECT DISTINCT key FROM e) UNION ALL "
+    "SELECT key, n, id, decision, CASE WHEN decision <> 'admitted' THEN level WHEN refused THEN least(level + 1, " + str(len(admission.LADDER) - 1) + f") WHEN level > 0 AND clean + 1 >= {admission.CLEAN_TO_DESCEND} THEN level - 1 ELSE level END, "
+    "CASE WHEN decision = 'admitted' THEN list_append(reqs, tick) ELSE reqs END, "
+    f"CASE WHEN decision = 'admitted' AND refused THEN greatest(paused, tick + {admission.PAUSES['blocked']}) ELSE paused END, "
+    f"CASE WHEN decision <> 'admitted' THEN clean WHEN refused THEN 0 WHEN level > 0 THEN (CASE WHEN clean + 1 >= {admission.CLEAN_TO_DESCEND} THEN 0 ELSE clean + 1 END) ELSE clean END, tick "
+    f"FROM (SELECT *, CASE WHEN paused > tick THEN 'paused' WHEN len(reqs) >= {admission.DAY_MOST} THEN 'day' WHEN len(list_filter(reqs, lambda t: tick - t < {admission.WINDOW_S})) >= {by_level(1)} THEN 'window' "
+    f"WHEN len(reqs) > 0 AND list_max(reqs) + {by_level(0)} > tick THEN 'spacing' ELSE 'admitted' END AS decision FROM ("
+    f"SELECT e.key, e.n, e.id, e.tick, e.refused, CASE WHEN gone THEN 0 ELSE level END AS level, CASE WHEN gone THEN [] ELSE list_filter(reqs, lambda t: tick - t >= 0 AND tick - t < {admission.DAY_S}) END AS reqs, "
+    "CASE WHEN gone THEN 0 ELSE paused END AS paused, CASE WHEN gone THEN 0 ELSE clean END AS clean "
+    f"FROM (SELECT s.*, e AS e, coalesce(e.tick - last >= {admission.FORGET_S}, false) AS gone, e.tick AS tick FROM s JOIN e ON e.key IS NOT DISTINCT FROM s.key AND e.n = s.n + 1)))) "
+    "SELECT key, id, decision, level FROM s WHERE n > 0"
+)
+
+
+@q(LEVELS_SQL)
 def admission_levels(spark, sf_dir):
     return admission.replay(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", "event_id")
 

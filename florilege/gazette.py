@@ -156,16 +156,19 @@ DECISION_CELL = (
 )
 
 
-def section_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of 50 decisions, five to a page; a class is named at every tenth decision and goes on over pages."""
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """issue, code, page, html: sections of 50 decisions, five to a page; a class is named at every tenth and goes on over pages."""
     rows, n = documents(spark, sf_dir), F.col("n")
     cell = spelled(DECISION_CELL, n=n, body=F.col("body"), case=202_400_000_000 + n, lines=picked(tuple(r[0] for r in REPORTERS), n))
     head = F.when(n % 10 == 0, spelled(CLASS_CELL, **{"class": F.floor(n / 10) % 7})).otherwise(F.lit(""))
     cells = rows.select(F.floor(n / 50).cast("int").alias("issue"), F.lit(5).alias("code"), (F.floor(n % 50 / 5) + 1).cast("int").alias("page"), F.struct("n", F.concat(head, cell).alias("html")).alias("c"))
     # a page has five decisions
     pages = cells.groupBy("issue", "code", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["html"]), "").alias("html"))
-    repeated = pages.withColumn("html", F.concat(F.lit("<table>"), "html", F.lit("</table><!--<table>"), "html", F.lit("</table>-->")))
-    return parsers.section_rows(repeated, ["issue", "code"])
+    return pages.withColumn("html", F.concat(F.lit("<table>"), "html", F.lit("</table><!--<table>"), "html", F.lit("</table>-->")))
+
+
+def section_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.section_rows(section_pages(spark, sf_dir), ["issue", "code"])
 
 
 SECTION_SQL = (
