@@ -201,22 +201,28 @@ class CrossParser:
             entered = enters
             state, n = enters[todo], np.zeros(len(todo), np.int64)
             more[todo], end[todo] = 0, alone[todo]
+            at, left = start[todo], length[todo]
+            shortest = int(left.min())
             for step in range(LANE):
-                over = length[todo] <= step
-                if over.any():
+                if step >= shortest:
+                    over = left <= step
                     more[todo[over]], end[todo[over]] = n[over], state[over]
-                    todo, state, n = todo[~over], state[~over], n[~over]
-                if not len(todo):
-                    break
-                at = start[todo] + step
+                    todo, state, n, at, left = (x[~over] for x in (todo, state, n, at, left))
+                    if not len(todo):
+                        break
+                    shortest = int(left.min())
                 to = steps.next(state, columns[at], None if rare is None else rare[at])
                 here, there = to < 0, fresh[at]
-                n += here.astype(np.int64) - there
+                n += here
+                n -= there
                 met = here & there if step else here
-                if met.any():
+                if np.count_nonzero(met):
                     more[todo[met]] = n[met]
-                    todo, n, to = todo[~met], n[~met], to[~met]
+                    todo, n, to, at, left = (x[~met] for x in (todo, n, to, at, left))
+                    if not len(todo):
+                        break
                 state = to & 0x7FFFFFFF
+                at = at + 1
             else:
                 more[todo], end[todo] = n, state
 
