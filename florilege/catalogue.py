@@ -379,6 +379,13 @@ def siblings(spark, sf_dir):
     return graph.siblings(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
 
 
+@q("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7 AND o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7)")
+def other_decisions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    known = orders.filter("o_custkey = 7").agg(F.min("o_orderkey")).first()[0]
+    return graph.others(orders, "o_custkey", "o_orderkey", "7", str(known)).select("o_orderkey", "o_orderstatus")
+
+
 # ---- gazettes ----------------------------------------------------------------------------------------------------------------
 
 ISSUE_SQL = "issues AS (SELECT DISTINCT o_orderkey // 10 AS issue, CASE WHEN o_orderkey // 10 % 9 <> 0 THEN DATE '2020-01-01' + (o_orderkey // 10 % 2000)::INT END AS date FROM orders), sections AS (SELECT o_orderkey // 10 AS issue, o_orderkey % 7 AS code, count(*) AS items FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL) "

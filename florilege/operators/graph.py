@@ -50,3 +50,8 @@ def siblings(rows: DataFrame, group: str, node: str, most: int = 5) -> DataFrame
     sizes = nodes.groupBy(group).agg(F.count("*").alias("_size")).filter("_size > 1")
     others = F.slice(F.filter("_first", lambda x: x != F.col(node)), 1, most)
     return nodes.join(sizes, group).join(first, group).select(node, F.array_join(others, ",").alias("others"), (F.col("_size") - 1 > most).alias("more"))
+
+
+def others(rows: DataFrame, group: str, node: str, of_group: str, of_node: str) -> DataFrame:
+    """The other nodes of a group, in order: what an identifier may have been taken for."""
+    return rows.filter((F.col(group).cast("string") == of_group) & (F.col(node).cast("string") != of_node)).orderBy(node)
