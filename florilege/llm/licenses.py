@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import PHRASES, TEMPLATES
-from .shared import lean_batches
+from .shared import lean_batches, tidy
 
+MARKUP = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+")
 NOT_WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -40,7 +41,7 @@ class TokenAutomaton:
         self.steps: list[list[tuple[bytes | None, int]]] = [[]]
         self.free: list[list[int]] = [[]]
         runs, run, opened = [], [], []
-        for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        for token in MARKUP.findall(template):
             here = len(self.steps) - 1
             if token == "[[":
                 opened.append(here)
@@ -132,4 +133,29 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, kind) for x, (_, kind) in zip(found, kinds))], ["doc_id", *(k for k, _ in kinds)])
 
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
+
+
+def pattern(template: str) -> str:
+    """A template as a regular expression over words that end in a blank each."""
+    out = ""
+    for token in MARKUP.findall(template):
+        out += {"[[": "(?:", "]]": ")?"}.get(token) or ("(?:[^ ]+ ){0," + token[2:-2] + "}" if token[0] == "{" else token + " ")
+    return out
+
+
+def oracle(templates=TEMPLATES) -> str:
+    """SQL for the rows of `scan`: the templates as regular expressions."""
+    words = [p.split() for p, _ in PHRASES]
+    places = [f"list_filter(range(len(w)), lambda i: {' AND '.join(f'w[i + {k}] = ' + repr(x) for k, x in enumerate(ws, 1))})" for ws in words]
+    base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))
+    own = ", ".join(f"CASE WHEN regexp_matches(line, ' {pattern(t)}') THEN '{label}' END" for label, t in templates)
+    distinct = "array_to_string(list_sort(list_distinct({0})), ',')"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return (
+        f"WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), "
+        f"p AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS line, {', '.join(f'{x} AS p{k}' for k, x in enumerate(places))} FROM t), "
+        f"f AS (SELECT doc_id, n_words, list_concat({', '.join(f'p{k}' for k in range(len(PHRASES)))}) AS found, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM p) "
+        f"SELECT doc_id, n_words, len(found) AS n_base, list_min(found) AS first_word, list_max(found) AS last_word, {distinct.format('base')} AS base_labels, {distinct.format('list_concat(base, own)')} AS labels, "
+        "CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM f"
+    )

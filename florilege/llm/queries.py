@@ -54,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": curriculum.ORACLE}
+    return {"op8_license_scan": licenses.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": curriculum.ORACLE}
