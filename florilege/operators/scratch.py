@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,14 +30,20 @@ def written(df: DataFrame, tag: str) -> str:
 
 
 def stamp(spark: SparkSession, path: str) -> tuple:
-    """Name, size and time of each file of a table: another stamp is another table."""
+    """The names of a table's files, their size, and the time of the folder or file: another stamp is another table."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = hashlib.sha256("\n".join(sorted(spark.read.parquet(path).inputFiles())).encode()).hexdigest()
+    return names, system.getContentSummary(hadoop).getLength(), system.getFileStatus(hadoop).getModificationTime()
 
 
 def once(spark: SparkSession, source: str, build: Callable[[], DataFrame], *key) -> DataFrame:
-    """What `build` makes of the table at `source`, written once a session and again if the table changes."""
+    """What `build` makes of the table at `source`, written once a session and again if the table changes; made anew at each use
+    where there is no folder to share it in."""
+    try:
+        root(spark)
+    except ValueError:
+        return build()
     key = (spark.sparkContext.applicationId, stamp(spark, source), *key)
     if key not in _built:
         _built[key] = written(build(), "built")

@@ -237,7 +237,7 @@ def test_citation_and_marks(spark):
     assert [r.key for r in store.recent_marks(marks, "a:1:", 4.0).collect()] == ["a:1:x"] and store.recent_marks(marks, "a:1:", -1.0).count() == 3
 
 
-def test_index_is_built_once_for_a_table(spark, tmp_path):
+def test_index_is_built_once_for_a_table(spark, tmp_path, monkeypatch):
     from florilege.operators import scratch
 
     path, built = str(tmp_path / "t"), []
@@ -247,6 +247,8 @@ def test_index_is_built_once_for_a_table(spark, tmp_path):
         assert scratch.once(spark, path, build).count() == n and scratch.once(spark, path, build, "other").count() == n
         assert scratch.once(spark, path, build).count() == n
     assert len(built) == 6
+    monkeypatch.setattr(scratch, "root", lambda spark: (_ for _ in ()).throw(ValueError("no folder")))
+    assert scratch.once(spark, path, build).count() == 7 and len(built) == 7
 
 
 def test_store(spark):
