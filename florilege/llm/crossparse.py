@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import lean_batches
+from .shared import lean_batches, tidy
 
 LANE = 512
 SAMPLE_DOCS, SAMPLE_LETTERS = 200, 240_000
@@ -283,7 +283,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
@@ -302,4 +302,4 @@ def keep_known(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFr
 
     # columns by place, whatever their names
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)

@@ -70,7 +70,7 @@ def invert(y: Column, tilt: Column) -> Column:
 def placed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, tilts=TILTS, seed: str = SEED, row: str | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, quota (its source's words taken), at (words of its source before it), tilt; `row`, a
     column that numbers the rows, if named."""
-    rows = materialize(sized(docs, seed, row), "sizes")
+    rows = materialize(sized(docs, seed, row), "sizes", narrow=True)
     numbers = [row] if row else []
     buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     totals = targets(buckets.groupBy("src").agg(F.sum("words").alias("source_size")), weights, max_epochs)

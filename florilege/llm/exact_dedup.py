@@ -34,6 +34,7 @@ def digest_entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.octet_length("t").alias("n_bytes"),
         F.xxhash64("t").alias("witness"),
         F.monotonically_increasing_id().alias("row"),
+        F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"),
     ).withColumn("part", salt(F.col("row")))
 
 
@@ -42,7 +43,7 @@ def merge_runs(entries: DataFrame, keep: str = "largest", lanes: int = LANES, fa
     pick = {"largest": F.max, "smallest": F.min}[keep]
     null_rank = F.col("id").isNotNull() if keep == "largest" else F.col("id").isNull()
     runs = entries.select(
-        F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane"),
+        F.pmod("lane", F.lit(lanes)).alias("lane"),
         *KEY,
         F.struct(null_rank.alias("known"), F.col("id").alias("id"), F.col("row").alias("row")).alias("best"),
         F.lit(1).cast("long").alias("size"),
@@ -59,7 +60,7 @@ def merge_runs(entries: DataFrame, keep: str = "largest", lanes: int = LANES, fa
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    entries = materialize(digest_entries(docs, id_col, text_col), "digests")
+    entries = materialize(digest_entries(docs, id_col, text_col), "digests", narrow=True)
     groups = salted(merge_runs(entries, keep), "mask", "part")
     # a group of copies of any size is dealt over SALTS parts on both sides
     return entries.join(groups, [*KEY, "part"]).select(

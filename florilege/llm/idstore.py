@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .segments import encoder
-from .shared import lean_batches, remove, salt, salt_mask, salted, scratch_root
+from .shared import lean_batches, remove, salt, salt_mask, salted, scratch_root, tidy
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 256, 8192
@@ -145,7 +145,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             if ready:
                 yield out(ready, b.schema.field(0).type)
 
-    return rows.mapInArrow(run, f"is_chunk boolean, doc_id {kind}, digests binary, n long, payload binary")
+    return rows.mapInArrow(tidy(run), f"is_chunk boolean, doc_id {kind}, digests binary, n long, payload binary")
 
 
 def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +289,7 @@ def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
 
     stored = cut_files(spark, path, True).select("digests", "n", "payload")
-    return stored.mapInArrow(run, "digest binary, n long, crc long")
+    return stored.mapInArrow(tidy(run), "digest binary, n long, crc long")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -312,7 +312,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     sums_of = salted(chunk_sums(spark, path).join(asked, "digest"), "mask", "part")
     found = named.join(sums_of, ["digest", "part"]).groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "digest", "crc", "n"))).alias("c"))
     whole = recipes.join(found, "start", "left").select("doc_id", "start", "n_tokens", "digests", "root", F.col("c.digest").alias("names"), F.col("c.crc").alias("crc"), F.col("c.n").alias("n"))
-    return whole.mapInArrow(sums, f"doc_id {dict(recipes.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
+    return whole.mapInArrow(tidy(sums), f"doc_id {dict(recipes.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 An encoder says where stretches start, so that a text's ids are those of its stretches one after another, and how to encode
 distinct ones (`Memory.starts_of`, `Memory.learn`). Stretches of up to `KEY_BYTES` bytes are looked up by their bytes, all of
 a lot at once, in an open-addressed table of arrays: a row is three words of bytes and length, compared in full, and the
-place of its ids. Unknown ones are encoded together, a lot at a time. The table holds `REMEMBERED` stretches at most and is
+place of its ids. Unknown ones are encoded together, a lot at a time. The table holds a bounded number of stretches (`REMEMBERED`) and is
 then emptied; longer stretches are encoded as they come, each distinct one of a lot once.
 
 `Encoder` is for byte-level BPE by the tokenizers library. A stretch starts where a text does and at every white space that
@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLOT_BITS, PROBES = 21, 12
+PROBES, KEY_BYTES = 12, 23
+#: Stretches that fill a table to two thirds or so.
 REMEMBERED = 1_300_000
-KEY_BYTES = 23
 #: Stretches to a text, and texts to a call of the library.
 JOINED, CALL = 64, 128
 #: Bytes of text looked up side by side, which bounds a worker's memory for texts of any length.
@@ -64,10 +64,11 @@ class Memory:
     #: Where texts longer than LOT can be cut: before the second byte of what this finds.
     BREAK = re.compile(rb"[!-~][\t-\r ]")
 
-    def __init__(self, wide: str) -> None:
-        self.wide = wide
+    def __init__(self, wide: str, remembered: int | None = None) -> None:
+        self.wide, self.remembered = wide, remembered or REMEMBERED
+        self.slot_bits = (self.remembered * 3 // 2).bit_length()
         #: by slot: the bytes and length of a stretch, then where its ids are times 256 plus how many (0: a free slot)
-        self.rows = np.zeros(((1 << SLOT_BITS) + PROBES, 4), np.uint64)
+        self.rows = np.zeros(((1 << self.slot_bits) + PROBES, 4), np.uint64)
         self.forget()
 
     def starts_of(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ class Memory:
 
     def _lot(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that begin at `starts` and are not empty, and how many each has."""
-        if self.known > REMEMBERED:
+        if self.known > self.remembered:
             self.forget()
         at = self.starts_of(raw, starts)
         place, n = self._found(raw, at, np.diff(at, append=len(raw)))
@@ -133,7 +134,7 @@ class Memory:
         mixed = keys[0] * ODD_1 ^ (keys[1] + keys[2]) * ODD_2
         mixed ^= mixed >> np.uint64(31)
         mixed *= ODD_3
-        slot = (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (mixed >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         value = np.zeros(len(at), np.uint64)
         todo = np.flatnonzero(size <= KEY_BYTES)
         for probe in range(PROBES):

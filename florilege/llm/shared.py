@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +49,16 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    `narrow` rows, of a few numbers for each text, are first dealt into files of a fair size: a file a task would be a host of
+    small ones."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/florilege/{uuid.uuid4().hex}-{tag}"
     if _open:
         _open[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if narrow else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._florilege_path = path
     return out
@@ -88,6 +93,18 @@ def lean_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over a task's batches, after which the worker gives freed memory back: it stays, beside its executor's JVM."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; the short way is for texts of one byte a character."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lean_batches, materialize, salt, salt_mask, salted
+from .shared import lean_batches, materialize, salt, salt_mask, salted, tidy
 
 M, T, BITS = 8, 3, 8
 MAX_BUCKET = 512
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {dict(rows.dtypes)['id']}, fp long")
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -123,7 +123,7 @@ def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     prints = fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    prints = materialize(prints.withColumn("part", salt(F.col("row"))).drop("row"), "prints")
+    prints = materialize(prints.withColumn("part", salt(F.col("row"))).drop("row"), "prints", narrow=True)
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), salt_mask(F.col("part")).alias("mask")), "nodes")
     found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bucket)).withColumnRenamed("node", "fp")
     # the smallest id of a component of any size, for each part of its fingerprints

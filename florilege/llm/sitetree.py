@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean_batches, materialize, salt, salt_mask, salted
+from .shared import lean_batches, materialize, salt, salt_mask, salted, tidy
 
 LEAST_PAGES = 20
 #: Nodes of lower importance go.
@@ -332,7 +332,7 @@ def node_features(pages: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    return page_rows(pages).select("url", "html").mapInArrow(run, "host long, path long, unit long, style long, content long, flows boolean, share double, linked double")
+    return page_rows(pages).select("url", "html").mapInArrow(tidy(run), "host long, path long, unit long, style long, content long, flows boolean, share double, linked double")
 
 
 #: The tree of all hosts; what stands for the path of a node in the row that says that a host has a tree of its own.
@@ -387,7 +387,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
                     texts.append(main_text(parse(text.as_py() or ""), known.get(host, general), roles))
                 yield out(b, texts)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidy(run), schema)
     host = F.coalesce(F.lower(F.regexp_extract("url", HOST.pattern, 1)), F.lit(""))
     # the seedless hash of the host's name, as the first pass has it
     keyed = hashed_hosts(rows.withColumn("name", host), kind).withColumn("part", salt(F.col("page_id"), F.col("url")))
@@ -406,7 +406,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
                 texts.append(main_text(parse(text.as_py() or ""), Low(paths.as_py() or (), own), roles))
             yield out(b, texts)
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(tidy(run_joined), schema)
 
 
 def general_lists(pages: DataFrame, low_paths: DataFrame) -> DataFrame:
@@ -423,7 +423,7 @@ def general_lists(pages: DataFrame, low_paths: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(paths, pa.int64())], ["digest", "mask", "path"])
 
     once = pages.groupBy("digest").agg(salt_mask(F.col("part")).alias("mask"), F.first("html").alias("html"))
-    held = once.select("digest", "mask", "html").mapInArrow(run, "digest binary, mask long, path long")
+    held = once.select("digest", "mask", "html").mapInArrow(tidy(run), "digest binary, mask long, path long")
     # a path that all pages have is dealt over parts, as a page that has many copies is
     held = materialize(held.withColumn("deal", salt(F.col("digest"))), "held")
     deals = held.groupBy("path").agg(salt_mask(F.col("deal")).alias("deals"))
@@ -437,4 +437,4 @@ def hashed_hosts(rows: DataFrame, kind: str) -> DataFrame:
             hosts = [xxhash.xxh64_intdigest((h or "").encode()) >> 1 for h in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(hosts, pa.int64())], ["page_id", "url", "html", "host"])
 
-    return rows.select("page_id", "url", "html", "name").mapInArrow(run, f"page_id {kind}, url string, html string, host long")
+    return rows.select("page_id", "url", "html", "name").mapInArrow(tidy(run), f"page_id {kind}, url string, html string, host long")

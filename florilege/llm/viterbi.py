@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import LEAD, Memory, buffers, follows, within
-from .shared import lean_batches
+from .shared import lean_batches, tidy
 
 #: U+2581 in the model; a plain blank here, so that units stay short in memory.
 MARK, BLANK = "▁", " "
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-PAIRS_REMEMBERED = 350_000
+#: Units and pairs of pieces that a worker remembers.
+REMEMBERED, PAIRS_REMEMBERED = 650_000, 350_000
 #: Lengths to try where no longer piece may end.
 SHORT = (2, 1)
 #: Score of a character without a piece in a unigram model.
@@ -211,7 +212,7 @@ class Codec(Memory):
         self.code = "H" if self.m.wide is np.uint16 else "i"
         lengths = np.array([len(r) for r in self.m.raw], np.int64)
         self.raw, self.raw_size, self.raw_start = np.frombuffer(b"".join(self.m.raw), np.uint8), lengths, np.cumsum(lengths) - lengths
-        super().__init__("<u2" if self.code == "H" else "<i4")
+        super().__init__("<u2" if self.code == "H" else "<i4", REMEMBERED)
 
     def starts_of(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Units: blanks, other signs, letters. A new one starts with the blank after another sign and, where no piece has
@@ -301,7 +302,7 @@ def encode(docs: DataFrame, file: str | None = None, kind: str = "bpe") -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), lists, pa.array(exact)], ["doc_id", "n_ids", "ids", "exact"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_ids long, ids array<int>, exact boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_ids long, ids array<int>, exact boolean")
 
 
 def decode(rows: DataFrame, file: str | None = None, kind: str = "bpe") -> DataFrame:
@@ -314,4 +315,4 @@ def decode(rows: DataFrame, file: str | None = None, kind: str = "bpe") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     rows = rows.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, text string")

@@ -53,7 +53,6 @@ def test_encoder_is_the_library(tokenizer, monkeypatch):
 
 def test_encoder_with_a_full_table(tokenizer, monkeypatch):
     monkeypatch.setattr(segments, "REMEMBERED", 50)
-    monkeypatch.setattr(segments, "SLOT_BITS", 6)
     enc = segments.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for k in range(0, 200, 7):
         check_column(enc, tokenizer, texts()[k : k + 7])

@@ -1,9 +1,11 @@
 """The pipeline against a brute-force version of its stages on a small fixture."""
 
 import random
+import uuid
 from collections import Counter
 
 import public_tokenizers
+import pytest
 import sentencepiece
 
 import corpus_pipeline
@@ -72,14 +74,23 @@ def test_stages_against_brute_force(spark):
     assert all(list(r.ids) == sp.encode(text[r.doc_id]) and r.exact for r in encoded)
 
 
-def test_null_and_repeated_doc_ids(spark):
+@pytest.mark.parametrize("written", [False, True])
+def test_null_and_repeated_doc_ids(spark, tmp_path, written):
+    """Rows named by a number that is written with them, and by their files."""
     rng = random.Random(3)
     line = lambda: " ".join("".join(rng.choices("the and ing tion er".split(), k=3)) for _ in range(40))
     a, b, c, d, e, f, g, near = (line() for _ in range(8))
     close = "\t" + near.replace(" ", "  ")  # another text with the same words
     ids = [(None, a), (None, a.upper()), (None, b), (7, c), (7, c), (8, d), (8, e), (9, e), (None, e), (5, f), (5, g), (6, near), (6, close), (None, near + "\n"), (8, close + " ")]
     docs = spark.createDataFrame([(i, t, "aa", "s", n) for n, (i, t) in enumerate(ids)] + [(100 + n, line(), "aa", "s", 100 + n) for n in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
-    step = dict(corpus_pipeline.STAGES)
+    def stored(df):
+        if not written:
+            return df
+        path = f"{tmp_path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    step = {name: lambda s, d, f, stage=stage: stored(stage(s, stored(d), f)) for name, stage in corpus_pipeline.STAGES}
     known = step["language ID"](spark, docs, "")
     assert known.count() == docs.count()
 
