@@ -5,9 +5,10 @@ near-dedup keeps the smallest doc_id of each component; mixing repeats and drops
 puts them in training order (a pass that takes under half of a document's words is left out, any other has the whole
 text); the last stage encodes what is left. Nulls, empty texts, ties and empty tables follow the operators' docstrings.
 
-Stages 2 to 4 decide by row: each writes its input with a number a row, and keeps or places rows by that. A doc_id is only
+Stages 2 to 4 decide by row: a row is known by its file and its place in it, or, where the input is not a table just read, by
+a number with which the stage writes it first; rows are kept or placed by that. A doc_id is only
 a rank, null after all others: of rows that repeat one, and of rows without one, a group of copies keeps a single row (the
-exact one that of the largest row number, the near one that of the smallest), and each row is mixed by itself. Columns that
+exact one the last, the near one the first), and each row is mixed by itself. Columns that
 the stages add have names that the documents do not have, so other columns pass through whatever they are called.
 """
 
@@ -31,8 +32,11 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """`docs` with a number a row, and its column. Written, so that each later reading sees the same numbers."""
+    """`docs` with what names a row at every reading, and its column: of files their path and the row's place, else a number,
+    written with the rows."""
     row = free_name(docs, "row_number")
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        return docs.withColumn(row, F.struct("_metadata.file_path", "_metadata.row_index")), row
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
 
 
