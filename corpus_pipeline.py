@@ -32,11 +32,12 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """`docs` with what names a row at every reading, and its column: of files their path and the row's place, else a number,
-    written with the rows."""
+    """`docs` with what names a row at every reading, and its column: of files their path, by 96 bits of hashes, and the row's
+    place; else a number, written with the rows."""
     row = free_name(docs, "row_number")
     if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
-        return docs.withColumn(row, F.struct("_metadata.file_path", "_metadata.row_index")), row
+        file = F.col("_metadata.file_path")
+        return docs.withColumn(row, F.struct(F.xxhash64(file).alias("file"), F.hash(file).alias("check"), F.col("_metadata.row_index").alias("at"))), row
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
 
 
