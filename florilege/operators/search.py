@@ -1,7 +1,7 @@
 """Ranked retrieval: phrase matching, weighted BM25 over fields, coverage, filters and pages.
 
-A row is reduced to the occurrences of each phrase and its size. Those few numbers give the collection's figures in one
-aggregate, and then the scores in a second pass over the index; nothing is persisted. Collection figures come from the whole index, before any
+One aggregate over the index gives the collection's figures: its size, and how many rows hold each phrase. A second pass keeps
+the rows that match, counts the phrases in those, and scores them; nothing is persisted. Collection figures come from the whole index, before any
 filter; under a field restriction a phrase's document frequency is counted within those fields."""
 
 from __future__ import annotations
@@ -69,25 +69,24 @@ def scored(index: DataFrame, query: Parsed, scoring: Scoring) -> DataFrame:
     """The rows that match, with `coverage` (optional units matched) and `score` (lower is better)."""
     fields, phrases = scoring.fields, query.phrases()
     distinct = list(dict.fromkeys(phrases))
-    weight = lambda p: sum((F.lit(scoring.weights[f]) * occurrences(F.col(f"pad_{f}"), p) for f in fields), F.lit(0.0))
     slim = [c for c in index.columns if not c.startswith("pad_")]
-    hits = index.select(
-        *slim,
-        *(weight(p).alias(f"_f{i}") for i, p in enumerate(distinct)),
-    )
-    found = lambda u: any_of([F.col(f"_f{distinct.index(p)}") > 0 for p in u.phrases])
-    figures = hits.agg(F.count("*"), F.avg("n_tokens"), *(F.count_if(F.col(f"_f{i}") > 0) for i in range(len(distinct)))).first()
+    holds = lambda p: any_of([has(F.col(f"pad_{f}"), p) for f in fields])
+    found = lambda u: any_of(list(map(holds, u.phrases)))
+    # which rows hold a phrase is a plain search; how often it stands there is counted in the rows that match alone
+    figures = index.agg(F.count("*"), F.avg("n_tokens"), *map(F.count_if, map(holds, distinct))).first()
     n, mean = figures[0], figures[1] or 1.0
+    wanted = all_of([found(u) for u in query.required] + ([any_of([found(u) for u in query.optional])] if query.optional else []))
+    coverage = sum((found(u).cast("int") for u in query.optional), F.lit(0))
+    weight = lambda p: sum((F.lit(scoring.weights[f]) * occurrences(F.col(f"pad_{f}"), p) for f in fields), F.lit(0.0))
+    hits = index.filter(wanted).select(*slim, coverage.alias("coverage"), F.array(*map(weight, distinct)).alias("_f"))
     score = F.lit(0.0)
     for p in phrases:  # a phrase that stands in two units counts twice
         i = distinct.index(p)
         idf = math.log((n - figures[2 + i] + 0.5) / (figures[2 + i] + 0.5))
         idf = idf if idf > 0 else LEAST_IDF
-        f = F.col(f"_f{i}")
+        f = F.col("_f")[i]
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / mean))
-    wanted = all_of([found(u) for u in query.required] + ([any_of([found(u) for u in query.optional])] if query.optional else []))
-    coverage = sum((found(u).cast("int") for u in query.optional), F.lit(0))
-    return hits.filter(wanted).select(*slim, coverage.alias("coverage"), score.alias("score"))
+    return hits.select(*slim, "coverage", score.alias("score"))
 
 
 def ranked(rows: DataFrame, query: Parsed, newest: str, id_col: str) -> list[Column]:
