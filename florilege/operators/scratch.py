@@ -46,5 +46,7 @@ def once(spark: SparkSession, source: str, build: Callable[[], DataFrame], *key)
         return build()
     key = (spark.sparkContext.applicationId, stamp(spark, source), *key)
     if key not in _built:
-        _built[key] = written(build(), "built")
+        # files of few row groups are read by as many tasks; what is built of them has a share for every core
+        made, cores = build(), spark.sparkContext.defaultParallelism
+        _built[key] = written(made.repartition(cores) if made.rdd.getNumPartitions() < cores else made, "built")
     return spark.read.parquet(_built[key])
