@@ -1,11 +1,11 @@
-"""The ten training-data queries and, where DuckDB can say the same, their SQL."""
+"""The training-data queries and, where DuckDB can say the same, their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossparse, curriculum, exact_dedup, idstore, kmtree, licenses, secrets, simhash, sitetree, viterbi
+from . import crossparse, curriculum, elkan, exact_dedup, idstore, importance, kmtree, licenses, secrets, simhash, sitetree, viterbi
 from .shared import table
 
 
@@ -49,9 +49,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": curriculum.ORACLE}
+    return {"op8_license_scan": licenses.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": curriculum.ORACLE, "op12_importance_resample": importance.oracle(), "op13_centroid_clusters": elkan.oracle()}
