@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossparse, curriculum, elkan, exact_dedup, idstore, importance, kmtree, licenses, secrets, simhash, sitetree, viterbi
+from . import crossparse, curriculum, elkan, exact_dedup, idstore, importance, kmtree, licenses, minhash, secrets, simhash, sitetree, viterbi
 from .shared import table
 
 
@@ -49,6 +49,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

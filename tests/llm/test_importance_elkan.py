@@ -100,7 +100,7 @@ def test_clusters_against_brute_force(spark, kind):
     if kind == "ties":  # few places, so that many vectors are as near to one centroid as to another
         data = [(i, [float(x) / 1024 for x in rng.integers(-3, 4, dim)]) for i in range(n)]
     else:
-        scale = 1.0 if kind == "spread" else 1e5
+        scale = 1.0 if kind == "spread" else 2e4
         data = [(i, (rng.normal(size=dim) * scale + 3 * scale * rng.integers(0, 3)).tolist()) for i in range(n)]
     data += [(5, data[9][1]), (None, data[4][1]), (None, None), (1001, []), (1002, [1.0] * (dim + 1)), (1003, [float("nan")] * dim), (1004, [None] * dim), (1005, [float("inf")] + [0.0] * (dim - 1)), (1006, [0.0] * dim)]
     df = spark.createDataFrame([(i, v, 2) for i, v in data], "vec_id long, embedding array<double>, cluster int").repartition(3)
