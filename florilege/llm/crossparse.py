@@ -22,12 +22,12 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +38,8 @@ LANE = 512
 SAMPLE_DOCS, SAMPLE_LETTERS = 200, 240_000
 #: Columns of a language's table: its most frequent letters, and a last one for all that its sample does not have.
 COLUMNS = 64
-LETTER = re.compile(r"[^\W\d_]+")
+#: Letters by their Unicode category: number signs such as `½` or `②` are word characters, but no letters.
+LETTER = regex.compile(r"\p{L}+")
 
 
 def spoken(text: str) -> str:
