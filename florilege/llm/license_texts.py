@@ -18,13 +18,14 @@ BSD = (
 BSD_WARRANTY = (
     "this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of "
     "merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for any direct indirect incidental "
-    "special exemplary or consequential damages"
+    "special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+    "business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
 GNU_NOTICE = (
     "is free software you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software "
     "foundation [[either]] version {version} of the license [[or at your option any later version]]"
 )
-GNU_COPYING = "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"
 
 #: Label and template.
 TEMPLATES = (
@@ -36,12 +37,6 @@ TEMPLATES = (
         "is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing "
         "permissions and limitations under the license",
     ),
-    (
-        "apache-2-text",
-        "apache license version 2 0 january 2004 [[http]] [[https]] www apache org licenses terms and conditions for use reproduction and distribution 1 definitions license shall "
-        "mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document licensor shall mean the copyright owner or "
-        "entity authorized by the copyright owner that is granting the license",
-    ),
     ("bsd-2-text", f"{BSD} {BSD_WARRANTY}"),
     (
         "bsd-3-text",
@@ -50,8 +45,14 @@ TEMPLATES = (
     ),
     (
         "boost-1-text",
-        "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
-        "accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works",
+        "[[boost software license version 1 0 august 17th 2003]] permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works "
+        "of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this "
+        "entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part "
+        "and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source "
+        "language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or "
+        "other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ),
     ("cc-by-notice", "licensed under a creative commons attribution {{2}} [[international]] [[unported]] license"),
     ("cc-by-nc-notice", "licensed under [[a]] [[the]] cc by nc [[sa]] [[nd]] {{2}} [[license]]"),
@@ -64,12 +65,12 @@ TEMPLATES = (
     ("lgpl-2-1-header", GNU_NOTICE.format(name="lesser general", version="2 1")),
     ("lgpl-3-header", GNU_NOTICE.format(name="lesser general", version="3")),
     ("agpl-3-header", GNU_NOTICE.format(name="affero general", version="3")),
-    ("gpl-2-text", f"gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc {{{{24}}}} {GNU_COPYING}"),
-    ("gpl-3-text", f"gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc {{{{6}}}} {GNU_COPYING}"),
     (
         "isc-text",
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
-        "permission notice appear in all copies",
+        "permission notice appear in all copies the software is provided as is and {{4}} disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall {{4}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of "
+        "use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     ),
     ("mit-notice", "under the [[terms of the]] mit license"),
     (
@@ -87,13 +88,24 @@ TEMPLATES = (
     (
         "unlicense-text",
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in "
-        "source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this "
+        "software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the "
+        "detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract "
+        "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "wtfpl-text",
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed {{9}} public "
+        "license terms and conditions for copying distribution and modification 0 you just do what the {{1}} you want to",
     ),
-    ("wtfpl-text", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
     (
         "zlib-text",
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this "
         "software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to "
-        "the following restrictions",
+        "the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software "
+        "in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and "
+        "must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any [[source]] distribution",
     ),
 )

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -172,3 +173,23 @@ def test_licenses_of_null_and_repeated_doc_ids(spark):
     rows = [(None, "under the MIT license"), (7, "x"), (7, "cc by nc"), (None, None)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=[("own", "x [[y]]")]).collect()
     assert sorted((str(r.doc_id), r.n_words, r.labels) for r in got) == [("7", 1, "own"), ("7", 3, "cc-by-nc"), ("None", 0, ""), ("None", 4, "mit")]
+
+
+FULL = {label: t for label, t in licenses.TEMPLATES if label.endswith("-text")}
+
+
+def test_a_license_cut_short_is_not_the_license():
+    """Every `-text` template is the whole mandatory wording: without its last words it is refused."""
+    ends = {"mit-text": "software", "bsd-2-text": "damage", "bsd-3-text": "damage", "isc-text": "software", "boost-1-text": "software", "unlicense-text": "software", "zlib-text": "distribution", "wtfpl-text": "to"}
+    assert set(FULL) == set(ends)
+    for label, template in FULL.items():
+        words = re.sub(r"\{\{\d+\}\}", "", template).replace("[[", "").replace("]]", "").split()
+        assert words[-1] == ends[label] and label in licenses.scan_text(" ".join(words))[5].split(",")
+        for cut in (len(words) - 1, len(words) // 2, 20):
+            assert label not in licenses.scan_text(" ".join(words[:cut]) + " flour and eggs")[5].split(",")
+
+
+@pytest.mark.parametrize("text", ["½ ② ²", "Ⅷ 12 _ ٣", "★ 🙂 ́", "1st"])
+def test_letters_are_of_category_l(text):
+    letters = "".join(c for c in text if unicodedata.category(c)[0] == "L")
+    assert crossparse.spoken(text).replace(" ", "") == letters
