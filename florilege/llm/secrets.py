@@ -15,6 +15,7 @@ doc_ids give one row each; without samples nothing is `random`; an empty table g
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ PRIOR = 14.0
 #: Share of ordinary held-out samples that may be above the threshold, and one in how many samples is held out.
 FALSE_SHARE, HELD_OUT = 0.001, 4
 SMOOTHING = 0.5
+#: Elements of a list that are scanned together; a text of n matches costs n * (CHUNK + n / CHUNK ** 2) copied numbers.
+CHUNK = 256
 
 #: Words of which ordinary identifiers are made.
 IDENTIFIER_WORDS = (
@@ -123,19 +126,40 @@ def ratio(token: Column, model: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
 
 
+def given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """By element, what `merge` makes of 0 and all before it: within chunks and over chunks, as a list grows by copying."""
+    state = lambda at: F.struct(at.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    add = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    scan = lambda array, at: F.aggregate(array, state(at), add, lambda acc: acc["out"])
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(v, i + 1, CHUNK))
+    whole = lambda chunks: scan(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), merge)), F.lit(0))
+    return given(values, lambda v: given(cut(v), lambda chunks: F.flatten(F.zip_with(chunks, whole(chunks), scan))))
+
+
 def placed(text: Column, pattern: str, kind: int, may: Column, value_group: int = 0) -> Column:
     """Array of (start, kind, end, value) for the leftmost non-overlapping matches; empty unless `may`."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else matches
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(matches)), F.arrays_zip(matches.alias("m"), values.alias("v")), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["m"]).alias("n"), m["v"].alias("v")))
-    kind_of = "array<struct<start:int,kind:int,end:int,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind_of})").alias("out"))
-    add = lambda acc, m: F.struct(
-        (acc["at"] + m["gap"] + m["n"]).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + m["gap"] + m["n"]).alias("end"), m["v"].alias("value"))).alias("out"),
-    )
-    found = F.aggregate(lengths, start, add, lambda acc: acc["out"])
-    return F.when(may, found).otherwise(F.expr(f"cast(array() as {kind_of})"))
+    measured = lambda m: F.zip_with(F.slice(gaps, 1, F.size(m)), F.arrays_zip(m.alias("m"), values.alias("v")), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["m"]).alias("n"), m["v"].alias("v")))
+    span = lambda m, at: F.struct((at + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + m["gap"] + m["n"]).alias("end"), m["v"].alias("value"))
+    found = given(given(matches, measured), lambda lengths: F.zip_with(lengths, running(F.transform(lengths, lambda m: m["gap"] + m["n"]), lambda a, b: a + b), span))
+    return F.when(may, found).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"))
+
+
+def untouched(tokens: Column, base: Column) -> Column:
+    """The tokens that meet no base span: of the base spans that start before a token ends, none ends after its start.
+
+    Base spans stand at their start and tokens at their end, sorted; the largest end of the spans before a token says it."""
+    of = lambda spans, at, last: F.transform(spans, lambda s: F.struct(s[at].alias("at"), F.lit(last).alias("is_span"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    reach = lambda events: running(F.transform(events, lambda e: F.when(e["is_span"], e["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+    events = F.array_sort(F.concat(of(tokens, "end", False), of(base, "start", True)))
+    free = given(events, lambda es: F.filter(F.arrays_zip(es.alias("e"), reach(es).alias("r")), lambda x: ~x["e"]["is_span"] & (x["r"] <= x["e"]["start"])))
+    return F.transform(free, lambda x: F.struct(x["e"]["start"].alias("start"), x["e"]["kind"].alias("kind"), x["e"]["end"].alias("end"), x["e"]["value"].alias("value")))
 
 
 def listed(spans: Column) -> Column:
@@ -156,8 +180,8 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
         placed(text, TOKEN, 3, text.rlike(TOKEN)).alias("tokens"),
     )
     found = found.withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    found = found.withColumn("free", F.when(F.size("tokens") > 0, free).otherwise(F.col("tokens"))).withColumn(
+    free = untouched(F.col("tokens"), F.col("base"))
+    found = found.withColumn("free", F.when((F.size("tokens") > 0) & (F.size("base") > 0), free).otherwise(F.col("tokens"))).withColumn(
         "random", F.when(F.size("free") > 0, F.filter("free", lambda t: ratio(t["value"], table) > threshold)).otherwise(F.col("free"))
     )
     return found.select(
