@@ -69,7 +69,8 @@ NO_ARTICLE = frozenset("comment comments reply ad ads advert advertisement promo
 ARTICLE = frozenset("article articlebody article-body articlecontent article-content articletext post-body post-content postcontent entry-content entrycontent story-body storybody main-content maincontent page-content main".split())
 
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*+)>|<!--(?:.*?-->|.*\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after another, so that neither a value nor a part of a name is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -81,7 +82,10 @@ def host_of(url: str | None) -> str:
 @lru_cache(100_000)
 def described(tag: str, attributes: str) -> tuple[str, str]:
     """The node's label in the tree, and its role: `aside`, `perhaps` (aside unless it holds an article), `article`, `hidden` or nothing."""
-    found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name:  # of an attribute given twice the first counts
+            found.setdefault(name.lower(), html.unescape(value.strip("\"'")))
     names = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()
     label = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(found.get("class", "").lower().split()))
     tokens = set(names.split())

@@ -186,3 +186,30 @@ def test_a_counted_host_without_low_nodes_does_not_go_by_the_general_tree(spark)
         for i, _, page, *_ in varied:
             assert got[i] == " ".join(re.sub("<[^>]*>", " ", page).split())
         assert all(same not in got[i] for i in range(80))
+
+
+@pytest.mark.parametrize(
+    "attributes, role",
+    [
+        ('title="the hidden truth"', ""),
+        ('data-hidden="false"', ""),
+        ('data-id="comments"', ""),
+        ("title='class=\"comments\"'", ""),
+        ('title="a > b" class=\'comments\'', "aside"),
+        ("hidden", "hidden"),
+        ("HIDDEN=''", "hidden"),
+        ('class="x" class="comments"', ""),
+        ("aria-hidden = true", "hidden"),
+        ('style="display : none"', "hidden"),
+        ('class="com&#109;ents"', "aside"),
+        ('"comments" id=comments/', ""),
+    ],
+)
+def test_attributes_are_read_one_after_another(attributes, role):
+    assert sitetree.described("div", " " + attributes)[1] == role
+
+
+def test_article_text_stays_whatever_its_attributes_say():
+    for attributes in ('title="the hidden truth"', 'data-hidden="false"', 'data-id="comments"'):
+        page = f"<article><div {attributes}><p>Main words of it.</p></div><p>Second.</p></article>"
+        assert sitetree.main_text(sitetree.parse(page), sitetree.Low(())) == "Main words of it. Second."
