@@ -5,15 +5,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from florilege import gazette
 from florilege.functions import text as T
-from florilege.operators import analytics, evaluate, graph, index, parsers, scratch, search, store, verify
+from florilege.operators import analytics, evaluate, graph, index, parsers, postings, scratch, search, store, verify
 from florilege.plans.query import Parsed, Phrase, parse
 from florilege.streaming import admission
 
@@ -196,6 +199,67 @@ def vocab_df(spark, sf_dir):
     return index.vocabulary(corpus(spark, sf_dir), ("text",))
 
 
+# ---- the same through postings --------------------------------------------------------------------------------------------
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The documents' postings, in a folder named by the table's files: written by the first who asks, opened by all later."""
+    named = hashlib.sha256(repr(scratch.stamp(spark, f"{sf_dir}/documents.parquet")).encode()).hexdigest()[:32]
+    folder = f"{scratch.root(spark)}/florilege/postings-{named}"
+    try:
+        return postings.opened(spark, folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return postings.created(table(spark, sf_dir, "documents").withColumn("issue", (F.col("doc_id") % 12).cast("int")), folder, FIELDS, "doc_id")
+
+
+TEXT = search.Scoring({"text": 5.0})
+
+
+@q(bm25_sql(FREE, {"text": 5.0}, FIELDS) + PICK + ORDER.format("coverage DESC,") + " LIMIT 10")
+def indexed_top(spark, sf_dir):
+    return rounded(postings.top(indexed(spark, sf_dir), FREE, TEXT, 10, "issue"))
+
+
+INDEXED = parse('"the of" src3 heed*')
+
+
+@q(bm25_sql(INDEXED, WEIGHTS.weights, FIELDS) + PICK)
+def indexed_phrases(spark, sf_dir):
+    return rounded(postings.scored(indexed(spark, sf_dir), INDEXED, WEIGHTS))
+
+
+@q(f"WITH {idx()} SELECT doc_id, {occ(PREFIX, 'text')}::INT AS n FROM idx WHERE {has(PREFIX, 'text')}")
+def indexed_prefix(spark, sf_dir):
+    found = indexed(spark, sf_dir)
+    counts = postings.phrase_counts(found, [PREFIX], {"text": 1.0})
+    return found.docs().join(counts.drop("n_tokens"), ["segment", "doc"]).select("doc_id", F.col("f")[0].cast("int").alias("n"))
+
+
+@q(
+    f"WITH {idx(FIELDS)}, t AS (SELECT doc_id, 'text' AS field, unnest(string_split_regex(trim(pad_text), ' +')) AS term FROM idx UNION ALL SELECT doc_id, 'lang', unnest(string_split_regex(trim(pad_lang), ' +')) FROM idx "
+    "UNION ALL SELECT doc_id, 'source', unnest(string_split_regex(trim(pad_source), ' +')) FROM idx) SELECT term, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM t WHERE term <> '' GROUP BY term"
+)
+def indexed_vocabulary(spark, sf_dir):
+    return postings.vocabulary(indexed(spark, sf_dir))
+
+
+CHANGED = "d AS (SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' heed with the of' ELSE text END AS text, lang, source FROM documents WHERE source IS DISTINCT FROM 'src3')"
+
+
+@q(bm25_sql(PHRASED, {"text": 5.0}, base=CHANGED + ", " + idx().replace("FROM documents", "FROM d")) + PICK)
+def indexed_changes(spark, sf_dir):
+    """An index built in steps: English documents, then the others and new texts of one source, less another source, then merged."""
+    docs = table(spark, sf_dir, "documents").withColumn("issue", (F.col("doc_id") % 12).cast("int"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    longer = docs.filter("source = 'src1'").withColumn("text", F.concat("text", F.lit(" heed with the of")))
+    made = postings.created(docs.filter(english), f"{scratch.root(spark)}/florilege/postings-{uuid.uuid4().hex}", ("text",), "doc_id")
+    made = postings.added(made, docs.filter(~english & (F.coalesce("source", F.lit("")) != "src1")))
+    made = postings.deleted(postings.added(made, longer), docs.filter("source = 'src3'"))
+    return rounded(postings.scored(postings.merged(made, 2), PHRASED, TEXT))
+
+
 TERMS = ["heed", "with"]
 
 
