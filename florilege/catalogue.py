@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from florilege import gazette
 from florilege.functions import text as T
-from florilege.operators import analytics, evaluate, graph, index, parsers, postings, scratch, search, store, verify
+from florilege.operators import analytics, evaluate, graph, index, parsers, postings, retrieval, scratch, search, store, verify
 from florilege.plans.query import Parsed, Phrase, parse
 from florilege.streaming import admission
 
@@ -260,6 +260,21 @@ def indexed_changes(spark, sf_dir):
     return rounded(postings.scored(postings.merged(made, 2), PHRASED, TEXT))
 
 
+def request_pads() -> str:
+    pads = ", ".join(f"{PAD.format(f)} AS pad_{f}" for f in retrieval.WEIGHTS)
+    return f"p AS (SELECT *, {pads} FROM w), idx AS (SELECT *, {' + '.join(COUNT.format(f'pad_{f}') for f in retrieval.WEIGHTS)} AS n_tokens FROM p)"
+
+
+@q(gazette.best_sql(gazette.WIDE, request_pads(), bm25_sql) + gazette.FACETS_SQL)
+def answered_panorama(spark, sf_dir):
+    return gazette.answered_panorama(spark, sf_dir)
+
+
+@q(gazette.best_sql(gazette.NARROW, request_pads(), bm25_sql) + gazette.hints_sql(gazette.NARROW))
+def answered_hints(spark, sf_dir):
+    return gazette.answered_hints(spark, sf_dir)
+
+
 TERMS = ["heed", "with"]
 
 

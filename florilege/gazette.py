@@ -5,12 +5,15 @@ its number, so SQL can say what the parsers and checks should find."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions import text as T
-from florilege.operators import analytics, graph, index, parsers, search, verify
-from florilege.plans.query import Parsed
+from florilege.operators import analytics, graph, index, parsers, retrieval, scratch, search, verify
+from florilege.plans.query import Parsed, parse
 
 #: How decisions end, and the outcome that each says.
 ENDINGS = (
@@ -136,6 +139,74 @@ def field_search(spark: SparkSession, sf_dir: str, query: Parsed, scoring: searc
     return search.scored(built, query, scoring).select("doc_id", F.col("coverage").cast("int").alias("coverage"), F.round("score", 6).alias("score"))
 
 
+# ---- requests --------------------------------------------------------------------------------------------------------------
+
+CLASSES, REPORTER_NAMES = ("Apelação", "Agravo", "Embargos", "Mandado"), ("DES. ANA", "DES. BETO", "DES. CAIO")
+WIDE, NARROW = retrieval.Request(text="dispositivo saber"), retrieval.Request(text="heed")
+
+
+def request_tables(spark: SparkSession, sf_dir: str) -> retrieval.Tables:
+    """The tables of the search entry, of all documents."""
+    n = F.col("n")
+    rows = decisions(spark, sf_dir).select(
+        n.cast("string").alias("decision"), (202_400_000_000 + n % 7).cast("string").alias("process"), picked(CLASSES, n).alias("class"), picked(REPORTER_NAMES, n).alias("rapporteur"),
+        picked(COURTS, n).alias("body"), (n % 12).cast("int").alias("issue"), F.date_add(F.lit("2026-01-01").cast("date"), (n % 12).cast("int")).alias("date"), "abstract",
+    )
+    source, none = f"{sf_dir}/documents.parquet", spark.range(0)
+    whole = scratch.once(spark, source, lambda: index.build_index(rows, tuple(retrieval.WEIGHTS)), "requests")
+    edges = scratch.once(spark, source, lambda: anchor_edges(spark, sf_dir), "edges")
+    return retrieval.Tables(
+        whole, none, edges, none.selectExpr("cast(id AS string) AS decision", "1 AS issue"), none.selectExpr("cast(id AS string) AS decision")
+    )
+
+
+def answered_panorama(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([*retrieval.answer(request_tables(spark, sf_dir), WIDE).panorama], "facet string, value string, n long")
+
+
+def answered_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.answer(request_tables(spark, sf_dir), NARROW).hints
+    return spark.createDataFrame([*found], "term string, df long, lift double").withColumn("lift", F.round("lift", 6))
+
+
+#: The decisions as one table, their pads, and which endings and precedents they have.
+REQUEST_SQL = (
+    f"{MADE_SQL}, w AS (SELECT n, n::VARCHAR AS decision, n % 12 AS issue, {picked_sql(CLASSES, 'n')} AS class, {picked_sql(REPORTER_NAMES, 'n')} AS rapporteur, {picked_sql(COURTS, 'n')} AS body, "
+    f"coalesce({picked_sql(tuple(o for _, o in ENDINGS), 'n')}, '{analytics.OUTCOMES[-1]}') AS outcome, "
+    "CASE WHEN plain THEN ['Súmula Vinculante ' || sumula] ELSE ['Súmula ' || sumula || '/STJ', 'Tema 10' || tema] END AS anchors, "
+    "CASE WHEN plain THEN 'SEM PARTES ' || n || '. O dispositivo ' || body || ' Súmula Vinculante ' || sumula || '; contrato ' || \"case\" || '. ' || ending "
+    "ELSE 'RESUMO ' || n || '. I. CASO EM EXAME 1. Recurso ' || n || '. II. QUESTÃO EM DISCUSSÃO: 2. Saber ' || n || '. III. RAZÕES DE DECIDIR 3. O dispositivo legal ' || body || '. IV. DISPOSITIVO E TESE 4. ' || "
+    "ending || ' Tese de julgamento: a regra ' || n || '. Dispositivos relevantes citados: CC, art. ' || n || '. Jurisprudência relevante citada: TJSE, processo ' || \"case\" || '; STJ, Súmula ' || sumula || "
+    "'; Tema 1.0' || tema || '.' END AS abstract FROM m)"
+)
+
+
+def best_sql(request: retrieval.Request, pads: str, scored_sql: Callable) -> str:
+    """Common tables up to `best`, the first decisions by score alone."""
+    tables = scored_sql(parse(request.text), retrieval.WEIGHTS, tuple(retrieval.WEIGHTS), f"{REQUEST_SQL}, {pads}")
+    return f"{tables}, best AS (SELECT * FROM scored ORDER BY score, issue DESC, decision DESC LIMIT {analytics.TOP_ROWS}) "
+
+
+FACETS_SQL = (
+    ", c AS (SELECT 'outcome' AS facet, outcome AS value, count(*) AS n FROM best GROUP BY outcome UNION ALL SELECT 'body', body, count(*) FROM best GROUP BY body UNION ALL SELECT 'class', class, count(*) FROM best GROUP BY class "
+    "UNION ALL SELECT 'anchor', a, count(*) FROM (SELECT unnest(anchors) AS a FROM best) GROUP BY a HAVING count(*) >= 2) "
+    "SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS k FROM c) WHERE k <= CASE facet WHEN 'anchor' THEN 8 ELSE 6 END"
+)
+
+
+def hints_sql(request: retrieval.Request) -> str:
+    excluded = ", ".join(f"'{w}'" for w in [*retrieval.USUAL_WORDS, *re.findall(retrieval.WORD, str(parse(request.text)))])
+    pads = " || ".join(f"pad_{f}" for f in retrieval.WEIGHTS)
+    return (
+        f", d AS (SELECT t, count(*) AS df FROM (SELECT decision, unnest(list_distinct(regexp_extract_all(strip_accents(lower(abstract)), '{retrieval.WORD}'))) AS t FROM best) GROUP BY t), "
+        f"v AS (SELECT t, count(DISTINCT decision) AS doc FROM (SELECT decision, unnest(string_split_regex(trim({pads}), ' +')) AS t FROM idx) GROUP BY t), "
+        "b AS (SELECT count(*)::DOUBLE AS b, (SELECT count(*)::DOUBLE FROM idx) AS n FROM best), "
+        "l AS (SELECT t, df, (df / b.b) / (greatest(coalesce(doc, 1), 1) / b.n) AS lift FROM d LEFT JOIN v USING (t), b "
+        f"WHERE b.b >= {analytics.LEAST_ROWS} AND df >= greatest(4, floor(b.b * 0.06)) AND t NOT IN ({excluded})) "
+        f"SELECT t AS term, df, round(lift, 6) AS lift FROM l WHERE lift >= {analytics.LEAST_LIFT} ORDER BY lift * sqrt(df) DESC, t DESC LIMIT {analytics.MOST_HINTS}"
+    )
+
+
 # ---- section pages ---------------------------------------------------------------------------------------------------------
 
 #: Lines after a decision's link, and the label and name that they come to.

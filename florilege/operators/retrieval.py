@@ -4,6 +4,7 @@ Nothing is left of a request when it is answered: a page is a few rows, which ar
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,20 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from florilege.functions import text as T
 from florilege.operators import analytics, graph, parsers, search
+from florilege.operators import index as index_of
 from florilege.plans.query import Parsed, Refused, case_number, fields_of, page_size, parse
 
 #: Weights of a search in whole decisions.
 WEIGHTS = {"abstract": 5.0, "class": 2.0, "rapporteur": 1.0}
 SNIPPET, PANORAMA_FROM, ALL_UNITS_MOST = 900, 5, 8
+PANORAMA_ANCHORS = 12
+#: Words of every abstract, which hint at nothing.
+USUAL_WORDS = (
+    "recurso conhecido provido desprovido acordao decisao agravo apelacao relator camara civel interposto contra embargos direito processual civil ementa turma tribunal justica "
+    "sergipe tese julgamento unanimidade unanime votos voto dispositivo relevantes citados jurisprudencia constituicao federal codigo artigo artigos casos exame razoes decidir "
+    "questao discussao apelante apelado agravante agravado recorrente recorrido sentenca juizo primeiro grau parte partes"
+).split()
+WORD = "[a-z]{5,}"
 
 
 @dataclass(frozen=True)
@@ -50,6 +60,8 @@ class Tables:
     edges: DataFrame
     republications: DataFrame
     receipts: DataFrame
+    #: term, doc (rows of `whole` that have it); made from `whole` where it is not at hand.
+    vocabulary: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -60,6 +72,7 @@ class Answer:
     filters: dict = field(default_factory=dict)
     matching_all: int | None = None
     panorama: tuple[tuple[str, str, int], ...] = ()
+    hints: tuple[tuple[str, int, float], ...] = ()
 
 
 def filters_of(request: Request) -> tuple[Column | None, dict]:
@@ -105,7 +118,8 @@ def answer(tables: Tables, request: Request) -> Answer:
     told = {"order": order, "ignored": query.ignored, "filters": given}
     if not total:
         unfiltered = rows.count() if given and query.units else 0
-        why = tuple(map(tuple, search.zero_diagnosis(index, query, scoring.fields).collect())) if query.units else ()
+        # units are counted in whole decisions, whatever fields were asked for
+        why = tuple(map(tuple, search.zero_diagnosis(tables.whole, query, tuple(WEIGHTS)).collect())) if query.units else ()
         return Answer(search.Outcome("empty", 0, None, 0, unfiltered, why), **told)
     if number > last:
         return Answer(search.Outcome("beyond", total, None, last), **told)
@@ -113,10 +127,22 @@ def answer(tables: Tables, request: Request) -> Answer:
         page = search.triage(kept, "abstract", by, number)
         return Answer(search.Outcome("rows", total, fetched(page), last), **told)
     page = decorated(tables, fetched(search.page(kept, by, size, number)), query)
-    anchors = F.udf(parsers.anchors, "array<string>", useArrow=True)  # over the rows of a panorama
-    view = analytics.panorama(kept, by, T.norm(F.col("abstract")), anchors("abstract"), ["body", "class"]).collect() if number == 1 and total >= PANORAMA_FROM else ()
+    view, hints = overview(tables, kept, query, order) if number == 1 and total >= PANORAMA_FROM else ((), ())
     all_units = full if order == "relevant" and 1 < optional <= ALL_UNITS_MOST else None
-    return Answer(search.Outcome("rows", total, page.orderBy("place").drop("place"), last), **told, matching_all=all_units, panorama=tuple(map(tuple, view)))
+    return Answer(search.Outcome("rows", total, page.orderBy("place").drop("place"), last), **told, matching_all=all_units, panorama=view, hints=hints)
+
+
+def overview(tables: Tables, kept: DataFrame, query: Parsed, order: str) -> tuple[tuple, tuple]:
+    """Facets, and words that tell these decisions from the rest, of the best by score alone, whatever leads the page; or of the newest."""
+    by = [*([F.asc("score")] if order == "relevant" else []), F.desc("issue"), F.desc("decision")]
+    anchors = F.udf(lambda text: parsers.anchors(text, PANORAMA_ANCHORS), "array<string>", useArrow=True)  # over the rows of a panorama
+    norm = T.norm(F.col("abstract"))
+    view = analytics.panorama(kept, by, norm, anchors("abstract"), ["body", "class"]).collect()
+    best = kept.orderBy(*by).limit(analytics.TOP_ROWS)
+    excluded = [*USUAL_WORDS, *re.findall(WORD, str(query))]
+    vocabulary = tables.vocabulary if tables.vocabulary is not None else index_of.vocabulary(tables.whole, tuple(WEIGHTS))
+    hints = analytics.lift_terms(best, F.regexp_extract_all(norm, F.lit(WORD), F.lit(0)), vocabulary, tables.whole.count(), excluded).collect()
+    return tuple(map(tuple, view)), tuple(map(tuple, hints))
 
 
 def fetched(page: DataFrame) -> DataFrame:

@@ -226,6 +226,25 @@ def test_requests(spark):
         ask(text="plano", first_date="2026-02-01", last_date="2026-01-01")
 
 
+def test_overview_of_many_decisions(spark, monkeypatch):
+    """The best by score alone, not by coverage; twelve precedents a decision; hints without usual words and the query's own; diagnosis in whole decisions."""
+    tables, rows = request_tables(spark)
+    monkeypatch.setattr(retrieval.analytics, "TOP_ROWS", 12)
+    monkeypatch.setattr(retrieval.analytics.panorama, "__defaults__", (12, 5))
+    ask = lambda **kw: retrieval.answer(tables, retrieval.Request(**kw))
+    a = ask(text="plano recusa numero7")
+    by_score = search.scored(tables.whole, parse("plano recusa numero7"), search.Scoring(retrieval.WEIGHTS)).orderBy("score", F.desc("issue"), F.desc("decision")).limit(12)
+    want = by_score.groupBy("body").count().collect()
+    assert {(v, n) for f, v, n in a.panorama if f == "body"} == {(r["body"], r["count"]) for r in want}
+    many = parsers.anchors(" ".join(f"Tema {i};" for i in range(1, 30)), retrieval.PANORAMA_ANCHORS)
+    assert len(many) == 12
+    hints = {t for t, *_ in ask(text='"dano moral"').hints}
+    assert hints == set() or not hints & {"recurso", "moral"}
+    # of the parts, only some fields hold a word; the diagnosis counts it in whole decisions all the same
+    none = ask(groups=[["recusa"], ["plano"]], fields="tese")
+    assert none.outcome.kind == "empty" and {u: n for u, n, _ in none.outcome.by_unit}["[recusa]"] == sum("recusa" in r[7] for r in rows.values())
+
+
 def test_citation_and_marks(spark):
     row = spark.createDataFrame([("", None, dt.date(2026, 8, 31)), ("AC 1", "ANA DE SOUZA", None)], "a string, r string, d date")
     made = T.citation(F.col("a"), F.lit("2"), F.lit("3"), F.col("r"), F.lit("Câmara"), F.col("d"), F.lit("u"), "lido")
