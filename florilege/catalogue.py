@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from florilege import gazette
 from florilege.functions import text as T
-from florilege.operators import analytics, evaluate, graph, index, parsers, postings, retrieval, scratch, search, store, verify
+from florilege.operators import analytics, evaluate, graph, index, merge, parsers, postings, retrieval, scratch, search, store, verify
 from florilege.plans.query import Parsed, Phrase, parse
 from florilege.streaming import admission
 
@@ -420,6 +420,23 @@ def section_cascade_delete(spark, sf_dir):
 EDGE_SQL = "WITH e AS (SELECT DISTINCT l_orderkey AS source, l_partkey::VARCHAR AS ref FROM lineitem WHERE l_quantity > 25), node AS (SELECT p_partkey::VARCHAR AS ref FROM part WHERE p_size < 40) "
 
 
+@q(
+    "WITH d AS (SELECT doc_id, (doc_id % 12)::INT AS issue, coalesce(lang, '') AS section, coalesce(text, '') AS t FROM documents), k AS (SELECT *, md5(t) AS old, md5(replace(t, 'the', 'THE')) AS new FROM d) "
+    "SELECT doc_id, issue, section, new AS digest, CASE WHEN section <> 'en' THEN 'inserted' WHEN old = new THEN 'same' ELSE 'replaced' END AS change FROM k WHERE section <> 'fr' "
+    "UNION ALL SELECT doc_id, issue + 2, section, new, 'republished' FROM k WHERE section = 'de' "
+    "UNION ALL SELECT doc_id, issue, section, old, CASE WHEN issue = 5 THEN 'deleted' ELSE 'kept' END FROM k WHERE section = 'fr' "
+    "UNION ALL SELECT doc_id, issue + 1, section, new, CASE WHEN issue = 5 THEN 'inserted' ELSE 'republished' END FROM k WHERE section = 'fr'"
+)
+def merged_changes(spark, sf_dir):
+    """All documents: English and French ones are known; English come again in their issue, French in the next, German twice, others once; French ones of an issue go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 12).cast("int").alias("issue"), F.coalesce("lang", F.lit("")).alias("section"), F.coalesce("text", F.lit("")).alias("t"))
+    old = docs.filter("section IN ('en', 'fr')").select("doc_id", "issue", "section", F.md5(F.col("t").cast("binary")).alias("digest"))
+    issues = F.when(F.col("section") == "fr", F.array(F.col("issue") + 1)).when(F.col("section") == "de", F.array("issue", F.col("issue") + 2)).otherwise(F.array("issue"))
+    new = docs.select("doc_id", F.posexplode(issues).alias("arrival", "issue"), "section", F.md5(F.replace("t", F.lit("the"), F.lit("THE")).cast("binary")).alias("digest"))
+    anew = spark.createDataFrame([(5, "fr")], "issue int, section string")
+    return merge.changes(old, new, "doc_id", "issue", ["arrival"], anew)
+
+
 def edges(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 25")
     return rows.select(F.col("l_orderkey").alias("source"), F.lit("part").alias("kind"), F.col("l_partkey").cast("string").alias("ref")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from florilege.operators import parsers, store
+from florilege.operators import parsers, scratch, store
 from florilege.sources.raw import consecutive, page_columns
 
 PARSER_VERSION = 1
@@ -51,7 +51,9 @@ def tables(pages: DataFrame, known_codes: list[int], newest_first: bool = False,
     if keep_incomplete:
         whole = whole.unionByName(rejects.filter("reason = 'incomplete'").drop("reason"))
     order = [F.desc("issue") if newest_first else F.asc("issue"), "code"]
-    return tables_of(decisions_of(whole).withColumn("parser", F.lit(PARSER_VERSION)), rejects, order)
+    # parsed once: all tables but the rejects come of these rows
+    items = pages.sparkSession.read.parquet(scratch.written(decisions_of(whole).withColumn("parser", F.lit(PARSER_VERSION)), "items"))
+    return tables_of(items, rejects, order)
 
 
 def tables_of(rows: DataFrame, rejects: DataFrame, arrival: list) -> dict[str, DataFrame]:
@@ -84,8 +86,10 @@ def watch(spark: SparkSession, path: str, out: str, checkpoint: str, known_codes
     pages_type = "issue int, code int, page int, html string, batch long"
 
     def batch(frame: DataFrame, number: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{out}/pages/batch={number}")
-        pages = spark.read.schema(pages_type).parquet(f"{out}/pages").filter(F.col("batch") <= number)
+        frame.write.mode("overwrite").partitionBy("issue").parquet(f"{out}/pages/batch={number}")
+        issues = [r["issue"] for r in frame.select("issue").distinct().collect()]  # `files_per_trigger` at most
+        # of the pages kept, those of these issues alone are read
+        pages = spark.read.schema(pages_type).parquet(f"{out}/pages").filter((F.col("batch") <= number) & F.col("issue").isin(issues))
         touched = pages.filter(F.col("batch") == number).select("issue", "code").distinct()
         latest = W.partitionBy("issue", "code", "page").orderBy(F.desc("batch"))
         section = pages.join(touched, ["issue", "code"], "left_semi")
