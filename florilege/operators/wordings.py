@@ -10,7 +10,7 @@ CLOSING_WINDOW, STATE = 450, "estado de sergipe"
 PARENTHESES, SENTENCE_REST, OPENING_REACH, CHAIN, LONG_CHAIN, SHORT_REACH = 700, 300, 9000, 1200, 6000, 300
 WIDEST_QUOTE, THESIS_BEFORE = 6000, 80
 CLAIM_BEFORE, SUBJECT_BEFORE, HEAD_SHARE, SUBJECT_AFTER = 600, 200, 0.4, 40
-NEGATION_BEFORE, NEGATION_WORDS, NEGATION_REACH, EXISTENTIAL_WORDS = 80, 6, 3, 5
+NEGATION_BEFORE, NEGATION_REACH = 80, 3
 OBITER_BEFORE, OBITER_LONGEST, RESULT_AFTER = 400, 600, 300
 
 A = re.ASCII
@@ -96,13 +96,20 @@ NO_NEGATION = re.compile(
     r"|(?:se\s+)?pode\s+(?:deixar|olvidar|ignorar|negar)\b|deixa\s+de\b|ha\s+como\s+negar|ha\s+negar)",
     A,
 )
-PARTICIPLE = re.compile(r"\s*(?:\w+mente\s+)?[a-z]+(?:ad|id)[oa]s?\b", A)
-AUXILIARY = re.compile(r"\s*(?:tenha|tem|ha|havia|foi|for|seja|sido|esta|estava)\b", A)
-PREPOSITION = re.compile(r"\s*(?:sobre|pel[oa]s?|para|por|com|contra|ante|perante|apenas|so|somente|mais|menos)\b", A)
+#: A preposition, or a participle without its auxiliary, takes a `nao` for itself.
+DENIED_BY_ITSELF = re.compile(
+    r"\s*(?:sobre|pel[oa]s?|para|por|com|contra|ante|perante|apenas|so|somente|mais|menos)\b"
+    r"|(?!\s*(?:tenha|tem|ha|havia|foi|for|seja|sido|esta|estava)\b)\s*(?:\w+mente\s+)?[a-z]+(?:ad|id)[oa]s?\b",
+    A,
+)
+#: Up to six words of one clause, with a comma only where all of it has fifteen characters or fewer.
+BRIDGE = re.compile(r"(?=\s*(?:\S+(?:\s+|\Z)){0,6}\Z)(?:[^.;:,]*|(?= *.{0,15} *\Z)[^.;:]*)", re.S)
+#: One word at most, or up to five of which the first says that something is or was there.
+CLOSE_BRIDGE = re.compile(r"\s*(?:\S+\s*)?|(?=\s*(?:\S+(?:\s+|\Z)){0,5}\Z)\s*(?:ha|houve|havia|existe|existem|existia)(?![a-z0-9]).*", re.S)
+CONJUNCTION = re.compile(r"\s*[eE][\s,]")
 CLAUSE_END = re.compile(
     r"[.;:]|,\s*(?:mas|e|ou|que|o que|de forma|de modo|sendo|alem|conforme|porque|pois|porquanto|embora|ainda|razao pela|motivo pelo|[a-z]+ndo)(?![a-z0-9])|\smas\s", A
 )
-EXISTENTIAL = re.compile(r"[ \t\n\r\f\v]*(?:ha|houve|havia|existe|existem|existia)(?![a-z0-9])")
 OBITER_MARK = re.compile(
     r"(?<![a-z0-9])(?:ainda que assim nao fosse|se assim nao fosse|(?:ainda|mesmo) que (?:se )?(?:admitisse(?:mos)?|superad[ao]s?|ultrapassad[ao]s?|afastad[ao]s?|entendesse(?:mos)?|considerasse(?:mos)?"
     r"|fosse|houvesse|pudesse)|a titulo de (?:argumentacao|reforco|ilustracao|obiter dictum)|(?:apenas|somente|so) para argumentar|ad argumentandum(?: tantum)?|por amor ao debate|obiter dictum"
