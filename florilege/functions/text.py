@@ -5,6 +5,8 @@ Column functions stay in the JVM. Their Python twins (`*_py`) serve Arrow UDFs t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import datetime as dt
 import html
 import re
@@ -228,3 +230,8 @@ def latin1_quoted(text: str) -> str:
     from urllib.parse import quote_from_bytes
 
     return quote_from_bytes(text.encode("latin-1", "replace"))
+
+
+def given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once a row, however often it is named, in functions of elements too."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from florilege.functions.text import given
 from florilege.operators import index as pads
 from florilege.operators import search
 from florilege.operators.search import K1, LEAST_IDF, B, Scoring
@@ -129,13 +130,16 @@ def term_rows(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(doc, n_tokens, field, term, places) of padded documents: each row sorts its own tokens, and where the term changes a posting begins."""
     placed = lambda k: lambda t, i: F.struct(t.alias("term"), F.lit(k).alias("field"), i.alias("place"))
     each = [F.transform(pads.tokens(F.col(f"pad_{f}")), placed(k)) for k, f in enumerate(fields)]
-    rows = docs.select("doc", "n_tokens", F.sort_array(F.concat(*each)).alias("t"))
-    other = lambda i: (F.get("t", i)["term"] != F.get("t", i - 1)["term"]) | (F.get("t", i)["field"] != F.get("t", i - 1)["field"])
-    rows = rows.filter(F.size("t") > 0).withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | other(i)))
-    posting = lambda a, n: F.struct(
-        F.get("t", a)["field"].alias("field"), F.get("t", a)["term"].alias("term"), F.transform(F.slice("t", a + 1, F.coalesce(F.get("starts", n + 1), F.size("t")) - a), lambda x: x["place"]).alias("places")
-    )
-    return rows.select("doc", "n_tokens", F.inline(F.transform("starts", posting)))
+    other = lambda x, y: (x["term"] != y["term"]) | (x["field"] != y["field"])
+    begins = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | other(F.get(t, i), F.get(t, i - 1)))
+
+    def cut(t: Column) -> Callable[[Column], Column]:
+        places = lambda a, b: F.transform(F.slice(t, a + 1, b - a), lambda x: x["place"])
+        one = lambda starts: lambda a, n: F.struct(F.get(t, a)["field"].alias("field"), F.get(t, a)["term"].alias("term"), places(a, F.coalesce(F.get(starts, n + 1), F.size(t))).alias("places"))
+        return lambda starts: F.transform(starts, one(starts))
+
+    found = given(F.sort_array(F.concat(*each)), lambda t: given(begins(t), cut(t)))
+    return docs.filter("n_tokens > 0").select("doc", "n_tokens", F.inline(found))
 
 
 def write_segment(spark: SparkSession, root: str, number: int, docs: DataFrame, fields: tuple[str, ...], shelves: int, block: int) -> Segment:
