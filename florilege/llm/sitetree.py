@@ -18,8 +18,8 @@ weigh, an article never goes, and where a page has one, what lies outside of it
 leaves the tree alone to decide. A tree needs them where pages are few, and for comments, which vary like articles do.
 
 Two passes over the pages. What passes between them is a table of low nodes (host, path), not of pages; it is broadcast
-up to `BROADCAST_NODES` rows. Beyond that, the nodes of a host are joined by host, with hot hosts dealt over parts, and those of
-all hosts by path to the nodes of the pages that go by them, folded by page; that takes a third pass, over these pages.
+up to `BROADCAST_NODES` rows. Beyond that, the low nodes of a tree are joined by path to the nodes of the pages that go by it, dealt over
+parts and folded by page; that takes a third pass over the pages.
 
 Defined results: null or empty html gives an empty text; a null url belongs to the host ''; a page whose whole text would
 go by roles, or by the tree of all hosts, keeps what it would lose by them; null or repeated page_ids and repeated rows
@@ -397,11 +397,12 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
     keyed = hashed_hosts(rows.withColumn("name", host), kind).withColumn("part", salt(F.col("page_id"), F.col("url")))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)))
     masks = keyed.groupBy("host").agg(salt_mask(F.col("part")).alias("mask"))
-    lists = nodes.filter(F.col("host") != ALL_HOSTS).groupBy("host").agg(F.collect_list("path").alias("paths"))
-    own = salted(lists.join(masks, "host"), "mask", "part")
-    general = general_lists(keyed.join(own.select("host", "part"), ["host", "part"], "left_anti"), nodes.filter(F.col("host") == ALL_HOSTS).select("path"))
-    joined = keyed.join(own, ["host", "part"], "left").join(general, ["digest", "part"], "left")
-    joined = joined.select("page_id", "url", "html", F.coalesce("paths", "general").alias("paths"), F.col("paths").isNotNull().alias("own"))
+    # the tree that a page goes by: its host's, or that of all hosts
+    own = nodes.filter((F.col("path") == OWN_TREE) & (F.col("host") != ALL_HOSTS)).select("host", F.col("host").alias("own")).distinct()
+    keyed = keyed.join(salted(own.join(masks, "host"), "mask", "part"), ["host", "part"], "left")
+    keyed = keyed.withColumn("tree", F.coalesce("own", F.lit(ALL_HOSTS).cast("long")))
+    joined = keyed.join(low_lists(keyed, nodes.select(F.col("host").alias("tree"), "path")), ["tree", "digest", "part"], "left")
+    joined = joined.select("page_id", "url", "html", "paths", F.col("own").isNotNull().alias("own"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -413,26 +414,28 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
     return joined.mapInArrow(tidy(run_joined), schema)
 
 
-def general_lists(pages: DataFrame, low_paths: DataFrame) -> DataFrame:
-    """(digest, part, general): the nodes of `low_paths` that the html of this digest has, for each part with such pages."""
+def low_lists(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """(tree, digest, part, paths): of the `low` nodes (tree, path), those that the html of this digest has, for each part with such pages.
+
+    No page is given more than its own nodes, however many its tree has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, paths = [], []
-            for i, text in enumerate(b.column(2)):
+            for i, text in enumerate(b.column(3)):
                 found = {path >> 1 for path in features(parse(text.as_py() or ""))}
                 at += [i] * len(found)
                 paths += found
             held = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(paths, pa.int64())], ["digest", "mask", "path"])
+            yield pa.RecordBatch.from_arrays([*held.columns[:3], pa.array(paths, pa.int64())], ["tree", "digest", "mask", "path"])
 
-    once = pages.groupBy("digest").agg(salt_mask(F.col("part")).alias("mask"), F.first("html").alias("html"))
-    held = once.select("digest", "mask", "html").mapInArrow(tidy(run), "digest binary, mask long, path long")
+    once = pages.groupBy("tree", "digest").agg(salt_mask(F.col("part")).alias("mask"), F.first("html").alias("html"))
+    held = once.select("tree", "digest", "mask", "html").mapInArrow(tidy(run), "tree long, digest binary, mask long, path long")
     # a path that all pages have is dealt over parts, as a page that has many copies is
     held = materialize(held.withColumn("deal", salt(F.col("digest"))), "held")
-    deals = held.groupBy("path").agg(salt_mask(F.col("deal")).alias("deals"))
-    found = held.join(salted(low_paths.join(deals, "path"), "deals", "deal"), ["path", "deal"])
-    return salted(found.groupBy("digest", "mask").agg(F.collect_list("path").alias("general")), "mask", "part")
+    deals = held.groupBy("tree", "path").agg(salt_mask(F.col("deal")).alias("deals"))
+    found = held.join(salted(low.join(deals, ["tree", "path"]), "deals", "deal"), ["tree", "path", "deal"])
+    return salted(found.groupBy("tree", "digest", "mask").agg(F.collect_list("path").alias("paths")), "mask", "part")
 
 
 def hashed_hosts(rows: DataFrame, kind: str) -> DataFrame:
