@@ -513,6 +513,7 @@ for _made, _sql in (
     (gazette.base_ref_merge, gazette.BASE_REF_MERGE_SQL),
     (gazette.abstract_parts, gazette.ABSTRACT_PARTS_SQL),
     (gazette.section_parser, gazette.SECTION_SQL),
+    (gazette.packaged_pages, gazette.PACKAGED_SQL),
     (gazette.full_text_parser, gazette.FULL_TEXT_SQL),
     (gazette.quotation_labels, gazette.QUOTATION_SQL),
 ):

@@ -6,6 +6,7 @@ its number, so SQL can say what the parsers and checks should find."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from florilege.functions import text as T
 from florilege.operators import analytics, graph, index, parsers, retrieval, scratch, search, verify
 from florilege.plans.query import Parsed, parse
+from florilege.sources import bulletin
 
 #: How decisions end, and the outcome that each says.
 ENDINGS = (
@@ -249,6 +251,28 @@ SECTION_SQL = (
     f"'AC Nº ' || n || '/2026' AS appeal, {picked_sql(tuple(r[2] for r in REPORTERS), 'n')} AS rapporteur, {picked_sql(tuple(r[1] for r in REPORTERS), 'n')} AS label, trim('Sobre ' || n || ' ' || body) AS abstract FROM d"
 )
 
+
+def packaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, from packages: how long it is, and its digest."""
+    path = f"{scratch.root(spark)}/florilege/{uuid.uuid4().hex}-packages"
+    bulletin.write_packages(section_pages(spark, sf_dir), path)
+    return bulletin.pages(spark, path).select("issue", "code", "page", F.length("html").alias("n_chars"), F.md5("html").alias("md5"))
+
+
+def filled(template: str, **values: str) -> str:
+    """A template as a SQL string, `{name}` as the SQL of that value."""
+    return "'" + re.sub(r"\{(\w+)\}", lambda m: f"' || {values[m[1]]} || '", template.replace("'", "''")) + "'"
+
+
+PACKAGED_SQL = (
+    f"WITH d AS (SELECT doc_id AS n, {BODY_SQL} AS body FROM documents), c AS (SELECT n, (n // 50)::INT AS issue, (n % 50 // 5 + 1)::INT AS page, "
+    f"(CASE WHEN n % 10 = 0 THEN {filled(CLASS_CELL, **{'class': '(n // 10 % 7)'})} ELSE '' END) || "
+    f"{filled(DECISION_CELL, n='n', body='body', case='(202400000000 + n)', lines=picked_sql(tuple(r[0] for r in REPORTERS), 'n'))} AS cell FROM d), "
+    "h AS (SELECT issue, page, string_agg(cell, '' ORDER BY n) AS cells FROM c GROUP BY issue, page), "
+    "p AS (SELECT issue, page, '<table>' || cells || '</table><!--<table>' || cells || '</table>-->' AS html FROM h) "
+    "SELECT issue, 5 AS code, page, length(html)::INT AS n_chars, md5(html) AS md5 FROM p"
+)
+
 # ---- full texts and quotations -----------------------------------------------------------------------------------------------
 
 FULL_TEXT = (

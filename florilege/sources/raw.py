@@ -1,14 +1,7 @@
-"""Raw pages and packages: gzip pages by name, tar packages with their limits, and receipts as JSON."""
+"""Raw pages as gzip texts by name, the limits of packages (read in `bulletin`), and receipts as JSON."""
 
 from __future__ import annotations
 
-import hashlib
-import io
-import re
-import tarfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +32,7 @@ def page_columns(files: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """issue, code, page, html of the raw pages under `path`."""
-    return page_columns(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path))
+    return page_columns(spark.read.text(path, wholetext=True, recursiveFileLookup=True))
 
 
 def consecutive(pages: DataFrame) -> DataFrame:
@@ -59,28 +52,5 @@ def write_pages(pages: DataFrame, path: str) -> None:
     text.partitionBy("issue", "code", "page").mode("overwrite").text(path)
 
 
-def read_package(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
-    """name, content of the allowed entries of tar packages; a package over its limits or with another hash raises."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0):
-                raw = blob.as_py()
-                if sha256 and hashlib.sha256(raw).hexdigest() != sha256:
-                    raise ValueError("the package's hash is not the one that was announced")
-                total = 0
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as tar:
-                    for entry in tar:
-                        if not entry.isfile() or not re.search(f"(?:^|/){PAGE_NAME}", entry.name) or ".." in entry.name.split("/"):
-                            continue
-                        total += entry.size
-                        if entry.size > ENTRY_MOST or total > PACKAGE_MOST:
-                            raise ValueError(f"{entry.name}: the package is over its limits")
-                        yield pa.RecordBatch.from_arrays([pa.array([entry.name.rsplit("/", 1)[-1]]), pa.array([tar.extractfile(entry).read()])], ["name", "content"])
-
-    return files.mapInArrow(run, "name string, content binary")
-
-
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECEIPT).option("multiLine", True).json(path)

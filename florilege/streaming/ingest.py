@@ -82,7 +82,7 @@ def stale(decisions: DataFrame) -> DataFrame:
 
 def watch(spark: SparkSession, path: str, out: str, checkpoint: str, known_codes: list[int], files_per_trigger: int = 14):
     """Stream new raw pages into `out`: each micro-batch keeps its pages and parses the sections they belong to, by batch id."""
-    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).schema("value string").text(path)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).schema("value string").text(path, wholetext=True)
     pages_type = "issue int, code int, page int, html string, batch long"
 
     def batch(frame: DataFrame, number: int) -> None:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from florilege.plans import fixtures
-from florilege.sources import raw
+from florilege.sources import bulletin, raw
 from florilege.streaming import admission as A
 from florilege.streaming import ingest
 
@@ -29,7 +29,7 @@ def folder(tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
     first, second = (p[3] for p in fixtures.section_pages())
-    write(pages, "1-5.html.gz", first + NEXT)
+    write(pages, "1-5.html.gz", first.replace("<br>", "<br>\n") + NEXT)  # a page has many lines
     write(pages, "1-5.p2.html.gz", second)
     write(pages, "2-5.html.gz", second)  # the same decision in a later issue
     write(pages, "2-6.html.gz", first + NEXT)  # its last page is missing
@@ -84,7 +84,7 @@ def test_pages_after_a_gap_are_reported(spark, folder):
 
 
 def test_pages_written_are_read(spark, tmp_path):
-    pages = spark.createDataFrame(fixtures.section_pages() + [(9, 1, 1, ""), (9, 1, 2, "two\nlines\n")], "issue int, code int, page int, html string")
+    pages = spark.createDataFrame(fixtures.section_pages() + [(9, 1, 1, ""), (9, 1, 2, "two\nlines\n"), (9, 1, 3, "<p>\nthree\r\nlines\n\n</p>\n")], "issue int, code int, page int, html string")
     for _ in range(2):  # again replaces
         raw.write_pages(pages, str(tmp_path / "w"))
     raw.write_pages(pages.filter("issue = 9 AND page = 2").withColumn("html", F.lit("new")), str(tmp_path / "w"))
@@ -105,10 +105,10 @@ def package(entries):
 def test_package(spark, tmp_path):
     blob = package([("raw/1-5.html.gz", b"x"), ("raw/evil.sh", b"y"), ("../1-6.html.gz", b"z"), ("n" * 120 + "/2-5.p3.html.gz", b"w")])
     (tmp_path / "p.tar.gz").write_bytes(blob)
-    got = raw.read_package(spark, str(tmp_path / "p.tar.gz"), hashlib.sha256(blob).hexdigest()).collect()
+    got = bulletin.entries(spark, str(tmp_path / "p.tar.gz"), hashlib.sha256(blob).hexdigest()).collect()
     assert sorted((r.name, bytes(r.content)) for r in got) == [("1-5.html.gz", b"x"), ("2-5.p3.html.gz", b"w")]
     with pytest.raises(Exception, match="hash"):
-        raw.read_package(spark, str(tmp_path / "p.tar.gz"), "0" * 64).collect()
+        bulletin.entries(spark, str(tmp_path / "p.tar.gz"), "0" * 64).collect()
 
 
 def test_receipts(spark, tmp_path):
