@@ -514,6 +514,7 @@ for _made, _sql in (
     (gazette.abstract_parts, gazette.ABSTRACT_PARTS_SQL),
     (gazette.section_parser, gazette.SECTION_SQL),
     (gazette.packaged_pages, gazette.PACKAGED_SQL),
+    (gazette.streamed_sections, gazette.SECTION_SQL),
     (gazette.full_text_parser, gazette.FULL_TEXT_SQL),
     (gazette.quotation_labels, gazette.QUOTATION_SQL),
 ):

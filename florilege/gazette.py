@@ -16,6 +16,7 @@ from florilege.functions import text as T
 from florilege.operators import analytics, graph, index, parsers, retrieval, scratch, search, verify
 from florilege.plans.query import Parsed, parse
 from florilege.sources import bulletin
+from florilege.streaming import sections
 
 #: How decisions end, and the outcome that each says.
 ENDINGS = (
@@ -259,6 +260,15 @@ def packaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulletin.pages(spark, path).select("issue", "code", "page", F.length("html").alias("n_chars"), F.md5("html").alias("md5"))
 
 
+def streamed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions of every page, from packages through the stream that keeps each section's state."""
+    at = f"{scratch.root(spark)}/florilege/{uuid.uuid4().hex}"
+    bulletin.write_packages(section_pages(spark, sf_dir), f"{at}-packages")
+    stream = bulletin.registered(spark).readStream.format("bulletin").option("settle", 0).load(f"{at}-packages")
+    sections.watch(stream, f"{at}-changes", f"{at}-checkpoint", [5], parts=spark.sparkContext.defaultParallelism).awaitTermination()
+    return sections.current(spark, f"{at}-changes").filter("kind = 'item'").select("issue", "code", *sections.ITEM_NAMES)
+
+
 def filled(template: str, **values: str) -> str:
     """A template as a SQL string, `{name}` as the SQL of that value."""
     return "'" + re.sub(r"\{(\w+)\}", lambda m: f"' || {values[m[1]]} || '", template.replace("'", "''")) + "'"

@@ -127,21 +127,26 @@ def changes(pages: DataFrame, known_codes: list[int], retry_ms: int = RETRY_DAYS
     return keyed.transformWithStateInPandas(Sections(known_codes, retry_ms, keep_ms), CHANGE, "Update", "ProcessingTime")
 
 
-def watch(pages: DataFrame, out: str, checkpoint: str, known_codes: list[int], **times: int):
+def watch(pages: DataFrame, out: str, checkpoint: str, known_codes: list[int], parts: int | None = None, **times: int):
     """The changes of a stream of pages (`pages`, from files or packages) under `out`, by batch, written once each.
 
-    Times run out in batches with pages: batches without would follow one another for as long as a time is set."""
+    Times run out in batches with pages: batches without would follow one another for as long as a time is set. `parts` is how many
+    shares the states have for the life of the checkpoint (else the session's shuffle partitions)."""
 
     def batch(frame: DataFrame, number: int) -> None:
         frame.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/batch={number}")
 
     made = changes(pages, known_codes, **times).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    conf, before = pages.sparkSession.conf, pages.sparkSession.conf.get(NO_DATA)
-    conf.set(NO_DATA, "false")  # the stream keeps the settings of its start
-    try:
+    conf = pages.sparkSession.conf
+    settings = {NO_DATA: "false"} | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
+    before = {name: conf.get(name) for name in settings}
+    try:  # the stream keeps the settings of its start
+        for name, value in settings.items():
+            conf.set(name, value)
         return made.start()
     finally:
-        conf.set(NO_DATA, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def file_pages(spark: SparkSession, path: str, files_per_trigger: int = 14) -> DataFrame:
