@@ -130,3 +130,22 @@ def test_any_changes_give_what_building_anew_gives(spark, tmp_path, seed):
     assert sorted(map(tuple, postings.vocabulary(indexed).collect())) == sorted(map(tuple, index.vocabulary(anew, FIELDS).collect()))
     small = postings.merged(indexed, 2, shelves=3, block=4)
     assert len(small.segments) <= len(indexed.segments) and sorted(r["id"] for r in small.docs().select("id").collect()) == sorted(known)
+
+
+def exchanges(df) -> int:
+    df.collect()
+    return str(df._jdf.queryExecution().executedPlan()).split("Initial Plan")[0].count("Exchange ")
+
+
+def test_shelves_grow_with_the_tokens(spark, tmp_path, monkeypatch, both):
+    """A task sorts a shelf, so its share is bounded; heads are those of the postings, and the vocabulary needs one shuffle by term."""
+    monkeypatch.setattr(postings, "SHELF_TOKENS", 200)
+    docs = spark.createDataFrame(texts(5, 200), SCHEMA).coalesce(2)
+    indexed = postings.created(docs, str(tmp_path), FIELDS, "id", shelves=2, block=8)
+    segment = indexed.segments[0]
+    rows, heads = postings.read(spark, segment, "postings"), postings.read(spark, segment, "heads")
+    assert rows.select("shelf").distinct().count() > segment.n_tokens / 200 / 2 > 3
+    names = ["shelf", "term", "field", "block", "n", "most", "least"]
+    want = rows.groupBy(*names[:4]).agg(F.count("*").alias("n"), F.max(F.size("places")).alias("most"), F.min("n_tokens").alias("least"))
+    assert sorted(map(tuple, heads.select(names).collect())) == sorted(map(tuple, want.collect()))
+    assert exchanges(postings.vocabulary(indexed)) == exchanges(postings.vocabulary(both[1])) == 1
