@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from florilege.functions.text import given
+
 TOP_ROWS, LEAST_LIFT, LEAST_ROWS, MOST_HINTS = 800, 2.5, 8, 12
 #: How a judgment's outcome is worded in the comparison form.
 APPEALS = "recurso|apelacao|agravo|embargos|acao|revisao criminal|mandado de seguranca|incidente|reclamacao|conflito|apelo"
@@ -19,18 +21,23 @@ OUTCOMES = ("desprovido", "provido", "parcialmente provido", "não conhecido", "
 
 
 def outcome(norm: Column) -> Column:
-    """The outcome that a text in comparison form declares, null unless it declares exactly one."""
-    no_part = F.regexp_replace(norm, PARTLY, " ")
-    no_denial = F.regexp_replace(no_part, DENIED, " ")
-    found = F.array_compact(
-        F.array(
-            F.when(norm.rlike(NOT_HEARD), "não conhecido"),
-            F.when(norm.rlike(PARTLY), "parcialmente provido"),
-            F.when(no_part.rlike(DENIED), "desprovido"),
-            F.when(no_denial.rlike(GRANTED), "provido"),
+    """The outcome that a text in comparison form declares, null unless it declares exactly one.
+
+    The form is made once a row; a wording was there if taking it out changed the text."""
+
+    def said(t: Column, no_part: Column, no_denial: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(t.rlike(NOT_HEARD), "não conhecido"),
+                F.when(no_part != t, "parcialmente provido"),
+                F.when(no_denial != no_part, "desprovido"),
+                F.when(no_denial.rlike(GRANTED), "provido"),
+            )
         )
-    )
-    return F.when(F.size(found) == 1, found[0])
+
+    without = lambda t, wording: F.regexp_replace(t, wording, " ")
+    found = given(norm, lambda t: given(without(t, PARTLY), lambda u: given(without(u, DENIED), lambda v: said(t, u, v))))
+    return given(found, lambda f: F.when(F.size(f) == 1, F.get(f, 0)))
 
 
 def facets(rows: DataFrame, columns: list[str], top: int = 6) -> DataFrame:

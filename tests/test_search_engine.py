@@ -281,3 +281,10 @@ def test_store(spark):
     assert good.count() == quarantined.count() == 1
     moved = store.migrated(receipts.withColumn("size", F.lit(9)), {"size": F.length("html")}).first()
     assert moved.changed and moved["size"] == 1
+
+
+def test_an_outcome_makes_the_form_once(spark):
+    rows = spark.createDataFrame([("Recurso parcialmente provido.", "parcialmente provido"), ("Negou provimento ao recurso.", "desprovido"), ("Recurso provido; apelo desprovido.", None), (None, None)], "t string, want string")
+    made = rows.select(analytics.outcome(F.translate(F.lower("t"), "#", "-")).alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in made.collect())
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
