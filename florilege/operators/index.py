@@ -34,7 +34,7 @@ def tokens(pad: Column) -> Column:
 
 def vocabulary(index: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """term, doc (rows that have it), cnt (occurrences), over all fields."""
-    rows = index.select(F.array_sort(tokens(F.concat(*(F.col(f"pad_{f}") for f in fields)))).alias("t"))
+    rows = index.select(F.sort_array(tokens(F.concat(*(F.col(f"pad_{f}") for f in fields)))).alias("t"))
     # a row's tokens in order tell its first of each term, so one aggregate by term, combined before its shuffle, has both figures
     marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when(F.get(F.col("t"), i - 1) == x, 0).otherwise(1).alias("first")))
     return rows.select(F.inline(marked)).groupBy("term").agg(F.sum("first").alias("doc"), F.count("*").alias("cnt"))

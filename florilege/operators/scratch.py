@@ -47,6 +47,7 @@ def once(spark: SparkSession, source: str, build: Callable[[], DataFrame], *key)
     key = (spark.sparkContext.applicationId, stamp(spark, source), *key)
     if key not in _built:
         # files of few row groups are read by as many tasks; what is built of them has a share for every core
+        # (the source's tasks are counted, as to ask a plan with a shuffle for its partitions runs all that is before it)
         made, cores = build(), spark.sparkContext.defaultParallelism
-        _built[key] = written(made.repartition(cores) if made.rdd.getNumPartitions() < cores else made, "built")
+        _built[key] = written(made.repartition(cores) if spark.read.parquet(source).rdd.getNumPartitions() < cores else made, "built")
     return spark.read.parquet(_built[key])

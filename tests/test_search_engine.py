@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from florilege.functions import text as T
-from florilege.operators import analytics, evaluate, graph, index, parsers, retrieval, search, store
+from florilege.operators import analytics, evaluate, graph, index, parsers, retrieval, scratch, search, store
 from florilege.plans.query import Parsed, Phrase, Refused, Unit, parse
 
 FIELDS = ("body", "title")
@@ -288,3 +288,16 @@ def test_an_outcome_makes_the_form_once(spark):
     made = rows.select(analytics.outcome(F.translate(F.lower("t"), "#", "-")).alias("got"), "want")
     assert all(r["got"] == r["want"] for r in made.collect())
     assert made._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_what_is_built_once_is_built_once(spark, tmp_path):
+    path, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+    spark.range(40).write.parquet(path)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    built = scratch.once(spark, path, lambda: spark.read.parquet(path).mapInArrow(run, "id long").distinct(), str(tmp_path))
+    assert built.count() == 40 and seen.value == 40
