@@ -35,6 +35,7 @@ import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 
+from florilege.functions import workers
 from florilege.sources.raw import ENTRY_MOST, PACKAGE_MOST, PAGE_END, PAGE_NAME, WRITTEN_NAME
 
 PAGES, ENTRIES = "issue int, code int, page int, html string", "name string, content binary"
@@ -208,6 +209,8 @@ class Shares:
                 rows, held = [], 0
         if rows:
             yield self.batch(rows)
+        rows.clear()
+        workers.give_back()
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         schema = ENTRY_SCHEMA if self.raw else PAGE_SCHEMA
@@ -279,6 +282,7 @@ class Packer(ds.DataSourceArrowWriter):
                 held += len(content)
         if tar:
             tar.close(), stream.close()
+        workers.give_back()
         return Packages(names)
 
     def commit(self, messages: list[Packages | None]) -> None:
@@ -335,5 +339,6 @@ def entries(spark: SparkSession, path: str, sha256: str | None = None) -> DataFr
 
 def write_packages(frame: DataFrame, path: str, mode: str = "append", package_bytes: int = 256 << 20) -> None:
     """Pages as packages under `path`, in the order that they have in their partitions."""
-    registered(frame.sparkSession)
-    frame.select(*PAGE_SCHEMA.names).write.format("bulletin").option("package_bytes", package_bytes).mode(mode).save(path)
+    spark = registered(frame.sparkSession)
+    with workers.held(spark, workers.small_batches(spark)):
+        frame.select(*PAGE_SCHEMA.names).write.format("bulletin").option("package_bytes", package_bytes).mode(mode).save(path)

@@ -5,6 +5,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from florilege.plans import fixtures
@@ -124,3 +125,34 @@ def test_pages_of_packages(spark, tmp_path):
     stream = bulletin.registered(spark).readStream.format("bulletin").option("settle", 0).load(str(tmp_path / "in"))
     assert sections.watch(stream, str(tmp_path / "out"), str(tmp_path / "c"), KNOWN).awaitTermination(60)
     same(spark, tmp_path, FILES)
+
+
+def test_workers_get_pages_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Neither the sink nor the stream hands a worker more than a few MB at once, and the session's settings stay."""
+    large = [(1, 5, n, page(n, more=n < 12, head=f"Apelação {'x' * 1_000_000}")) for n in range(1, 13)]
+
+    class Bounded(bulletin.Packer):
+        def write(self, batches):
+            return super().write(b for b in batches if b.nbytes < 6_000_000 or 1 / 0)
+
+    class Source(bulletin.Bulletin):
+        def writer(self, schema, overwrite):
+            return Bounded(self.options, overwrite)
+
+    class Frames(sections.Sections):
+        def handleInputRows(self, key, rows, timerValues):
+            frames = [*rows]
+            yield from super().handleInputRows(key, iter(frames), timerValues)
+            yield pd.DataFrame([("frames", *key, len(frames), None, *(None,) * len(sections.ITEM_NAMES))], columns=sections.CHANGE_NAMES)
+
+    before = {s: spark.conf.get(s) for s in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    monkeypatch.setattr(bulletin, "Bulletin", Source)
+    bulletin.write_packages(spark.createDataFrame(large, TYPE).repartition(1), str(tmp_path / "in"))
+    monkeypatch.undo()
+    monkeypatch.setattr(sections, "Sections", Frames)
+    stream = bulletin.registered(spark).readStream.format("bulletin").option("settle", 0).load(str(tmp_path / "in"))
+    assert sections.watch(stream, str(tmp_path / "out"), str(tmp_path / "c"), KNOWN).awaitTermination(60)
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.filter("kind = 'frames'").first()["page"] > 2
+    assert rows.filter("kind = 'item'").count() == 12
+    assert before == {s: spark.conf.get(s) for s in before}
