@@ -149,3 +149,34 @@ def test_shelves_grow_with_the_tokens(spark, tmp_path, monkeypatch, both):
     want = rows.groupBy(*names[:4]).agg(F.count("*").alias("n"), F.max(F.size("places")).alias("most"), F.min("n_tokens").alias("least"))
     assert sorted(map(tuple, heads.select(names).collect())) == sorted(map(tuple, want.collect()))
     assert exchanges(postings.vocabulary(indexed)) == exchanges(postings.vocabulary(both[1])) == 1
+
+
+def test_merging_moves_postings_and_makes_none(spark, tmp_path, monkeypatch):
+    """Segments with documents gone are merged without reading texts for their words; where most documents are gone, blocks are packed anew."""
+    known = {r[0]: r for r in texts(7, 60)}
+    later = [(1000 + r[0], *r[1:]) for r in texts(8, 50)] + [(r[0], 3, "a w1", "abc a ab") for r in texts(7, 60)[:5]]
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    two = postings.added(postings.created(frame(list(known.values())), str(tmp_path), FIELDS, "id", shelves=3, block=4), frame(later), shelves=3, block=4)
+    known |= {r[0]: r for r in later}
+
+    def held(one, rows):
+        assert len(one.segments) == 1 and one.segments[0].n_docs == len(rows) == one.docs().select("id").distinct().count()
+        anew = index.build_index(frame(rows), FIELDS)
+        for query in QUERIES[:4]:
+            assert figures(postings.scored(one, query, search.Scoring(WEIGHTS[0]))) == figures(search.scored(anew, query, search.Scoring(WEIGHTS[0])))
+        assert sorted(map(tuple, postings.vocabulary(one).collect())) == sorted(map(tuple, index.vocabulary(anew, FIELDS).collect()))
+        names = ["shelf", "term", "field", "block"]
+        stand, heads = postings.read(spark, one.segments[0], "postings"), postings.read(spark, one.segments[0], "heads")
+        want = stand.groupBy(*names).agg(F.count("*").alias("n"), F.max(F.size("places")).alias("most"), F.min("n_tokens").alias("least"))
+        assert sorted(map(tuple, heads.select(*names, "n", "most", "least").collect())) == sorted(map(tuple, want.collect()))
+        assert stand.filter(F.col("block") != F.floor(F.col("doc") / 4)).count() == 0
+
+    away = [(i,) for i in sorted(known) if i % 7 == 0]
+    with monkeypatch.context() as m:
+        m.setattr(postings, "term_rows", None)
+        one = postings.merged(postings.deleted(two, spark.createDataFrame(away, "id long")), 2, shelves=3, block=4)
+    held(one, [r for r in known.values() if r[0] % 7])
+    thin = postings.deleted(two, spark.createDataFrame([(i,) for i in sorted(known) if i % 7], "id long"))
+    packed = postings.merged(thin, 2, shelves=3, block=4)
+    held(packed, [r for r in known.values() if r[0] % 7 == 0])
+    assert postings.read(spark, packed.segments[0], "padded").select(F.floor(F.col("doc") / 4)).distinct().count() < 2 * len(known) / 7 / 4 + 4
