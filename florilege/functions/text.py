@@ -11,7 +11,7 @@ import datetime as dt
 import html
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,8 +49,24 @@ def fold_accents(text: Column, source: str = "", target: str = "") -> Column:
     return F.translate(text, letters + source, bases + target)
 
 
+#: What normal forms change. Nothing in them reaches over an ASCII character, so a run is made alone.
+BEYOND_ASCII = re.compile(r"([^\x00-\x7f]+)")
+
+
+def _bare(form: str, run: str) -> str:
+    return "".join(c for c in unicodedata.normalize(form, run) if unicodedata.category(c) != "Mn")
+
+
+_bare_short = lru_cache(1 << 14)(_bare)
+
+
+def without_marks(text: str, form: str) -> str:
+    """The normal form of a text, without its marks."""
+    return text if text.isascii() else BEYOND_ASCII.sub(lambda m: (_bare_short if len(m[0]) <= 4 else _bare)(form, m[0]), text)
+
+
 def fold_accents_py(text: str) -> str:
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    return without_marks(text, "NFD")
 
 
 def html_to_text(markup: Column) -> Column:
@@ -71,7 +87,7 @@ def html_to_text_py(markup: str) -> str:
     t = re.sub(r"(?i)<br\s*/?>|</(?:p|div|tr|td|h\d)>", "\n", t)
     t = re.sub(r"<[^>]+>", "", t)
     t = re.sub(r"&#(1[9]|2[04589]);", lambda m: LOW_REFERENCES[int(m[1])], t)
-    t = re.sub(r"[ \t\r]+", " ", html.unescape(t).replace("\xa0", " "))
+    t = WIDE_GAP.sub(" ", html.unescape(t).replace("\xa0", " ").replace("\t", " ").replace("\r", " "))
     return re.sub(r"\n\s*\n+", "\n", t).strip()
 
 
@@ -95,11 +111,20 @@ def norm(text: Column) -> Column:
     return F.trim(t)
 
 
+#: `n` leads its pattern, so that the search goes from one to the next.
+NUMBER = re.compile(r"n[o.°](?<=\bn.) ?([0-9])")
+WIDE_GAP = re.compile("  +")
+
+
 def norm_py(text: str) -> str:
-    t = fold_accents_py(unicodedata.normalize("NFKC", text)).lower()
-    for pattern, to in NORM_RULES:
-        t = re.sub(pattern, to.replace("$1", r"\1"), t)
-    return t.strip()
+    """`norm` by full Unicode rules: NORM_RULES over text whose blanks are single before the others rather than after."""
+    t = NUMBER.sub(r"n \1", " ".join(without_marks(text, "NFKD").lower().split())).replace("§ ", "§")
+    for char in QUOTES + DASHES:
+        if char.isascii() or not t.isascii():
+            t = t.replace(char, "'" if char in QUOTES else "-")
+    for char in ".,;:)]":
+        t = t.replace(" " + char, char)
+    return t.replace("( ", "(").replace("[ ", "[")
 
 
 def norm_with_places(text: str) -> tuple[str, list[int]]:
@@ -150,9 +175,12 @@ def _fold_one(char: str) -> str:
     return plain[:1] or " "
 
 
+ASCII_FOLDS = {point: _fold_one(chr(point)) for point in range(128)}
+
+
 def fold_in_place(text: str) -> str:
     """Folded text in which every character keeps its place."""
-    return "".join(map(_fold_one, text))
+    return "".join(t.translate(ASCII_FOLDS) if t.isascii() else "".join(map(_fold_one, t)) for t in BEYOND_ASCII.split(text))
 
 
 def matching_form(text: str) -> str:

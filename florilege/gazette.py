@@ -52,9 +52,10 @@ def picked_sql(values: tuple, n: str) -> str:
     return "(CASE " + n + f" % {len(values)} " + " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") for k, v in enumerate(values)) + " END)"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n, body."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("n"), body(F.col("text")).alias("body"))
+def documents(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """n, body. `dealt` out by number before bodies are made: files of few row groups are read by as many tasks."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("n"), "text")
+    return (rows.repartition("n") if dealt else rows).select("n", body(F.col("text")).alias("body"))
 
 
 # ---- structured abstracts ------------------------------------------------------------------------------------------------
@@ -312,9 +313,9 @@ QUOTATIONS = (
 )
 
 
-def full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """n, html."""
-    rows, n = documents(spark, sf_dir), F.col("n")
+    rows, n = documents(spark, sf_dir, dealt), F.col("n")
     columns = {"n": n, "body": F.col("body"), "case": 202_400_000_000 + n, "court": picked(WRITTEN, n), "state": picked(STATES, n), "day": n % 28 + 1, "month": picked(MONTHS, n)}
     return rows.select("n", spelled(FULL_TEXT, **columns).alias("html"))
 
@@ -339,10 +340,10 @@ FULL_TEXT_SQL = (
 
 def quotation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's decision of the state, with each of the quotations."""
-    home = full_pages(spark, sf_dir).filter(picked(STATES, F.col("n")) == STATES[0])
+    home = full_pages(spark, sf_dir, dealt=True).filter(picked(STATES, F.col("n")) == STATES[0])
     texts = parsers.full_texts(home, "n", "html").select("n", F.expr("substring(text, start + 1)").alias("text"))
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), spelled(t, n=F.col("n")).alias("quotation")) for k, (t, *_) in enumerate(QUOTATIONS)))
-    found = verify.verify(texts.select("n", F.inline(each)), texts, "n", "text", "quotation")
+    each = F.array(*(spelled(t, n=F.col("n")) for t, *_ in QUOTATIONS))
+    found = verify.verify_each(texts.withColumn("quotations", each), ["n"], "text", "quotations")
     return found.select(F.col("n").alias("doc_id"), "kind", "ok", F.array_join("labels", ",").alias("labels"), "position")
 
 
