@@ -11,7 +11,7 @@ import datetime as dt
 import html
 import re
 import unicodedata
-from functools import cache, lru_cache
+from functools import cache, lru_cache, partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,9 +60,16 @@ def _bare(form: str, run: str) -> str:
 _bare_short = lru_cache(1 << 14)(_bare)
 
 
+def runs_made(text: str, short: Callable[[str], str], long: Callable[[str], str]) -> list[str]:
+    """A text in parts, every second one made of a run beyond ASCII; what is made of short runs may be kept."""
+    parts = BEYOND_ASCII.split(text)
+    parts[1::2] = [short(run) if len(run) <= 4 else long(run) for run in parts[1::2]]
+    return parts
+
+
 def without_marks(text: str, form: str) -> str:
     """The normal form of a text, without its marks."""
-    return text if text.isascii() else BEYOND_ASCII.sub(lambda m: (_bare_short if len(m[0]) <= 4 else _bare)(form, m[0]), text)
+    return text if text.isascii() else "".join(runs_made(text, partial(_bare_short, form), partial(_bare, form)))
 
 
 def fold_accents_py(text: str) -> str:
@@ -116,12 +123,20 @@ NUMBER = re.compile(r"n[o.°](?<=\bn.) ?([0-9])")
 WIDE_GAP = re.compile("  +")
 
 
+def plain_signs(text: str) -> str:
+    for char in QUOTES + DASHES:
+        if char.isascii() or not text.isascii():
+            text = text.replace(char, "'" if char in QUOTES else "-")
+    return text
+
+
 def norm_py(text: str) -> str:
     """`norm` by full Unicode rules: NORM_RULES over text whose blanks are single before the others rather than after."""
-    t = NUMBER.sub(r"n \1", " ".join(without_marks(text, "NFKD").lower().split())).replace("§ ", "§")
-    for char in QUOTES + DASHES:
-        if char.isascii() or not t.isascii():
-            t = t.replace(char, "'" if char in QUOTES else "-")
+    t = without_marks(text, "NFKD")
+    plain = plain_signs(t)
+    # signs beside a letter may decide on its lower case, though not in ASCII
+    t = plain.lower() if plain.isascii() else plain_signs(t.lower())
+    t = NUMBER.sub(r"n \1", " ".join(t.split())).replace("§ ", "§")
     for char in ".,;:)]":
         t = t.replace(" " + char, char)
     return t.replace("( ", "(").replace("[ ", "[")
@@ -178,9 +193,23 @@ def _fold_one(char: str) -> str:
 ASCII_FOLDS = {point: _fold_one(chr(point)) for point in range(128)}
 
 
+def _fold_run(run: str) -> str:
+    return "".join(map(_fold_one, run))
+
+
+_fold_short = lru_cache(1 << 14)(_fold_run)
+
+
 def fold_in_place(text: str) -> str:
     """Folded text in which every character keeps its place."""
-    return "".join(t.translate(ASCII_FOLDS) if t.isascii() else "".join(map(_fold_one, t)) for t in BEYOND_ASCII.split(text))
+    if text.isascii():
+        return text.translate(ASCII_FOLDS)
+    parts = runs_made(text, _fold_short, _fold_run)
+    made = "".join(parts[1::2])
+    if made.isascii() and made.translate(ASCII_FOLDS) == made:  # the runs stay as they are made
+        return "".join(parts).translate(ASCII_FOLDS)
+    parts[::2] = [part.translate(ASCII_FOLDS) for part in parts[::2]]
+    return "".join(parts)
 
 
 def matching_form(text: str) -> str:
